@@ -163,3 +163,28 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     skip = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
     return skip + np.arange(total)
+
+
+def _filesystem(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def create(uri: str):
+    """A new file in the shared folder, open for writing."""
+    system, path = _filesystem(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(path, compression=None)
+
+
+def size_of(uri: str) -> int:
+    system, path = _filesystem(uri)
+    return system.get_file_info(path).size
+
+
+def read_range(uri: str, offset: int, size: int) -> pa.Buffer:
+    """Bytes of a file from an offset."""
+    system, path = _filesystem(uri)
+    with system.open_input_file(path) as source:
+        return source.read_at(size, offset)
