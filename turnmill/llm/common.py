@@ -183,8 +183,17 @@ def size_of(uri: str) -> int:
     return system.get_file_info(path).size
 
 
-def read_range(uri: str, offset: int, size: int) -> pa.Buffer:
+def read_range(uri: str, offset: int, size: int) -> bytes:
     """Bytes of a file from an offset."""
     system, path = _filesystem(uri)
     with system.open_input_file(path) as source:
         return source.read_at(size, offset)
+
+
+def listing(uri: str) -> dict[str, int]:
+    """Files of a folder and their sizes; none if the folder is not there."""
+    from pyarrow import fs
+
+    system, path = _filesystem(uri)
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return {f"{uri}/{x.base_name}": x.size for x in found if x.type == fs.FileType.File}

@@ -17,6 +17,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages, read_warc
+
+    found = read_warc(archive_pages(_table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features
+
+    return media_features(_table(spark, sf_dir, "documents"))
+
+
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -52,11 +65,24 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_archives": op2_warc_archives,
     "op6_sequence_packing": op6_sequence_packing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
 }
 
+_OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+k AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM k WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM k LEFT JOIN f USING (payload_digest)
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_warc_archives": _OP2_SQL,
     "op8_benchmark_decontamination": _OP8_SQL,
 }
