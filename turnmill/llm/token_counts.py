@@ -122,4 +122,5 @@ def count_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     folder = common.scratch(docs.sparkSession, "tokens")
     placed = common.stage(write_token_files(docs, folder, id_column, text, tokenizer_path), "token-places")
     found = scan_token_files(file_sizes(placed))
-    return placed.join(found, ["file", "ordinal"]).select(F.col("id").alias(id_column), "start", "n_tokens")
+    # Both sides grow with the documents; their compressed size must not make one look small enough to broadcast.
+    return placed.hint("merge").join(found, ["file", "ordinal"]).select(F.col("id").alias(id_column), "start", "n_tokens")
