@@ -229,4 +229,5 @@ def media_features(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     folder = common.scratch(spark, "media")
     placed = common.stage(store_media(docs, folder, id_column, text), "media-places")
     found = read_archives(spark, folder).select("file", "offset", "media").mapInArrow(describe, _FEATURES)
-    return placed.join(found, ["file", "offset"]).drop("file", "offset").withColumnRenamed("id", id_column)
+    # Both sides grow with the documents; their compressed size must not make one look small enough to broadcast.
+    return placed.hint("merge").join(found, ["file", "offset"]).drop("file", "offset").withColumnRenamed("id", id_column)
