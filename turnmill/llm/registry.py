@@ -30,6 +30,12 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -78,6 +84,7 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archives": op2_warc_archives,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op6_sequence_packing": op6_sequence_packing,
     "op7_quality_classifier": op7_quality_classifier,
@@ -96,7 +103,26 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM k LEFT JOIN f USING (payload_digest)
 """
 
+_OP3_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other
+), c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_archives": _OP2_SQL,
+    "op3_minhash_near_dedup": _OP3_SQL,
     "op8_benchmark_decontamination": _OP8_SQL,
 }
