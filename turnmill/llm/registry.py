@@ -17,6 +17,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_classes
+
+    return line_classes(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages, read_warc
 
@@ -83,6 +89,7 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_warc_archives": op2_warc_archives,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
