@@ -54,6 +54,15 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secret_scan import scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.withColumn("candidate_sha256", F.sha2("candidate", 256)).drop("candidate")
+
+
 def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archives": op2_warc_archives,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
+    "op5_secret_scan": op5_secret_scan,
     "op6_sequence_packing": op6_sequence_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
