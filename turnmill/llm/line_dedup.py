@@ -180,8 +180,11 @@ def line_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     )
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, min_copies: int = MIN_COPIES) -> DataFrame:
-    """docs without the lines that repeat; the columns stay. Texts of which all lines go become empty."""
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, min_copies: int = MIN_COPIES, drop_emptied: bool = False) -> DataFrame:
+    """docs without the lines that repeat; the columns stay.
+
+    Texts that keep no line with text become what white space they have, or go if drop_emptied: they repeat others in full.
+    """
     gone = line_classes(docs, id_column, text, edits, min_chars, min_copies).where("not kept")
     per_text = gone.groupBy(F.col(id_column).alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
     per_text = common.stage(per_text, "line-gone")
@@ -192,4 +195,6 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stay, lambda k: F.get(F.col("_lines"), k)), "\n")
     cut = joined.withColumn("_lines", lines).withColumn("_cut", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest))
+    if drop_emptied:
+        cut = cut.where(F.col("_gone").isNull() | _has_text("_cut"))
     return cut.select(*[F.col("_cut").alias(c) if c == text else F.col(c) for c in docs.columns])
