@@ -80,9 +80,9 @@ def consistency_curve(df: DataFrame, rounds: int) -> DataFrame:
 
 
 def token_budget(df: DataFrame, quantile: float = 0.85, by: list[str] | None = None) -> DataFrame:
-    """floor of the exact, interpolated quantile of tokens plus one; results that ended in error or too large are left out."""
+    """floor of the exact, interpolated quantile of tokens (to six places) plus one; results that ended in error or too large are left out."""
     usable = df.where(~F.col("termination_reason").isin("error", "large"))
-    return usable.groupBy(*(by or [])).agg((F.floor(F.percentile("token_count", F.lit(quantile))) + 1).alias("budget"))
+    return usable.groupBy(*(by or [])).agg((F.floor(F.round(F.percentile("token_count", F.lit(quantile)), 6)) + 1).alias("budget"))
 
 
 def compare_exact(df: DataFrame, threshold: float) -> DataFrame:
