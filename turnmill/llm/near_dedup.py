@@ -14,10 +14,10 @@
    of compressed values, is within ``MARGIN`` of the threshold; then their full
    sets are compared.
 5. Buckets with more members than pivots may hide links that no pivot shows.
-   For these, shingles that occur in one set only give an upper bound of any
-   similarity: a node with too many of them has no link at all, and of the rest
-   only pairs from different components whose bound reaches the threshold are
-   still compared.  So no link of two nodes that share a band is lost, and no
+   For these, shingles that occur in one set only, and a bit mask of groups of
+   shingles, give exact upper bounds of a similarity: a node with too many single
+   shingles has no link at all, and of the rest only pairs from different
+   components whose bound reaches the threshold are still compared.  So no link of two nodes that share a band is lost, and no
    bucket is paired out in full.
 6. Components of the links name each group by its least id.
 
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,6 +48,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 PIVOTS = 8
 #: Standard errors of the estimate at the threshold.
 MARGIN = 5.0
+#: Words of 64 bits of a set's mask.
+MASK_WORDS = 32
 #: Ids that may be broadcast to pick texts for verification; beyond it, a merge join.
 BROADCAST_IDS = 500_000
 
@@ -202,31 +204,63 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _profiles(sets: DataFrame) -> DataFrame:
+    """(id, set, n, mask): a bit for each of 64 * MASK_WORDS groups of shingles that a set has one of."""
+    kind = sets.schema["id"].dataType.simpleString()
+    bits = 64 * MASK_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = np.zeros((batch.num_rows, bits), bool)
+            for k, x in enumerate(batch.column("shingles")):
+                masks[k, np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(bits)] = True
+            words = np.packbits(masks, axis=1).view(np.int64).ravel()
+            mask = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * MASK_WORDS), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("set"), batch.column("n"), mask], ["id", "set", "n", "mask"])
+
+    return sets.mapInArrow(run, f"id {kind}, set long, n long, mask array<long>")
+
+
 def _single_shingles(sets: DataFrame) -> DataFrame:
-    """(id, u): how many shingles of a node occur in no other node's set."""
+    """(id, set, u): how many shingles of a set occur in no other node's set."""
     kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 values = np.frombuffer(batch.column("shingles")[k].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.full(len(values), k))), pa.array(values)], ["id", "shingle"])
+                row = pa.array(np.full(len(values), k))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("set").take(row), pa.array(values)], ["id", "set", "shingle"])
 
-    each = sets.select("id", "shingles").mapInArrow(run, f"id {kind}, shingle long")
-    return each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("u"))
+    each = sets.mapInArrow(run, f"id {kind}, set long, shingle long")
+    alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.min("set").alias("set")).where("id = other")
+    return alone.groupBy("id", "set").agg(F.count("*").alias("u"))
 
 
 def _unseen(entries: DataFrame, pivots: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of large buckets, of different components, that may reach the threshold by the bound of single shingles."""
-    sizes = sets.groupBy("id").agg(F.max("n").alias("n"))
-    known = sizes.join(_single_shingles(sets), "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    """Pairs of large buckets, of different components, that may reach the threshold by exact bounds.
+
+    A set lacks at least its single shingles, and those of its groups of shingles
+    that the other has none of, in the intersection.
+    """
+    sets = sets.withColumn("set", F.xxhash64("shingles"))
+    known = _profiles(sets).join(_single_shingles(sets), ["id", "set"], "left").select("id", "n", "mask", F.coalesce("u", F.lit(0)).alias("u"))
     known = known.where(F.col("n") - F.col("u") >= F.lit(threshold) * F.col("n") - 1e-9)  # others have no link at all
-    known = common.stage(known.join(found, known["id"] == found["node"], "left").select("id", "n", "u", F.coalesce("component", "id").alias("component")), "near-known")
+    known = common.stage(known.join(found, known["id"] == found["node"], "left").select("id", "n", "u", "mask", F.coalesce("component", "id").alias("component")), "near-known")
     members = entries.select("key", "id").join(known, "id")
-    main = pivots.where("place = 1").select("key", F.col("id").alias("pivot")).join(known.select(F.col("id").alias("pivot"), F.col("component").alias("main")), "pivot", "left").select("key", "main")
-    rest = members.hint("merge").join(main, "key").where("main is null or component <> main").select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "u", "component")])
-    bound = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")) >= F.lit(threshold) * F.greatest(F.col("n") + F.col("u2"), F.col("n2") + F.col("u")) - 1e-9
-    pairs = members.hint("merge").join(rest, (members["key"] == rest["key"]) & (F.col("component") != F.col("component2")) & bound)
+    main = pivots.where("place = 1").select("key", F.col("id").alias("pivot")).join(known.select(F.col("id").alias("pivot"), F.col("component").alias("main")).distinct(), "pivot", "left").select("key", "main")
+    rest = members.hint("merge").join(main, "key").where("main is null or component <> main").select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "u", "mask", "component")])
+
+    def lacking(one: str, other: str) -> Column:
+        total = F.lit(0)
+        for k in range(MASK_WORDS):
+            total = total + F.bit_count(F.get(one, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(k)))))
+        return total
+
+    both = F.least(F.col("n") - F.greatest("u", lacking("mask", "mask2")), F.col("n2") - F.greatest("u2", lacking("mask2", "mask")))
+    cheap = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")) >= F.lit(threshold) * F.greatest(F.col("n") + F.col("u2"), F.col("n2") + F.col("u")) - 1e-9
+    bound = both >= F.lit(threshold) * (F.col("n") + F.col("n2") - both) - 1e-9
+    pairs = members.hint("merge").join(rest, (members["key"] == rest["key"]) & (F.col("component") != F.col("component2")) & cheap & bound)
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
@@ -244,8 +278,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     entries = common.stage(bands.hint("merge").join(shared, "key").select("key", "id", "size"), "near-entries")
     central = entries.groupBy("id").agg(F.sum("size").alias("central"))
     ranked = entries.hint("merge").join(central, "id")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "id"))
     tops = common.stage(ranked.withColumn("place", place).where(F.col("place") <= pivots).select("key", "id", "place"), "near-pivots")
     paired = entries.hint("merge").join(tops.select("key", F.col("id").alias("pivot")), "key").where("id <> pivot")
@@ -272,5 +304,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are kept, with their columns: one id of each group, and rows without an id."""
     found = near_duplicates(docs, id_column, text, words, percent)
-    gone = found.where("not kept").select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    gone = common.stage(found.where("not kept").select(F.col(id_column).alias("_gone")).distinct(), "near-gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
+    return docs.join(side, docs[id_column] == side["_gone"], "left_anti")
