@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from turnmill.shipping import ship
+
 
 def braced(text: str, start: int) -> int | None:
     """Where the group that opens at or after ``start`` closes, or None."""
@@ -50,6 +52,7 @@ def _boxed(text: pd.Series) -> pd.Series:
 
 def boxed_answer(text: Column) -> Column:
     """The last boxed expression's content, or null."""
+    ship()
     return _boxed(text)
 
 
@@ -85,4 +88,5 @@ def latex_equal(a: Column, b: Column, comparator: Callable[[str | None, str | No
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([bool(comparator(p, q)) for p, q in zip(x, y, strict=True)])
 
+    ship()
     return compare(a, b)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from turnmill.shipping import ship
 from turnmill.types import Settings
 
 DEFAULTS = Settings()
@@ -59,6 +60,7 @@ def replay_tree(rollouts: DataFrame, share: float = DEFAULTS.merge_share) -> Dat
             }
         )
 
+    ship(rollouts.sparkSession)
     kind = rollouts.schema["task_id"].dataType.simpleString()
     return rollouts.groupBy("task_id").applyInPandas(build, f"task_id {kind}, node_id string, parent_id string, depth int, seq int, content string, value double, visits long")
 
@@ -92,4 +94,5 @@ def cluster_by_f1(answers: DataFrame, least: float = DEFAULTS.consensus) -> Data
         largest = {k for k, _ in max(clusters, key=len)}
         return rows[rows["pos"].isin(largest)]
 
+    ship(answers.sparkSession)
     return answers.groupBy("task_id").applyInPandas(build, answers.schema)
