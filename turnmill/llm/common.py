@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from turnmill.shipping import ship
+
 #: Bytes of text handled at once inside an Arrow function.
 CHUNK_BYTES = 4 << 20
 
@@ -50,6 +52,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow, with this package at hand on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of a text column, one row at least."""
     for batch in batches:

@@ -296,7 +296,7 @@ def _scan(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: st
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         phrases = Phrases([(r["item"], r["text"]) for r in part.collect()], window)  # at most a block
-        out = out.mapInArrow(_pass(phrases, text, to_arrow_schema(out.schema), clean and k == blocks - 1), out.schema)
+        out = common.map_arrow(out, _pass(phrases, text, to_arrow_schema(out.schema), clean and k == blocks - 1), out.schema)
     return out
 
 

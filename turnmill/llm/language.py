@@ -147,7 +147,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteCNN | None:
     usable = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"), 3, HELD_OUT))
     sample = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_rows)  # the bound of what is broadcast and collected
     joined = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    rows = joined.mapInArrow(_sample_windows, "lang string, x binary").limit(2 * sample_rows * SAMPLE_WINDOWS).collect()
+    rows = common.map_arrow(joined, _sample_windows, "lang string, x binary").limit(2 * sample_rows * SAMPLE_WINDOWS).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_column: str = "doc_id", t
                 scores = np.where(known, sums.max(1) / np.maximum(sums.sum(1), 1e-9), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names.tolist(), pa.string()), pa.array(np.clip(scores, 0, 1))], ["id", "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
+    return common.map_arrow(docs, run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from turnmill.shipping import ship
+
 from . import common
 
 WIDTH = 64
@@ -129,7 +131,7 @@ def store_media(docs: DataFrame, folder: str, id_column: str = "doc_id", text: s
         if archive is not None:
             archive.close()
 
-    return docs.mapInArrow(run, f"file string, offset long, id {kind}")
+    return common.map_arrow(docs, run, f"file string, offset long, id {kind}")
 
 
 class _Range(InputPartition):
@@ -203,6 +205,7 @@ class ArchiveSource(DataSource):
 
 def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
     """The members (file, offset, media, error) of all archives of a directory."""
+    ship(spark)
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("turnmill_archive").options(**options).load(folder)
 
@@ -228,6 +231,6 @@ def media_features(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     folder = common.scratch(spark, "media")
     placed = common.stage(store_media(docs, folder, id_column, text), "media-places")
-    found = read_archives(spark, folder).select("file", "offset", "media").mapInArrow(describe, _FEATURES)
+    found = common.map_arrow(read_archives(spark, folder).select("file", "offset", "media"), describe, _FEATURES)
     # Both sides grow with the documents; their compressed size must not make one look small enough to broadcast.
     return placed.hint("merge").join(found, ["file", "offset"]).drop("file", "offset").withColumnRenamed("id", id_column)

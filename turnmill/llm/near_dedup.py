@@ -134,7 +134,7 @@ def _digest(docs: DataFrame, words: int) -> DataFrame:
                 ["id", "n", "digest", "sketch"],
             )
 
-    return docs.mapInArrow(run, f"id {kind}, n long, digest binary, sketch binary")
+    return common.map_arrow(docs, run, f"id {kind}, n long, digest binary, sketch binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
             keys = common.mix(common.mix(packed) + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), count))), pa.array(keys.ravel())], ["id", "key"])
 
-    return nodes.select("id", "sketch").mapInArrow(run, f"id {kind}, key long")
+    return common.map_arrow(nodes.select("id", "sketch"), run, f"id {kind}, key long")
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -169,7 +169,7 @@ def _promising(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
 
     # Sizes alone bound a similarity, too.
     joined = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return common.map_arrow(joined.select("a", "b", "na", "nb", "sa", "sb"), run, f"a {kind}, b {kind}")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "shingles"])
 
-    return chosen.mapInArrow(run, f"id {kind}, n long, shingles binary").where("n > 0")
+    return common.map_arrow(chosen, run, f"id {kind}, n long, shingles binary").where("n > 0")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(good, pa.bool_())) for x in ("a", "b")], ["a", "b"])
 
     joined = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return common.map_arrow(joined.select("a", "b", "sa", "sb"), run, f"a {kind}, b {kind}").distinct()
 
 
 def _profiles(sets: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _profiles(sets: DataFrame) -> DataFrame:
             mask = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * MASK_WORDS), pa.array(words))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("set"), batch.column("n"), mask], ["id", "set", "n", "mask"])
 
-    return sets.mapInArrow(run, f"id {kind}, set long, n long, mask array<long>")
+    return common.map_arrow(sets, run, f"id {kind}, set long, n long, mask array<long>")
 
 
 def _single_shingles(sets: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _single_shingles(sets: DataFrame) -> DataFrame:
                 row = pa.array(np.full(len(values), k))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("set").take(row), pa.array(values)], ["id", "set", "shingle"])
 
-    each = sets.mapInArrow(run, f"id {kind}, set long, shingle long")
+    each = common.map_arrow(sets, run, f"id {kind}, set long, shingle long")
     alone = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.min("set").alias("set")).where("id = other")
     return alone.groupBy("id", "set").agg(F.count("*").alias("u"))
 

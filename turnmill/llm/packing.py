@@ -79,4 +79,4 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text: str = "text", tokeniz
             assert len(totals) == n
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return common.map_arrow(docs, run, schema)

@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     marked = labels.where("quality in (0, 1)").where(~is_held_out(F.col("doc_id"), 4, HELD_OUT)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     sample = marked.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # the bound of what is broadcast and collected
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    rows = joined.mapInArrow(_features_of, "label int, x array<double>").limit(2 * sample_rows).toPandas()
+    rows = common.map_arrow(joined, _features_of, "label int, x array<double>").limit(2 * sample_rows).toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, N_FEATURES))
     order = np.lexsort([*x.T, rows["label"]])  # the same model whatever the order of rows
     return BradleyTerry.fit(x[order], rows["label"].to_numpy()[order])
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: BradleyTerry, text: str = "text", score_column
             found = pa.array(model.score(features(batch.column(text))))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, found], arrow, strict=True)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return common.map_arrow(docs, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, folder: str, id_column: str = "doc_id", t
             if out is not None:
                 out.close()
 
-    return docs.mapInArrow(run, f"file string, ordinal long, id {kind}")
+    return common.map_arrow(docs, run, f"file string, ordinal long, id {kind}")
 
 
 def _separators(row: dict, separator: int, width: int) -> np.ndarray:
@@ -101,10 +101,10 @@ def scan_token_files(files: DataFrame, separator: int = SEPARATOR, width: int =
                 ordinal = (r["docs_before"] or 0) + np.arange(len(at))
                 yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(at), pa.string()), *map(pa.array, (ordinal, start, at - start, ended))], ["file", "ordinal", "start", "n_tokens", "ended"])
 
-    sums = common.stage(blocks.mapInArrow(summary, f"{_BLOCK}, is_last boolean, n_separators long, last_separator long"), "token-blocks")
+    sums = common.stage(common.map_arrow(blocks, summary, f"{_BLOCK}, is_last boolean, n_separators long, last_separator long"), "token-blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = sums.withColumns({"docs_before": F.sum("n_separators").over(before), "last_before": F.max("last_separator").over(before)})
-    return stitched.repartition("file", "block").mapInArrow(documents, "file string, ordinal long, start long, n_tokens long, ended boolean")
+    return common.map_arrow(stitched.repartition("file", "block"), documents, "file string, ordinal long, start long, n_tokens long, ended boolean")
 
 
 def file_sizes(files: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def file_sizes(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([common.size_of(x) for x in batch.column(0).to_pylist()], pa.int64())], ["file", "n_bytes"])
 
-    return files.select("file").distinct().mapInArrow(run, "file string, n_bytes long")
+    return common.map_arrow(files.select("file").distinct(), run, "file string, n_bytes long")
 
 
 def count_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text", tokenizer_path: str | None = None) -> DataFrame:

@@ -110,7 +110,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return pages.mapInArrow(run, f"file string, offset long, length long, url string, digest string, page_id {kind}")
+    return common.map_arrow(pages, run, f"file string, offset long, length long, url string, digest string, page_id {kind}")
 
 
 def ranges(rows: Iterator[dict], most: int = RANGE_BYTES, gap: int = GAP_BYTES) -> Iterator[list[dict]]:
@@ -150,7 +150,7 @@ def read_warc(index: DataFrame, with_payload: bool = False) -> DataFrame:
     stretch = F.expr(f"offset div {RANGE_BYTES}")
     index = index.select("file", "offset", "length", "url", "digest", "page_id").repartition("file", stretch).sortWithinPartitions("file", "offset")
     schema = f"page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload
-    return index.mapInArrow(run, schema).withColumn("refers_to", F.col("refers_to").cast(kind))
+    return common.map_arrow(index, run, schema).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
