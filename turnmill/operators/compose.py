@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import text as X
 
-from .selection import shuffle_key
+from .selection import place_in_group, shuffle_key
 
 #: Characters of benchmark texts that may be broadcast, after they have been summed.
 BROADCAST_CHARS = 8 << 20
@@ -20,9 +20,8 @@ def mix(df: DataFrame, source: str, shares: dict[str, float], seed: str, key: st
     share = F.lit(None).cast("double")
     for name, value in shares.items():
         share = F.when(F.col(source) == name, F.lit(float(value))).otherwise(share)
-    own = Window.partitionBy(source)
-    ranked = df.withColumn("_share", share).where("_share is not null").withColumns({"_n": F.count("*").over(own), "_place": F.row_number().over(own.orderBy(key))})
-    return ranked.where(F.col("_place") <= F.floor(F.col("_share") * F.col("_n"))).drop("_share", "_n", "_place").withColumn("order_key", shuffle_key(seed, F.col(key)))
+    ranked = place_in_group(df.withColumn("_share", share).where("_share is not null"), source, key)
+    return ranked.where(F.col("_place") < F.floor(F.col("_share") * F.col("_n"))).drop("_share", "_n", "_place").withColumn("order_key", shuffle_key(seed, F.col(key)))
 
 
 def mix_frames(parts: list[tuple[DataFrame, float]], key: str, seed: str, split: str) -> DataFrame:
@@ -45,8 +44,7 @@ def round_robin(df: DataFrame, source: str, key: str, count: int | None = None)
 
     With count, each source gives so many rows, beginning again at its end.
     """
-    own = Window.partitionBy(source)
-    ranked = df.withColumns({"_place": F.row_number().over(own.orderBy(key)) - 1, "_n": F.count("*").over(own)})
+    ranked = place_in_group(df, source, key)
     sources = df.select(source).distinct().withColumn("source_no", F.row_number().over(Window.orderBy(source)) - 1)  # a row for each source
     joined = ranked.join(F.broadcast(sources), source)
     if count is None:

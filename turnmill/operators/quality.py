@@ -83,17 +83,17 @@ def turn_checks(turns: DataFrame, keys: list[str]) -> DataFrame:
 
 def selection_checks(df: DataFrame, epsilon: float) -> DataFrame:
     """Lift and order of selected rows (selected, rank, reward, effective_reward, correct_score)."""
-    lag = F.lag("reward").over(Window.orderBy("rank"))  # selected rows only, one for each task
-    falls = df.where("selected").select((lag < F.col("reward")).alias("rises")).agg(F.count_if("rises").alias("rises"))
+    ranked = df.where("selected").select("rank", "reward")
+    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col("reward").alias("next"))
+    rises = ranked.join(after, "rank").agg(F.count_if(F.col("next") > F.col("reward")).alias("rises"))
     mean = lambda c, on: F.avg(F.when(F.col("selected") == on, F.col(c)))
-    one = df.agg((mean("reward", True) - mean("reward", False)).alias("lift"), (mean("correct_score", True) - mean("correct_score", False)).alias("correct"), F.count_if(F.col("selected") & (F.col("effective_reward") < epsilon)).alias("below")).join(F.broadcast(falls))
+    one = df.agg((mean("reward", True) - mean("reward", False)).alias("lift"), (mean("correct_score", True) - mean("correct_score", False)).alias("correct"), F.count_if(F.col("selected") & (F.col("effective_reward") < epsilon)).alias("below"))
     checks = {
         "reward_lift": (F.col("lift"), F.when(F.col("lift") > 0, "PASS").otherwise("FAIL")),
         "correctness_lift": (F.col("correct"), F.when(F.col("correct") >= 0, "PASS").otherwise("WARN")),
-        "rank_order": (F.col("rises"), F.when(F.col("rises") == 0, "PASS").otherwise("FAIL")),
         "threshold": (F.col("below"), F.when(F.col("below") == 0, "PASS").otherwise("FAIL")),
     }
-    return _rows(one, checks)
+    return _rows(one, checks).unionByName(_rows(rises, {"rank_order": (F.col("rises"), F.when(F.col("rises") == 0, "PASS").otherwise("FAIL"))}))
 
 
 def routing_checks(rows: DataFrame) -> DataFrame:

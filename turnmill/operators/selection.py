@@ -36,6 +36,28 @@ def with_place(df: DataFrame, value: str, ties: list[str], name: str = "place",
     return dealt.withColumn("_own", own).join(F.broadcast(moved), "_bucket").withColumn(name, F.col("_own") - 1 + F.col("_before")).drop("_own", "_before", "_bucket")
 
 
+def place_in_group(df: DataFrame, group: str, key: str, buckets: int = 64) -> DataFrame:
+    """Number the rows of each group from 0 by key (column ``_place``), and count them (``_n``).
+
+    For few groups of any size: a numeric key deals a group's rows to buckets by
+    its quantiles, so that a group that holds most rows is not sorted by one task.
+    """
+    from pyspark.sql.types import NumericType
+
+    if not isinstance(df.schema[key].dataType, NumericType):
+        own = Window.partitionBy(group)
+        return df.withColumns({"_place": F.row_number().over(own.orderBy(key)) - 1, "_n": F.count("*").over(own)})
+    bounds = df.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)]).alias("_bounds"))  # a row for each group
+    joined = df.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_g")))
+    dealt = joined.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(key)))).drop("_bounds", "_g")
+    counts = dealt.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_k"))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.select("_g", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy("_g")).alias("_n"))
+    numbered = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key)) - 1)
+    out = numbered.join(F.broadcast(moved), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+    return out.withColumn("_place", F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket", "_g", "_b")
+
+
 def select_trajectories(df: DataFrame, trim_low: float = DEFAULTS.trim_low, trim_high: float = DEFAULTS.trim_high, epsilon: float = DEFAULTS.epsilon, penalise_names: bool = True) -> DataFrame:
     """The best trajectory of each task, inside the trim window and at or above epsilon, ranked from 0."""
     scored = df.withColumn("name_penalty", name_penalty(F.col("conversation"), penalise_names)).withColumn("effective_reward", effective_reward(F.col("reward"), F.col("name_penalty")))
