@@ -53,7 +53,7 @@ def cases():
 @pytest.mark.parametrize("block_bytes", [1 << 20, 90])
 def test_against_brute_force(spark, block_bytes):
     docs, bench = cases()
-    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, spans0 string").repartition(3)
+    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, spans string").repartition(3)
     b = spark.createDataFrame(bench, "item_id long, text string")
     found = dc.find_contamination(d, b, block_bytes=block_bytes).collect()
     got = sorted((r["doc_id"], r["n_words"], sum(s["last"] - s["first"] + 1 for s in r["spans"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r["spans"])) for r in found)

@@ -303,8 +303,9 @@ def _scan(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: st
 def find_contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, removal spans (first and last word, merged) and the item ids found, sorted as strings.
 
-    The added columns are ``n_words``, ``spans`` and ``items``; they must not be names of docs.
+    The added columns are ``n_words``, ``spans`` and ``items``; they take the place of columns of docs with these names.
     """
+    docs = docs.drop("n_words", "spans", "items")
     out = _scan(docs, bench, text, item, item_text, window, block_bytes, False)
     return out.withColumnsRenamed({"_n_words": "n_words", "_spans": "spans", "_items": "items"})
 

@@ -146,9 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: BradleyTerry, text: str = "text", score_column: str = "score") -> DataFrame:
-    """docs with a score of every text."""
+    """docs with a score of every text, in the place of any column of that name."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    docs = docs.drop(score_column)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_column, T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
