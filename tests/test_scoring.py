@@ -120,3 +120,14 @@ def test_plans(spark):
     row = spark.createDataFrame([(0, 0, ["a"], 1, [1.0], ["x"], False, "x", "exact-match")], ROW)
     plan = scoring.score(row)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.replace("ExistingRDD", "")
+
+
+def test_places_in_groups(spark):
+    df = spark.range(600).select((F.col("id") * 7 % 600).alias("id"), F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
+    want, counts = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r["id"]):
+        want[r["id"]] = counts.get(r["g"], 0)
+        counts[r["g"]] = want[r["id"]] + 1
+    for frame in (selection.place_in_group(df, "g", "id", buckets=5), selection.place_in_group(df.withColumn("id", F.lpad(F.col("id").cast("string"), 4, "0")), "g", "id")):
+        got = {int(r["id"]): (r["_place"], r["_n"]) for r in frame.collect()}
+        assert got == {r["id"]: (want[r["id"]], counts[r["g"]]) for r in df.collect()}
