@@ -45,7 +45,7 @@ from . import common
 from .components import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
-PIVOTS = 8
+PIVOTS = 4
 #: Standard errors of the estimate at the threshold.
 MARGIN = 5.0
 #: Words of 64 bits of a set's mask.
