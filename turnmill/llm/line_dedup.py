@@ -6,7 +6,8 @@ EDITS + 1 even segments.  If two lines are within EDITS edits, some segment of t
 shorter one stands unchanged in the longer one, at a place that the difference
 of lengths and the segment's number narrow down to a few.  So every different
 line is indexed by its segments (key: length, number, content) and probes the
-index with those few substrings for each length it may meet.  Pairs that meet
+index with those few substrings for each length it may meet.  Lines meet only if
+the counts of some letters are near enough, too.  Pairs that meet
 are verified by a bit-parallel edit distance on a band of 2 * EDITS + 1 diagonals.
 
 Links join lines into classes.  A class with at least ``MIN_COPIES`` lines, over
@@ -45,34 +46,40 @@ def _has_text(line: str) -> Column:
     return F.col(line).rlike(r"[^\s]")
 
 
-def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
+def segment(length: Column, number: Column, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and size of a segment of lines of some length."""
     parts = edits + 1
     base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
     first_long = F.lit(parts) - longer
-    return base * number + F.greatest(F.lit(0), F.lit(number) - first_long), base + (F.lit(number) >= first_long).cast("int")
+    return base * number + F.greatest(F.lit(0), number - first_long), base + (number >= first_long).cast("int")
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of a line's own segments."""
-    keys = []
-    for k in range(edits + 1):
-        start, size = segment(length, k, edits)
-        keys.append(F.xxhash64(length, F.lit(k), F.substring(line, start + 1, size)))
-    return F.array(*keys)
+def index_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(h1, sign, key): a key for each of a line's own segments."""
+    each = lines.select("h1", "sign", "line", "length", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("k"))
+    start, size = segment(F.col("length"), F.col("k"), edits)
+    return each.select("h1", "sign", F.xxhash64("length", "k", F.substring("line", start + 1, size)).alias("key"))
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of all substrings that may equal a segment of a line as long or up to ``edits`` shorter; null where there is none."""
-    keys = []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for k in range(edits + 1):
-            start, size = segment(other, k, edits)
-            for shift in range(max(-k, shorter - (edits - k)), min(k, shorter + (edits - k)) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= length), F.xxhash64(other, F.lit(k), F.substring(line, at + 1, size))))
-    return F.array_distinct(F.array(*keys))
+def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(h1, sign, key): a key for each substring that may equal a segment of another line as long or up to ``edits`` shorter.
+
+    Keys that are a line's own index keys (as long, not shifted) are left out.
+    """
+    spots = [
+        (shorter, k, shift)
+        for shorter in range(edits + 1)
+        for k in range(edits + 1)
+        for shift in range(max(-k, shorter - (edits - k)), min(k, shorter + (edits - k)) + 1)
+        if shorter or shift
+    ]
+    spot = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("shorter", "k", "shift"), x, strict=True)]) for x in spots]))
+    each = lines.select("h1", "sign", "line", "length", spot.alias("at"))
+    other = F.col("length") - F.col("at.shorter")
+    start, size = segment(other, F.col("at.k"), edits)
+    start = start + F.col("at.shift")
+    inside = each.where((start >= 0) & (start + size <= F.col("length")))
+    return inside.select("h1", "sign", F.xxhash64(other, F.col("at.k"), F.substring("line", start + 1, size)).alias("key"))
 
 
 def edits_within(a: Column, b: Column, most: int) -> Column:
@@ -130,15 +137,40 @@ def _counts_apart(a: str, b: str) -> Column:
     return apart
 
 
+#: Letters whose counts, modulo 16, make up a line's signature.
+LETTERS = "etaoinsr"
+
+
+def signature(line: str) -> Column:
+    out = F.lit(0)
+    for k, letter in enumerate(LETTERS):
+        count = F.length(line) - F.length(F.replace(F.col(line), F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count % 16, 4 * k))
+    return out
+
+
+def signatures_near(a: str, b: str, edits: int) -> Column:
+    """Whether the counts of letters allow so few edits: an edit changes two of them by one at most."""
+    apart = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)))
+        apart = apart + F.least(d, 16 - d)
+    return apart <= 2 * edits
+
+
 def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Links (a, b), a < b, of different lines (by h1) within some edits of each other."""
     usable = rows.where((F.length("line") >= min_chars) & _has_text("line"))
-    lines = usable.groupBy("h1").agg(F.first("line").alias("line")).withColumn("length", F.length("line"))
-    index = lines.select("h1", F.explode(index_keys(F.col("line"), F.col("length"), edits)).alias("key"))
-    probes = lines.select(F.col("h1").alias("other"), F.explode(probe_keys(F.col("line"), F.col("length"), edits)).alias("key")).where("key is not null")
-    met = index.hint("merge").join(probes, "key").where("h1 <> other")
-    pairs = common.stage(met.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct(), "line-pairs")
-    needed = common.stage(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-needed")
+    # The signature costs more than the keys, so it is worked out once, before the lines are dealt.
+    lines = usable.withColumn("sign", signature("line")).groupBy("h1").agg(F.first("line").alias("line"), F.first("sign").alias("sign")).withColumn("length", F.length("line"))
+    index, probes = index_keys(lines, edits), probe_keys(lines, edits)
+
+    def meet(others: DataFrame) -> DataFrame:
+        other = others.select(F.col("h1").alias("other"), F.col("sign").alias("other_sign"), "key")
+        return index.hint("merge").join(other, "key").where((F.col("h1") != F.col("other")) & signatures_near("sign", "other_sign", edits)).select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
+
+    pairs = common.stage(meet(index).union(meet(probes)).distinct(), "line-pairs")
+    needed = common.stage(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-needed")
     small = needed.count() <= BROADCAST_ROWS
     texts = usable.select("h1", "line").join(F.broadcast(needed) if small else needed.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
     texts = common.stage(texts, "line-texts")
