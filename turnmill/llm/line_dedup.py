@@ -165,11 +165,12 @@ def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     lines = usable.withColumn("sign", signature("line")).groupBy("h1").agg(F.first("line").alias("line"), F.first("sign").alias("sign")).withColumn("length", F.length("line"))
     index, probes = index_keys(lines, edits), probe_keys(lines, edits)
 
-    def meet(others: DataFrame) -> DataFrame:
+    def meet(others: DataFrame, differ: Column) -> DataFrame:
         other = others.select(F.col("h1").alias("other"), F.col("sign").alias("other_sign"), "key")
-        return index.hint("merge").join(other, "key").where((F.col("h1") != F.col("other")) & signatures_near("sign", "other_sign", edits)).select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
+        return index.hint("merge").join(other, "key").where(differ & signatures_near("sign", "other_sign", edits)).select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
 
-    pairs = common.stage(meet(index).union(meet(probes)).distinct(), "line-pairs")
+    # Lines that meet in the index alone meet both ways; one is enough.
+    pairs = common.stage(meet(index, F.col("h1") < F.col("other")).union(meet(probes, F.col("h1") != F.col("other"))).distinct(), "line-pairs")
     needed = common.stage(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-needed")
     small = needed.count() <= BROADCAST_ROWS
     texts = usable.select("h1", "line").join(F.broadcast(needed) if small else needed.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
