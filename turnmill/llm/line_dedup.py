@@ -31,7 +31,7 @@ from .components import components
 
 EDITS = 2
 MIN_CHARS = 16
-MIN_COPIES = 7
+MIN_COPIES = 2
 #: Rows that may be broadcast, after they have been counted; beyond it, a merge join.
 BROADCAST_ROWS = 200_000
 
