@@ -15,13 +15,22 @@ DEFAULTS = Settings()
 
 
 def distance(a: str, b: str) -> int:
-    """Edit distance of two strings."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
+    """Edit distance of two strings, bit-parallel: a column of the table is held as two integers of len(a) bits."""
+    if not a:
+        return len(b)
+    rows: dict[str, int] = {}
+    for i, x in enumerate(a):
+        rows[x] = rows.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    vp, vn, out = full, 0, len(a)
+    for y in b:
+        x = rows.get(y, 0)
+        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & full
+        hp, hn = vn | (full & ~(d0 | vp)), d0 & vp
+        out += bool(hp & last) - bool(hn & last)
+        hp, hn = (hp << 1 | 1) & full, hn << 1 & full
+        vp, vn = hn | (full & ~(d0 | hp)), hp & d0
+    return out
 
 
 def replay_tree(rollouts: DataFrame, share: float = DEFAULTS.merge_share) -> DataFrame:

@@ -493,8 +493,8 @@ def f1_cluster(spark, sf):
 @query()
 def tree_replay(spark, sf):
     df = fixture.scored(spark, sf)
-    first = F.transform("turns", lambda t: F.left(t["content"], F.lit(40)))
-    return replay.replay_tree(df.select("task_id", F.col("conv_id").alias("rollout"), "reward", first.alias("contents")))
+    said = F.transform("turns", lambda t: t["content"])
+    return replay.replay_tree(df.select("task_id", F.col("conv_id").alias("rollout"), "reward", said.alias("contents")))
 
 
 # Loaders, over sources made from the test tables
