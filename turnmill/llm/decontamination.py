@@ -9,8 +9,9 @@ windows are searched backward at once; occurrences are located by walking the
 LF mapping to a sampled suffix, and merged into removal spans.
 
 There is no shuffle: the benchmark travels to the shards in blocks of bounded
-size (``BLOCK_BYTES``), one pass over the documents for each block, and a pass
-adds its spans to those of the passes before.
+size (``BLOCK_BYTES``) and of at most ``MOST_WORDS`` different words, one pass
+over the documents for each block, and a pass adds its spans to those of the
+passes before.
 
 Defined results: null text has no words and is never contaminated.  Documents
 of any length are handled whole.  Repeated rows are judged alike, each for
@@ -35,6 +36,8 @@ from . import common
 WINDOW = 10
 #: Bytes of benchmark text sent to the executors at once.
 BLOCK_BYTES = 8 << 20
+#: Different words of a pass: symbols, with two of their own, are packed in 16 bits.
+MOST_WORDS = (1 << 16) - 3
 #: Every how manyth text position keeps its suffix position.
 SAMPLE = 8
 
@@ -154,20 +157,41 @@ class FMIndex:
         return out
 
 
+def item_words(items: list[tuple[str | None, str | None]]) -> list[tuple[str | None, np.ndarray]]:
+    """Names and word hashes of (name, text) items."""
+    raw, limits = common.text_buffer(pa.array([text for _, text in items], pa.string()))
+    raw = common.LOWER[raw]
+    starts, ends, rows = common.word_spans(raw, limits, WORD_BYTES)
+    hashes = common.word_hashes(raw, starts, ends)
+    return [(name, hashes[rows[k] : rows[k + 1]]) for k, (name, _) in enumerate(items)]
+
+
+def fitting(items: list[tuple[str | None, np.ndarray]], window: int, most: int) -> list[list[tuple[str | None, np.ndarray]]]:
+    """The items in groups of at most ``most`` different words each, halved until they fit.
+
+    A single item is cut so that each of its windows lies in one of the halves.
+    """
+    if not items or len(np.unique(np.concatenate([own for _, own in items]))) <= most:
+        return [items]
+    if len(items) > 1:
+        halves = items[: len(items) // 2], items[len(items) // 2 :]
+    else:
+        ((name, own),) = items
+        cut = (len(own) - window + 1) // 2
+        if cut < 1:
+            raise ValueError("a single window has too many different words")
+        halves = [(name, own[: cut + window - 1])], [(name, own[cut:])]
+    return [x for half in halves for x in fitting(half, window, most)]
+
+
 class Phrases:
-    """The windows of a block of benchmark items, as codes of their words."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        column = pa.array([text for _, text in items], pa.string())
-        raw, limits = common.text_buffer(column)
-        raw = common.LOWER[raw]
-        starts, ends, rows = common.word_spans(raw, limits, WORD_BYTES)
-        hashes = common.word_hashes(raw, starts, ends)
-        self.words = np.unique(hashes)
-        codes = np.searchsorted(self.words, hashes) + 2
+    """The windows of a block of benchmark items (name, word hashes), as codes of their words."""
+
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int = WINDOW):
+        self.words = np.unique(np.concatenate([own for _, own in items])) if items else np.zeros(0, np.uint64)
         by_length: dict[int, dict[bytes, set]] = {}
-        for k, (name, _) in enumerate(items):
-            own = codes[rows[k] : rows[k + 1]].astype(np.int64)
+        for name, hashes in items:
+            own = np.searchsorted(self.words, hashes).astype(np.int64) + 2
             size = min(window, len(own))
             for at in range(len(own) - size + 1 if size else 0):
                 by_length.setdefault(size, {}).setdefault(own[at : at + size].tobytes(), set()).add(name)
@@ -175,8 +199,6 @@ class Phrases:
             (size, np.frombuffer(b"".join(found), np.int64).reshape(-1, size), [sorted(x - {None}) for x in found.values()])
             for size, found in sorted(by_length.items())
         ]
-        if len(self.words) + 2 >= 1 << 16:
-            raise ValueError("a benchmark block has too many different words; lower block_bytes")
 
     def find(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
         """Of all occurrences in a shard: the first word, the number of words, the window, and the windows' items.
@@ -293,10 +315,13 @@ def _scan(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: st
     total = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast(SPANS), "_items": F.lit(None).cast("array<string>")})
+    groups = []
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        phrases = Phrases([(r["item"], r["text"]) for r in part.collect()], window)  # at most a block
-        out = common.map_arrow(out, _pass(phrases, text, to_arrow_schema(out.schema), clean and k == blocks - 1), out.schema)
+        own = item_words([(r["item"], r["text"]) for r in part.collect()])  # at most a block
+        groups += fitting(own, window, MOST_WORDS)
+    for k, group in enumerate(groups):
+        out = common.map_arrow(out, _pass(Phrases(group, window), text, to_arrow_schema(out.schema), clean and k == len(groups) - 1), out.schema)
     return out
 
 
