@@ -1,5 +1,8 @@
 """Secret scans: candidate strings by pattern, false positives removed by a random forest.
 
+Candidates are key headers, values of 8 characters or more set after a secret
+word, keys by their prefix, and strings of 16 or more with a digit.
+
 Everything that runs on documents is a DataFrame function: candidates are cut
 out by one pattern, their features are column expressions, and the trained
 forest is a column expression, too.  Features are the candidate's length, the
@@ -22,8 +25,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: what a candidate looks like.
-CANDIDATE = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+# What a candidate looks like.  A value that is set after a secret word may hold any characters but
+# white space and quotes; each lookbehind is of one width, and the short ones come first, as most places fail them.
+NAMES = ["token", "secret", "secret_key", "secret-key", "password", "passwd", "passwort", "passphrase", "pwd", "apikey", "api_key", "api-key", "auth", "credential", "credentials", "private_key", "access_key", "access-key"]
+SIGNS = ["=", ":", "= ", ": ", " = ", " : ", " := ", " => ", "=\"", "='", ":\"", ":'", "= \"", "= '", ": \"", ": '", " = \"", " = '", " : \"", " : '", " := \"", " => \"", " => '", "\":\"", "\": \"", "\" : \"", "':'", "': '", "': \"", "\":", "\": ", " \"", " '"]
+_SET = "|".join(f"(?:(?<={sign})(?:" + "|".join(f"(?<={name}{sign})" for name in NAMES) + "))" for sign in SIGNS)
+VALUE = rf"(?<=[=:\"' ])(?:(?<=[=:\"'])|(?<=[=:>] ))(?i:{_SET})[^\s\"']{{7,}}[^\s\"'.,;:!?)\]}}>]"
+BEARER = r"(?<=[rR] )(?:(?<=[bB]earer )|(?<=BEARER ))[A-Za-z0-9._~+/\-]{8,}={0,2}"
+PREFIXED = r"(?<![A-Za-z0-9+/_\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)"
+LONG = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+CANDIDATE = "|".join([r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", VALUE, BEARER, PREFIXED, LONG])
 BEFORE, AFTER = 48, 24
 THRESHOLD = 0.5
 TREES, DEPTH = 15, 5
@@ -87,6 +98,7 @@ def labelled_findings(spark: SparkSession, count: int = 4000) -> DataFrame:
     digest = F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 512)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "x")
     url_safe = F.translate(F.base64(F.unhex(digest)), "+/=", "-_z")
+    letters = F.upper(F.translate(base64, "0123456789", "QWZXKVJPYB"))
     words = [F.initcap(one_of(f"w{k}", DICTIONARY)) for k in range(4)]
     assign = one_of("assign", [" = \"", "=", ": \"", ": ", "='", " := \"", " "])
     before_secret = F.concat(one_of("prose", ["", "the value ", "and then ", "export ", "set "]), one_of("key", ["token", "secret", "password", "api_key", "apikey", "auth_token", "access_key", "client_secret", "Authorization: Bearer", "private_key", "credential"]), assign)
@@ -102,8 +114,12 @@ def labelled_findings(spark: SparkSession, count: int = 4000) -> DataFrame:
             F.substring(base64, 1, 24),
             F.substring(url_safe, 1, 43),
             F.concat(F.lit("sk_live_"), F.substring(base64, 3, 24)),
+            F.concat(F.lit("AKIA"), F.substring(letters, 1, 16)),
+            F.concat(F.lit("eyJ"), F.substring(url_safe, 1, 17), F.lit("."), F.lit("eyJ"), F.substring(url_safe, 20, 30), F.lit("."), F.substring(url_safe, 8, 43)),
+            F.concat(F.substring(base64, 5, 5), one_of("mark", ["!", "$", "#", "@", "%", "."]), F.substring(base64, 30, 4)),
+            F.concat(F.substring(letters, 3, 3), F.lower(F.substring(letters, 9, 9)), one_of("mark2", ["!", "$", "", "&", "*"])),
         ),
-        pick("format", 8) + 1,
+        pick("format", 12) + 1,
     )
     camel = F.concat(F.lower(words[0]), words[1], words[2], pick("version", 99).cast("string"))
     other = F.element_at(
@@ -120,7 +136,7 @@ def labelled_findings(spark: SparkSession, count: int = 4000) -> DataFrame:
         ),
         pick("format2", 9) + 1,
     )
-    placeholder = F.element_at(F.array(F.lit("your-api-key-goes-here-1"), F.lit("xxxxxxxxxxxxxxxxxxxx1"), F.lit("1234567890abcdef1234567890abcdef"), F.concat(F.lit("example_"), F.substring(digest, 1, 20)), camel), pick("format3", 5) + 1)
+    placeholder = F.element_at(F.array(F.lit("your-api-key-goes-here-1"), F.lit("xxxxxxxxxxxxxxxxxxxx1"), F.lit("1234567890abcdef1234567890abcdef"), F.concat(F.lit("example_"), F.substring(digest, 1, 20)), camel, F.concat(F.lower(words[0]), F.lit("."), F.lower(words[1]), F.lit("()")), F.concat(F.lit("<your-"), F.lower(words[0]), F.lit(">")), F.concat(F.lit("${"), F.upper(words[0]), F.lit("_"), F.upper(words[1]), F.lit("}")), F.concat(F.lower(words[0]), F.lower(words[1]))), pick("format3", 9) + 1)
     kind = pick("kind", 10)
     return (
         spark.range(count)
