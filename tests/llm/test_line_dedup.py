@@ -43,18 +43,16 @@ def test_edits_within(spark, most):
 def brute(docs, edits, min_chars, min_copies):
     rows = [(i, t, k, x) for i, t in docs if t is not None for k, x in enumerate(t.split("\n"))]
     lines = sorted({x for *_, x in rows if x.strip()})
-    label, links = {x: x for x in lines}, dict.fromkeys(lines, 0)
+    label = {x: x for x in lines}
     for p, x in enumerate(lines):
         for y in lines[:p]:
             if min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits:
-                links[x] += 1
-                links[y] += 1
                 old, new = label[x], label[y]
                 label = {k: new if v == old else v for k, v in label.items()}
     out = []
     for i, t, k, x in rows:
         if not x.strip():
-            out.append((i, k, None, None, None, 0, True))
+            out.append((i, k, None, None, None, None, True))
             continue
         members = [r for r in rows if r[3].strip() and label[r[3]] == label[x]]
         key = lambda r: (r[0] is None, r[0] or 0)
@@ -63,7 +61,7 @@ def brute(docs, edits, min_chars, min_copies):
         text = firsts[0][1]
         line = min(r[2] for r in firsts if r[1] == text)
         stays = len(members) < min_copies or (i == firsts[0][0] and t == text and k == line)
-        out.append((i, k, firsts[0][0], line, len(members), links[x], stays))
+        out.append((i, k, firsts[0][0], line, len(members), len({r[3] for r in members}), stays))
     return sorted(out, key=str)
 
 

@@ -52,6 +52,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Names for columns of our own that no column of a table has, in any case."""
+    taken, out, k = {x.lower() for x in df.columns}, [], 0
+    while len(out) < n:
+        if f"_own{k}" not in taken:
+            out.append(f"_own{k}")
+        k += 1
+    return out
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow, with this package at hand on the workers."""
     ship(df.sparkSession)

@@ -5,10 +5,20 @@ are linked; shorter ones only equal each other.  A line of length l is cut into
 EDITS + 1 even segments.  If two lines are within EDITS edits, some segment of the
 shorter one stands unchanged in the longer one, at a place that the difference
 of lengths and the segment's number narrow down to a few.  So every different
-line is indexed by its segments (key: length, number, content) and probes the
-index with those few substrings for each length it may meet.  Lines meet only if
-the counts of some letters are near enough, too.  Pairs that meet
-are verified by a bit-parallel edit distance on a band of 2 * EDITS + 1 diagonals.
+line is indexed by its segments (key: number, size, content) and probes the
+index with those few substrings for each length it may meet; probes that fall
+together for several lengths are one key.  A key's rows are dealt once: an
+aggregate finds the keys that are indexed, and what meets them is joined to it.
+
+Keys that lines share are few.  Each of their members is paired with the key's
+``PIVOTS`` most central lines, which is every pair for small keys and a linear
+number for large ones.  Pairs pass if their lengths and the letter counts of the
+whole lines and of their halves allow so few edits, and are then verified by a
+bit-parallel edit distance on a band of 2 * EDITS + 1 diagonals, after their
+common beginning and end.  For large keys, lines that the pivots left in
+different components still meet, by length and in blocks of bounded size, under
+the same exact bounds.  So no link between two classes is lost, and no key is
+paired out in full.
 
 Links join lines into classes.  A class with at least ``MIN_COPIES`` lines, over
 all documents, is a repeat: its first line (by document id, then line) stays,
@@ -18,12 +28,13 @@ Defined results: null text has no lines; lines of white space only have no class
 and always stay.  Rows with null id come after all others.  Repeated rows (same
 id and text) share every decision, so that a first line stays in each of them.
 Very long lines are joined like any other.  Lines are told apart by 128 bits of
-hash, nodes of the link graph by 64.
+hash.  An empty table gives an empty one.  Other columns are passed through
+``dedup_lines`` whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,6 +43,10 @@ from .components import components
 EDITS = 2
 MIN_CHARS = 16
 MIN_COPIES = 2
+#: Central lines that each member of a key is paired with.
+PIVOTS = 4
+#: Lines of a key that meet the others at once; larger keys are dealt out in such blocks.
+BLOCK_LINES = 512
 #: Rows that may be broadcast, after they have been counted; beyond it, a merge join.
 BROADCAST_ROWS = 200_000
 
@@ -43,43 +58,41 @@ def line_rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def _has_text(line: str) -> Column:
-    return F.col(line).rlike(r"[^\s]")
+    return (F.ascii(line) > 32) | F.col(line).rlike(r"[^\s]")  # the first character mostly tells
 
 
-def segment(length: Column, number: Column, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of a segment of lines of some length."""
-    parts = edits + 1
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    first_long = F.lit(parts) - longer
-    return base * number + F.greatest(F.lit(0), number - first_long), base + (number >= first_long).cast("int")
-
-
-def index_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(h1, sign, key): a key for each of a line's own segments."""
-    each = lines.select("h1", "sign", "line", "length", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("k"))
-    start, size = segment(F.col("length"), F.col("k"), edits)
-    return each.select("h1", "sign", F.xxhash64("length", "k", F.substring("line", start + 1, size)).alias("key"))
+def key_slots(edits: int) -> list[list[tuple[int, int, int, bool]]]:
+    """For each remainder of a length by edits + 1, its keys: segment, start and size against the even ones, and whether it is a segment of the line's own.
 
+    The others are substrings that may equal a segment of a line up to ``edits`` shorter, or as long.
+    """
+    parts = edits + 1
+    out = []
+    for remainder in range(parts):
+        found: dict[tuple[int, int, int], bool] = {}
+        for shorter in range(edits + 1):
+            fewer, rest = divmod(remainder - shorter, parts)
+            for k in range(parts):
+                later = max(0, k - (parts - rest))  # longer segments come last
+                for shift in range(max(-k, shorter - (edits - k)), min(k, shorter + (edits - k)) + 1):
+                    key = (k, fewer * k + later + shift, fewer + (k >= parts - rest))
+                    found[key] = found.get(key, False) or (shorter == 0 and shift == 0)
+        out.append([(*key, own) for key, own in sorted(found.items())])
+    return out
 
-def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(h1, sign, key): a key for each substring that may equal a segment of another line as long or up to ``edits`` shorter.
 
-    Keys that are a line's own index keys (as long, not shifted) are left out.
-    """
-    spots = [
-        (shorter, k, shift)
-        for shorter in range(edits + 1)
-        for k in range(edits + 1)
-        for shift in range(max(-k, shorter - (edits - k)), min(k, shorter + (edits - k)) + 1)
-        if shorter or shift
-    ]
-    spot = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("shorter", "k", "shift"), x, strict=True)]) for x in spots]))
-    each = lines.select("h1", "sign", "line", "length", spot.alias("at"))
-    other = F.col("length") - F.col("at.shorter")
-    start, size = segment(other, F.col("at.k"), edits)
-    start = start + F.col("at.shift")
-    inside = each.where((start >= 0) & (start + size <= F.col("length")))
-    return inside.select("h1", "sign", F.xxhash64(other, F.col("at.k"), F.substring("line", start + 1, size)).alias("key"))
+def segment_keys(line: str, edits: int) -> list[tuple[Column, Column]]:
+    """The keys of a line (null beyond its last one), each with whether it belongs to the index."""
+    slots = key_slots(edits)
+    length = F.length(line)
+    base, remainder = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
+    out = []
+    for j in range(max(map(len, slots))):
+        pick = lambda n: F.get(F.array(*[F.lit(x[j][n] if j < len(x) else None) for x in slots]), remainder)  # noqa: B023, E731
+        k, start, size = pick(0), base * pick(0) + pick(1), base + pick(2)
+        inside = k.isNotNull() & (size > 0) & (start >= 0) & (start + size <= length)
+        out.append((F.when(inside, F.xxhash64(k, size, F.substring(line, start + 1, size))), pick(3)))
+    return out
 
 
 def edits_within(a: Column, b: Column, most: int) -> Column:
@@ -118,98 +131,156 @@ def edits_within(a: Column, b: Column, most: int) -> Column:
         half = F.shiftright(d0, 1)
         return F.struct(d.cast("int").alias("d"), hn.bitwiseOR(bit_not(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"))
 
-    def bind(value: Column, use) -> Column:
-        """use(value), with the value worked out once."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
     start = F.struct(F.least(F.lit(most), n_rows).alias("d"), long(full & ~((1 << most) - 1)).alias("vp"), long(0).alias("vn"))
     chars = F.struct(F.split(a, "").alias("rows"), F.transform(F.split(b, ""), lambda c, j: F.struct(c.alias("char"), j.alias("j"))).alias("columns"))
-    distance = bind(chars, lambda s: F.aggregate(s["columns"], start, lambda acc, at: bind(bind(step(acc, at, s["rows"]), diagonal), finish), lambda acc: acc["d"]))
+    distance = _bind(chars, lambda s: F.aggregate(s["columns"], start, lambda acc, at: _bind(_bind(step(acc, at, s["rows"]), diagonal), finish), lambda acc: acc["d"]))
     return F.when((n_rows > 0) & (n_columns > 0), distance <= most).otherwise(F.greatest(n_rows, n_columns) <= most)
 
 
-def _counts_apart(a: str, b: str) -> Column:
-    """A lower bound of twice the edits: how far the counts of some letters are apart."""
-    apart = F.lit(0)
-    for letter in "etaoinshrdlu ":
-        count = [F.length(x) - F.length(F.replace(F.col(x), F.lit(letter), F.lit(""))) for x in (a, b)]
-        apart = apart + F.abs(count[0] - count[1])
-    return apart
+def _bind(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-#: Letters whose counts, modulo 16, make up a line's signature.
-LETTERS = "etaoinsr"
+def _same_start(a: Column, b: Column) -> Column:
+    """How many characters two different strings begin with alike, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    most = F.least(F.length(a), F.length(b))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((step <= most - n) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step)), n + step).otherwise(n))
 
 
-def signature(line: str) -> Column:
-    out = F.lit(0)
-    for k, letter in enumerate(LETTERS):
-        count = F.length(line) - F.length(F.replace(F.col(line), F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count % 16, 4 * k))
-    return out
+def _after(text: Column, n: Column) -> Column:
+    return F.substring(text, n + 1, F.length(text))
+
+
+def different_parts(a: Column, b: Column) -> Column:
+    """(a, b) without their common beginning and end, reversed, which changes no edit distance."""
+    cut = lambda x, y: _bind(F.struct(x.alias("a"), y.alias("b"), _same_start(x, y).alias("n")), lambda s: F.struct(_after(s["a"], s["n"]).alias("a"), _after(s["b"], s["n"]).alias("b")))
+    return _bind(cut(a, b), lambda s: cut(F.reverse(s["a"]), F.reverse(s["b"])))
+
+
+# Letters that signatures count; and codes of counts modulo 8 whose bits differ as often as the counts are apart.
+LETTERS = "etaoinshrdlcumw "
+AROUND = [0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000]
+SIGNATURES = ["whole", "first", "second"]
+
+
+def with_signatures(lines: DataFrame) -> DataFrame:
+    """lines with codes of the letter counts of each line and of its halves."""
+    half = F.substring("line", F.lit(1), F.floor(F.length("line") / 2).cast("int"))
+    count = lambda text, letter: F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+    counted = lines.withColumn("half", half).withColumns({"in_line": F.array(*[count(F.col("line"), x) for x in LETTERS]), "in_half": F.array(*[count(F.col("half"), x) for x in LETTERS])})
+    places = F.sequence(F.lit(0), F.lit(len(LETTERS) - 1))
+    around = F.array(*map(F.lit, AROUND))
+    code = lambda value: F.aggregate(places, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.get(around, value(k) % 8).cast("long"), 4 * k)))
+    at = lambda name: lambda k: F.get(F.col(name), k)
+    return counted.withColumns({"whole": code(at("in_line")), "first": code(at("in_half")), "second": code(lambda k: at("in_line")(k) - at("in_half")(k))}).drop("half", "in_line", "in_half")
+
+
+def may_link(edits: int) -> Column:
+    """Exact bounds for rows with lengths and signatures of two lines (the other's end in 2): an edit moves a count by two at most, in the line and in each half."""
+    near = F.abs(F.col("length") - F.col("length2")) <= edits
+    for name in SIGNATURES:
+        near = near & (F.bit_count(F.col(name).bitwiseXOR(F.col(f"{name}2"))) <= 2 * edits)
+    return near
 
 
-def signatures_near(a: str, b: str, edits: int) -> Column:
-    """Whether the counts of letters allow so few edits: an edit changes two of them by one at most."""
-    apart = F.lit(0)
-    for k in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)))
-        apart = apart + F.least(d, 16 - d)
-    return apart <= 2 * edits
+def shared_keys(usable: DataFrame, edits: int) -> DataFrame:
+    """(key, h1, own, pivot) of the lines that meet an index line (the pivot, the least) in a key, without the pivots themselves."""
+    slots = [f"key{j}" for j in range(max(map(len, key_slots(edits))))]
+    keys = [key for key, _ in segment_keys("line", edits)]
+    # Equal lines are one before anything is dealt by key.
+    lines = usable.select("h1", F.length("line").alias("length"), *[k.alias(x) for x, k in zip(slots, keys, strict=True)]).groupBy("h1").agg(F.max("length").alias("length"), *[F.max(x).alias(x) for x in slots])
+    own = F.get(F.array(*[F.array(*[F.lit(x[3]) for x in some]) for some in key_slots(edits)]), F.col("length") % (edits + 1))
+    each = lines.select("h1", own.alias("owns"), F.posexplode(F.array(*slots)).alias("slot", "key")).where("key is not null").select("key", "h1", F.get("owns", F.col("slot")).alias("own"))
+    dealt = each.repartition("key")
+    pivots = dealt.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("h1"))).alias("pivot")).where("pivot is not null")
+    return dealt.join(pivots.hint("shuffle_hash"), "key").where("h1 <> pivot")
 
 
-def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Links (a, b), a < b, of different lines (by h1) within some edits of each other."""
+def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Lines (node, h1, h2, n, first) that meet others in a key, and links (a, b) of nodes that join those within some edits into components."""
     usable = rows.where((F.length("line") >= min_chars) & _has_text("line"))
-    # The signature costs more than the keys, so it is worked out once, before the lines are dealt.
-    lines = usable.withColumn("sign", signature("line")).groupBy("h1").agg(F.first("line").alias("line"), F.first("sign").alias("sign")).withColumn("length", F.length("line"))
-    index, probes = index_keys(lines, edits), probe_keys(lines, edits)
-
-    def meet(others: DataFrame, differ: Column) -> DataFrame:
-        other = others.select(F.col("h1").alias("other"), F.col("sign").alias("other_sign"), "key")
-        return index.hint("merge").join(other, "key").where(differ & signatures_near("sign", "other_sign", edits)).select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b"))
-
-    # Lines that meet in the index alone meet both ways; one is enough.
-    pairs = common.stage(meet(index, F.col("h1") < F.col("other")).union(meet(probes, F.col("h1") != F.col("other"))).distinct(), "line-pairs")
-    needed = common.stage(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-needed")
-    small = needed.count() <= BROADCAST_ROWS
-    texts = usable.select("h1", "line").join(F.broadcast(needed) if small else needed.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
-    texts = common.stage(texts, "line-texts")
-    one, two = (texts.select(F.col("h1").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b")
-    near = both.where(F.abs(F.length("line_a") - F.length("line_b")) <= edits).where(_counts_apart("line_a", "line_b") <= 2 * edits)
-    return near.where(edits_within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+    met = common.stage(shared_keys(usable, edits), "line-met")
+    members = met.select("key", "h1", "own").union(met.select("key", F.col("pivot").alias("h1"), F.lit(True).alias("own"))).distinct()
+    needed = common.stage(members.select("h1").distinct(), "line-needed")
+    side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed.hint("merge")
+    chosen = usable.join(side, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min(place()).alias("first_place"))
+    texts = common.stage(with_signatures(chosen.withColumns({"node": F.monotonically_increasing_id(), "length": F.length("line")})), "line-texts")
+    known = texts.select("h1", "node", "length", *SIGNATURES)
+    entries = common.stage(members.hint("merge").join(known, "h1").drop("h1"), "line-entries")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size"))
+    entries = entries.hint("merge").join(sizes.where("size > 1"), "key")
+    central = entries.groupBy("node").agg(F.sum("size").alias("central"))
+    order = Window.partitionBy("key").orderBy(F.desc("central"), "node")
+    tops = entries.hint("merge").join(central, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).drop("place", "central", "size")
+
+    def meeting(one: DataFrame, other: DataFrame, on: list[str], differ: Column) -> DataFrame:
+        other = other.select(*on, *[F.col(x).alias(f"{x}2") for x in other.columns if x not in on])
+        met = one.hint("merge").join(other, on).where(differ & may_link(edits))
+        return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
+        both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b")
+        # Few bytes may be much work: more tasks than bytes alone would give.
+        both = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+        close = _bind(different_parts(F.col("line_a"), F.col("line_b")), lambda s: edits_within(s["a"], s["b"], edits))
+        return common.stage(both.where(close).select("a", "b"), "line-links")
+
+    links = verified(meeting(entries.drop("size"), tops, ["key"], (F.col("node") != F.col("node2")) & (F.col("own") | F.col("own2"))))
+    large = entries.where(F.col("size") > pivots + 1)
+    if large.isEmpty():
+        return texts, links
+    found = common.stage(components(links), "line-components")
+    parts = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = parts.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    parts = common.stage(parts.join(several, "key", "left_semi"), "line-parts")
+    # The index line is as long as the other or up to some edits shorter; it meets each block of the others.
+    blocks = F.ceil(F.col("size") / BLOCK_LINES).cast("int")
+    index = parts.where("own").withColumn("at", F.col("length")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size", "own")
+    others = parts.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("at", F.explode(F.sequence(F.col("length") - edits, F.col("length")))).drop("size", "own")
+    return texts, common.stage(links.union(verified(meeting(index, others, ["key", "at", "block"], F.col("component") != F.col("component2")))), "line-links")
+
+
+def place() -> Column:
+    """Where a line stands among all: rows with null id come last."""
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "line_no")
 
 
 def line_decisions(rows: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Of each different line (h1, h2): the first line of its class, the class's lines, and its links to other texts."""
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "line_no")
-    nodes = common.stage(rows.where(_has_text("line")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")), "line-nodes")
-    links = common.stage(similar_lines(rows, edits, min_chars), "line-links")
-    found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("h1")).groupBy("h1").agg(F.count("*").alias("n_links"))
-    known = nodes.join(found, nodes["h1"] == found["node"], "left").join(degree, "h1", "left")
-    known = common.stage(known.select("h1", "h2", "n", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "h1").alias("component")), "line-known")
-    classes = known.groupBy("component").agg(F.sum("n").alias("class_lines"), F.min("first").alias("class_first"))
-    return known.select("h1", "h2", "n_links", "component").hint("merge").join(classes, "component").drop("component")
+    """Of each line (h1, h2) that repeats or is linked: the first line of its class, the class's lines, and the class's different texts."""
+    repeats = rows.where(_has_text("line")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place()).alias("first_place")).where("n > 1")
+    texts, links = similar_lines(rows, edits, min_chars)
+    found = common.stage(components(links), "line-components")
+    linked = texts.hint("merge").join(found, "node").select("h1", "h2", "n", "first_place", "component")
+    alone = repeats.hint("merge").join(linked.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    # A class of one text is named by its hashes, any other by its component.
+    known = common.stage(alone.withColumn("component", F.lit(None).cast("long")).select(linked.columns).union(linked), "line-known")
+    name = [F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).alias("c2")]
+    classes = known.groupBy(*name).agg(F.sum("n").alias("class_lines"), F.min("first_place").alias("class_first"), F.count("*").alias("class_texts"))
+    same = known.select("h1", "h2", *name).withColumnsRenamed({"c1": "k1", "c2": "k2"}).hint("merge").join(classes, (F.col("k1") == F.col("c1")) & F.col("k2").eqNullSafe(F.col("c2")))
+    return same.select("h1", "h2", "class_lines", "class_first", "class_texts")
 
 
 def line_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, min_copies: int = MIN_COPIES) -> DataFrame:
-    """Of every line: id, line_no, the id and line_no of its class's first line, the class's lines, its links, and whether it stays."""
+    """Of every line: id, line_no, the id and line_no of its class's first line, the class's lines and different texts, and whether it stays."""
     rows = line_rows(docs, id_column, text)
     decided = common.stage(line_decisions(rows, edits, min_chars), "line-decisions")
-    out = rows.drop("line").hint("merge").join(decided, ["h1", "h2"], "left")
+    out = rows.select("id", "text_key", "line_no", "h1", "h2", _has_text("line").alias("some")).hint("merge").join(decided, ["h1", "h2"], "left")
     first = F.col("class_first")
     is_first = F.col("id").eqNullSafe(first["id"]) & (F.col("text_key") == first["text_key"]) & (F.col("line_no") == first["line_no"])
+    alone = first.isNull()
+    own = lambda value, other: F.when(F.col("some"), F.when(alone, value).otherwise(other))
     return out.select(
         F.col("id").alias(id_column),
         "text_key",
         "line_no",
-        first["id"].alias("class_id"),
-        first["line_no"].alias("class_line_no"),
-        "class_lines",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (F.col("class_lines").isNull() | (F.col("class_lines") < min_copies) | is_first).alias("kept"),
+        own(F.col("id"), first["id"]).alias("class_id"),
+        own(F.col("line_no"), first["line_no"]).alias("class_line_no"),
+        own(F.lit(1).cast("long"), F.col("class_lines")).alias("class_lines"),
+        own(F.lit(1).cast("long"), F.col("class_texts")).alias("class_texts"),
+        (alone | (F.col("class_lines") < min_copies) | is_first).alias("kept"),
     )
 
 
@@ -218,16 +289,17 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     Texts that keep no line with text become what white space they have, or go if drop_emptied: they repeat others in full.
     """
+    row_id, row_key, key, gone_lines, all_lines, rest_text = common.free_names(docs, 6)
     gone = line_classes(docs, id_column, text, edits, min_chars, min_copies).where("not kept")
-    per_text = gone.groupBy(F.col(id_column).alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
+    per_text = gone.groupBy(F.col(id_column).alias(row_id), F.col("text_key").alias(row_key)).agg(F.collect_set("line_no").alias(gone_lines))
     per_text = common.stage(per_text, "line-gone")
-    lines_gone = per_text.agg(F.sum(F.size("_gone"))).first()[0] or 0  # counted before it may be broadcast
+    lines_gone = per_text.agg(F.sum(F.size(gone_lines))).first()[0] or 0  # counted before it may be broadcast
     side = F.broadcast(per_text) if lines_gone <= 10 * BROADCAST_ROWS else per_text.hint("merge")
-    joined = docs.withColumn("_text_key", F.xxhash64(F.col(text))).join(side, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    joined = docs.withColumn(key, F.xxhash64(F.col(text))).join(side, F.col(id_column).eqNullSafe(F.col(row_id)) & (F.col(key) == F.col(row_key)), "left")
     lines = F.split(F.col(text), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(stay, lambda k: F.get(F.col("_lines"), k)), "\n")
-    cut = joined.withColumn("_lines", lines).withColumn("_cut", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_lines))
+    rest = F.array_join(F.transform(stay, lambda k: F.get(F.col(all_lines), k)), "\n")
+    cut = joined.withColumn(all_lines, lines).withColumn(rest_text, F.when(F.col(gone_lines).isNull(), F.col(text)).otherwise(rest))
     if drop_emptied:
-        cut = cut.where(F.col("_gone").isNull() | _has_text("_cut"))
-    return cut.select(*[F.col("_cut").alias(c) if c == text else F.col(c) for c in docs.columns])
+        cut = cut.where(F.col(gone_lines).isNull() | _has_text(rest_text))
+    return cut.select(*[F.col(rest_text).alias(c) if c == text else F.col(c) for c in docs.columns])
