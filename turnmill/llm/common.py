@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from turnmill.shipping import ship
 
 #: Bytes of text handled at once inside an Arrow function.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers, at most; one row may be larger.
+ARROW_BYTES = 4 << 20
+#: Bytes of a row group of staged tables, which each writing task holds in memory.
+ROW_GROUP_BYTES = 16 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -32,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="turnmill-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
@@ -48,8 +55,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _staged[id(out)] = (weakref.ref(out, lambda _, key=id(out): _staged.pop(key, None)), path)
+    return out
+
+
+def forget(*staged: DataFrame) -> None:
+    """Delete staged tables that no later job reads: what was made of them has been written since."""
+    for df in staged:
+        if id(df) in _staged:
+            jvm, path = df.sparkSession._jvm, _staged.pop(id(df))[1]
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: The paths of staged tables, by the identity of their frames.
+_staged: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def free_names(df: DataFrame, n: int) -> list[str]:
@@ -63,8 +85,11 @@ def free_names(df: DataFrame, n: int) -> list[str]:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow, with this package at hand on the workers."""
-    ship(df.sparkSession)
+    """mapInArrow, with this package at hand on the workers and batches of bounded bytes."""
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(run, schema)
 
 

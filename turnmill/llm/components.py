@@ -30,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.hint("merge").join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        current = common.stage(small.where("a <> b").distinct(), "links")
+        older, current = current, common.stage(small.where("a <> b").distinct(), "links")
+        common.forget(older)
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").cast(kind).alias("node"), F.col("b").alias("component")).union(roots)

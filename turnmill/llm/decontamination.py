@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of whole documents of one scan task (about ``CHUNK_BYTES`` of
+A shard is a run of whole documents of one scan task (about ``SHARD_BYTES`` of
 text).  Its words become symbols: the words that benchmark windows use have a
 code each, every run of other words (and every document's end) is one *other*
 symbol.  Over this string we build a suffix array, its Burrows-Wheeler
@@ -34,6 +34,8 @@ from . import common
 
 #: Words of a window.
 WINDOW = 10
+#: Bytes of text of a shard; longer documents are a shard of their own.
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text sent to the executors at once.
 BLOCK_BYTES = 8 << 20
 #: Different words of a pass: symbols, with two of their own, are packed in 16 bits.
@@ -259,7 +261,7 @@ def _pass(phrases: Phrases, text: str, schema: pa.Schema, clean: bool):
     """One pass over the documents: adds n_words, spans and items; on the last pass may cut the spans out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, text, SHARD_BYTES):
             raw, limits = common.text_buffer(batch.column(text))
             low = common.LOWER[raw]
             starts, ends, rows = common.word_spans(low, limits, WORD_BYTES)

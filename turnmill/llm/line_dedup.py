@@ -209,6 +209,7 @@ def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     texts = common.stage(with_signatures(chosen.withColumns({"node": F.monotonically_increasing_id(), "length": F.length("line")})), "line-texts")
     known = texts.select("h1", "node", "length", *SIGNATURES)
     entries = common.stage(members.hint("merge").join(known, "h1").drop("h1"), "line-entries")
+    common.forget(met, needed)
     sizes = entries.groupBy("key").agg(F.count("*").alias("size"))
     entries = entries.hint("merge").join(sizes.where("size > 1"), "key")
     central = entries.groupBy("node").agg(F.sum("size").alias("central"))

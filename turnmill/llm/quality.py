@@ -169,4 +169,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold; the columns stay."""
-    return score(docs, train(docs, labels), score_column="_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    (name,) = common.free_names(docs, 1)
+    return score(docs, train(docs, labels), score_column=name).where(F.col(name) >= THRESHOLD).drop(name)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from . import common
 
 #: Pieces whose ids a worker keeps.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 #: The vocabulary file by default.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -54,13 +54,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes in order, and the number of each one's piece
+        self.number = np.zeros(0, np.int32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.uint16)
         self.used = 0
 
-    def _learn(self, pieces: list[str], hashes: list[int]) -> None:
+    def _learn(self, pieces: list[str], hashes: np.ndarray) -> None:
         n, at = len(self.known), self.used
         for k in range(0, len(pieces), 4000):
             part = pieces[k : k + 4000]
@@ -78,7 +79,9 @@ class Encoder:
             self.starts[n : n + len(part)] = at + np.cumsum(sizes) - sizes
             n, self.used = n + len(part), self.used + len(ids)
             at = self.used
-        self.known.update(zip(hashes, range(len(self.known), n), strict=True))
+        place = np.searchsorted(self.known, hashes)
+        self.number = np.insert(self.number, place, np.arange(len(self.known), n, dtype=np.int32))
+        self.known = np.insert(self.known, place, hashes)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and row limits (n + 1)."""
@@ -90,13 +93,14 @@ class Encoder:
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > CACHE_PIECES:
             self._forget()
-        known = self.known
-        keys = unique.tolist()
-        new = [k for k, h in enumerate(keys) if h not in known]
-        if new:
+        found = np.searchsorted(self.known, unique)
+        new = np.ones(len(unique), bool)
+        inside = found < len(self.known)
+        new[inside] = self.known[found[inside]] != unique[inside]
+        if new.any():
             whole = low.tobytes()
-            self._learn([whole[starts[first[k]] : ends[first[k]]].decode("utf-8", "replace") for k in new], [keys[k] for k in new])
-        at = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse]
+            self._learn([whole[starts[k] : ends[k]].decode("utf-8", "replace") for k in first[new]], unique[new])
+        at = self.number[np.searchsorted(self.known, unique)][inverse]
         sizes = self.sizes[at].astype(np.int64)
         ids = self.flat[common.ragged(self.starts[at], sizes)]
         totals = np.concatenate([[0], np.cumsum(sizes)])[rows]
