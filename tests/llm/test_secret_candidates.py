@@ -10,3 +10,17 @@ def test_candidates_without_digits_or_with_marks(spark):
     found = {r["doc_id"]: (r["start"], r["candidate"]) for r in got}
     assert {k: v for k, v in found.items()} == {k: (len(a) + 1, x) for k, (a, x, _) in enumerate(SECRETS)}
     assert [r["doc_id"] for r in got if not r["is_secret"]] == []
+
+
+def test_long_headers_do_not_recurse(spark):
+    many = "-----BEGIN " + "AB " * 350_000
+    rows = [(1, many), (2, many + "PRIVATE KEY-----"), (3, None), (4, "")]
+    got = ss.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start"], r["length"], r["score"]) for r in got] == [(2, 1, len(many) + 16, 1.0)]
+
+
+def test_neighbours_are_other_candidates_too(spark):
+    two = "password=Tr4v.e!l9z token=9fQ2mXw7LpZ4nRt8"
+    got = ss.candidates(spark.createDataFrame([(1, two)], "doc_id long, text string")).orderBy("start").collect()
+    assert [r["before"] for r in got] == ["password=", two[: two.index("9fQ")]]
+    assert got[0]["after"] == two[two.index(" token") :][:24]

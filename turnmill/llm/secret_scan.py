@@ -14,9 +14,16 @@ by default on ``labelled_findings``, which builds keys of usual formats and the
 usual look-alikes (digests, ids, paths, placeholders, long words and numbers)
 from a counter and md5.  Its features come from the same column expressions.
 
+Not candidates are values with white space or quotes inside, and strings of fewer
+than 16 characters or without a digit unless a secret word or a known prefix
+stands before them.
+
 Defined results: null and empty text has no findings.  A finding's start counts
-characters from 1.  Repeated rows have findings of their own.  Header lines of
-private keys always score 1.
+characters from 1.  Repeated rows have findings of their own, and so has each
+place where one string occurs; equal scores do not compete.  Header lines of
+private keys always score 1.  Very long texts are scanned whole, by patterns
+that do not recurse.  An empty table has no findings.  Columns of docs other than
+id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ VALUE = rf"(?<=[=:\"' ])(?:(?<=[=:\"'])|(?<=[=:>] ))(?i:{_SET})[^\s\"']{{7,}}[^\
 BEARER = r"(?<=[rR] )(?:(?<=[bB]earer )|(?<=BEARER ))[A-Za-z0-9._~+/\-]{8,}={0,2}"
 PREFIXED = r"(?<![A-Za-z0-9+/_\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|glpat-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)"
 LONG = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-CANDIDATE = "|".join([r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", VALUE, BEARER, PREFIXED, LONG])
+CANDIDATE = "|".join([r"-----BEGIN [A-Z ]*PRIVATE KEY-----", VALUE, BEARER, PREFIXED, LONG])
 BEFORE, AFTER = 48, 24
 THRESHOLD = 0.5
 TREES, DEPTH = 15, 5
@@ -213,8 +220,9 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
                 "_found",
                 lambda c, k: F.struct(
                     c.alias("candidate"),
-                    F.right(F.get("_between", k), F.lit(BEFORE)).alias("before"),
-                    F.left(F.get("_between", k + 1), F.lit(AFTER)).alias("after"),
+                    # What stands around may be another candidate.
+                    F.right(F.concat(F.coalesce(F.get("_found", k - 1), F.lit("")), F.get("_between", k)), F.lit(BEFORE)).alias("before"),
+                    F.left(F.concat(F.get("_between", k + 1), F.coalesce(F.get("_found", k + 1), F.lit(""))), F.lit(AFTER)).alias("after"),
                     F.length(F.get("_between", k)).alias("skipped"),
                 ),
             )
