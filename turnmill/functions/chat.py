@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,13 +40,19 @@ def render_chatml(messages: Column) -> Column:
 
 
 def read_tagged(text: Column) -> Column:
-    """The messages of a text in either of two tagged layouts; role model is assistant."""
-    def read(pattern: str) -> Column:
-        roles, contents = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
-        return F.transform(F.arrays_zip(roles.alias("r"), contents.alias("c")), lambda m: message(F.when(m["r"] == "model", F.lit("assistant")).otherwise(m["r"]), F.trim(m["c"], F.lit("\n"))))
+    """The messages of a text in either of two tagged layouts; role model is assistant.
 
-    chatml = read(r"(?s)<\|im_start\|>(\w+)\n(.*?)<\|im_end\|>")
-    return F.when(F.size(chatml) > 0, chatml).otherwise(read(r"(?s)<start_of_turn>(\w+)\n(.*?)<end_of_turn>"))
+    A message reaches to the next opening tag, whether it is closed or not; only line ends behind it go.
+    """
+
+    def read(opening: str, closing: str) -> Column:
+        roles = F.regexp_extract_all(text, F.lit(opening), F.lit(1))
+        parts = F.split(text, opening)
+        said = lambda k: F.regexp_replace(F.replace(F.get(parts, k + 1), F.lit(closing), F.lit("")), r"\n+\z", "")
+        return F.transform(roles, lambda r, k: message(F.when(r == "model", F.lit("assistant")).otherwise(r), said(k)))
+
+    turns = read(r"<start_of_turn>(user|model)\n", "<end_of_turn>")
+    return F.when(F.contains(text, F.lit("<start_of_turn>")), turns).otherwise(read(r"<\|im_start\|>(\w+)\n", "<|im_end|>"))
 
 
 def with_system(messages: Column) -> Column:
@@ -71,7 +79,61 @@ def own_turns(system: Column, turns: Column, speaker: Column) -> Column:
     return F.concat(F.array(message("system", system)), said)
 
 
+def frame_for_loss(text: Column, merge_system: bool = False) -> Column:
+    """An utterance as a model's own turn: alone, or after an empty user turn where templates want one."""
+    own = [message("assistant", text)]
+    return render(F.array(*([message("user", ""), *own] if merge_system else own)))
+
+
+def as_conversation(said: Column) -> Column:
+    """Utterances as messages of the older layout: the first is the system's, all others the assistant's."""
+    return F.transform(said, lambda s, k: message(F.when(k == 0, F.lit("system")).otherwise(F.lit("assistant")), s))
+
+
 def loss_mask(roles: Column, lengths: Column) -> Column:
     """Per token, whether it belongs to an assistant message, for messages of so many tokens."""
     each = F.zip_with(roles, lengths, lambda r, n: F.array_repeat(F.when(r == "assistant", F.lit(1)).otherwise(F.lit(-100)), n))
     return F.flatten(each)
+
+
+def _starts(ids: np.ndarray, marker: list[int]) -> np.ndarray:
+    """Where a run of ids begins in others."""
+    if len(ids) < len(marker):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((np.lib.stride_tricks.sliding_window_view(ids, len(marker)) == marker).all(1))
+
+
+def reply_labels(ids: list[int], own: list[int], other: list[int], ignore: int = -100) -> list[int]:
+    """Ids with everything outside a speaker's replies ignored.
+
+    A reply begins behind the own marker and ends where the other's marker
+    begins.  What comes before the first reply is ignored, and so is what
+    follows a marker of the other that no reply answers.
+    """
+    labels = np.array(ids, np.int64)
+    replies, others = _starts(labels, own) + len(own), _starts(labels, other)
+    if len(replies) and len(others) and others[0] > replies[0]:
+        others = np.concatenate([[0], others])
+    for k, (a, b) in enumerate(zip(others.tolist(), replies.tolist(), strict=False)):
+        labels[a if k else 0 : b] = ignore
+    if len(replies) < len(others):
+        labels[others[-1] :] = ignore
+    return labels.tolist()
+
+
+def label_replies(ids: Column, alice: list[int], bob: list[int], you_are_alice: list[int], you_are_bob: list[int], ignore: int = -100) -> Column:
+    """Training labels of token ids: the replies of the speaker that the text addresses (Alice, unless it addresses Bob)."""
+    from turnmill.shipping import ship
+
+    @F.pandas_udf("array<int>")
+    def labels(column: pd.Series) -> pd.Series:
+        def of(row):
+            if row is None:
+                return None
+            is_bob = len(_starts(np.asarray(row), you_are_bob)) > 0
+            return reply_labels(list(row), *((bob, alice) if is_bob else (alice, bob)), ignore)
+
+        return column.map(of)
+
+    ship()
+    return labels(ids)

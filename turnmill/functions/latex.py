@@ -83,6 +83,33 @@ def equivalent(a: str | None, b: str | None) -> bool:
     return x is not None and x == y
 
 
+def value_of(text: Column) -> Column:
+    """The value of a number, percentage, or fraction, as a double; null for anything else.
+
+    Equal rationals have equal doubles, since a quotient of whole numbers is rounded once.
+    """
+    plain = F.btrim(F.replace(F.replace(F.regexp_replace(text, r"\s|\\left|\\right|\\!|\\,", ""), F.lit("dfrac"), F.lit("frac")), F.lit("tfrac"), F.lit("frac")), F.lit("$"))
+    minus = F.when(F.startswith(plain, F.lit("-")), -1.0).otherwise(1.0)
+    plain = F.regexp_replace(plain, "^-", "")
+    number = r"(-?[0-9]+(?:\.[0-9]+)?|-?\.[0-9]+)"
+    fraction = rf"^(?:\\?frac\{{{number}\}}\{{{number}\}}|\(?{number}\)?/\(?{number}\)?)$"
+    part = lambda k: F.nullif(F.regexp_extract(plain, fraction, k), F.lit("")).cast("double")
+    share = F.coalesce(part(1), part(3)) / F.nullif(F.coalesce(part(2), part(4)), F.lit(0.0))
+    bare = F.replace(F.regexp_replace(plain, r"\\?%$", ""), F.lit(","), F.lit(""))
+    whole = F.when(bare.rlike(rf"^{number}$"), bare.try_cast("double"))
+    return minus * F.when(plain.rlike(fraction), share).when(plain.rlike("%$"), whole / 100.0).otherwise(whole)
+
+
+def answer_key(text: Column) -> Column:
+    """Equal for equivalent answers: the value, or else the text without white space."""
+    return F.coalesce(F.concat(F.lit("="), value_of(text).cast("string")), F.regexp_replace(text, r"\s", ""))
+
+
+def native_equal(a: Column, b: Column) -> Column:
+    """Equivalence as ``equivalent`` has it, in column functions; null is equal to nothing."""
+    return F.coalesce(answer_key(a) == answer_key(b), F.lit(False))
+
+
 def latex_equal(a: Column, b: Column, comparator: Callable[[str | None, str | None], bool] = equivalent) -> Column:
     @F.pandas_udf(BooleanType())
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:

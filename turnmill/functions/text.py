@@ -6,8 +6,10 @@ pattern, because SQL ``trim`` takes blanks only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,8 +139,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def token_count(text: Column) -> Column:
-    return F.size(tokens(text))
+#: What makes an array of tokens of a text; a column function, or the call of a user's own Arrow function.
+Tokenizer = Callable[[Column], Column]
+
+
+def token_count(text: Column, tokenizer: Tokenizer = tokens) -> Column:
+    return F.size(tokenizer(text))
 
 
 def strip_speaker(text: Column) -> Column:
@@ -210,15 +216,67 @@ def edit_share_new(old: Column, new: Column) -> Column:
     return F.levenshtein(old, new) / (F.length(new) + 1)
 
 
-def _numbered(items: Column) -> Column:
-    """Items in order, each with its number among its equals, so that a multiset becomes a set."""
-    each = F.transform(F.array(F.sort_array(items)), lambda s: F.transform(s, lambda t, k: F.concat(t, F.lit(" "), (k - F.array_position(s, t)).cast("string"))))
-    return F.get(each, F.lit(0))
+def shared_count(a: Column, b: Column) -> Column:
+    """The size of the intersection of two multisets: one walk through both, sorted together."""
+    of = lambda items, side: F.transform(items, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("a"), F.lit(0).alias("both"))
+
+    def step(held: Column, x: Column) -> Column:
+        # The first side's items of a token come before the second's, which use them up.
+        same = held["t"].eqNullSafe(x["t"])
+        left = F.when(same, held["a"]).otherwise(F.lit(0))
+        used = (x["side"] == 1) & (left > 0)
+        return F.struct(x["t"].alias("t"), F.when(x["side"] == 0, left + 1).when(used, left - 1).otherwise(left).alias("a"), F.when(used, held["both"] + 1).otherwise(held["both"]).alias("both"))
+
+    return F.aggregate(F.sort_array(F.concat(of(a, 0), of(b, 1))), start, step, lambda held: held["both"])
+
+
+def token_f1(gold: Column, predicted: Column, tokenizer: Tokenizer = tokens) -> Column:
+    """F1 of the multisets of tokens of two normalised texts; null counts as no match."""
+    pair = F.array(F.struct(tokenizer(f1_text(gold)).alias("a"), tokenizer(f1_text(predicted)).alias("b")))
+    counted = F.transform(pair, lambda p: F.struct(F.size(p["a"]).alias("n"), F.size(p["b"]).alias("m"), shared_count(p["a"], p["b"]).alias("both")))
+
+    def score(c: Column) -> Column:
+        precision, recall = c["both"] / F.greatest(c["m"], F.lit(1)), c["both"] / F.greatest(c["n"], F.lit(1))
+        return F.when(c["both"] > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+
+    return F.get(F.transform(counted, score), F.lit(0))
+
+
+def alternating_count(conversation: Column, tokenizers: tuple[Tokenizer, ...] = (tokens, tokens)) -> Column:
+    """Tokens of a conversation whose sentences take turns between tokenizers."""
+    sizes = F.transform(conversation, lambda s, k: F.element_at(F.array(*[F.size(t(s)) for t in tokenizers]), (k % len(tokenizers) + 1).cast("int")))
+    return F.aggregate(sizes, F.lit(0), lambda n, x: n + x)
+
+
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, bit-parallel: set bits stand for places of a that are not matched yet."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    free = full
+    for y in b:
+        hit = free & places.get(y, 0)
+        free = (free + hit | free - hit) & full
+    return len(a) - free.bit_count()
+
+
+def rouge_l(gold: Column, predicted: Column) -> Column:
+    """The oldest correctness score: F of the longest common subsequence of words; empty answers and "..." count as one unknown word."""
+    from turnmill.shipping import ship
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        def of(g, p):
+            a, b = (g or "").split(), ("UNKNOW" if p in (None, "", "...") else p).split()
+            if not a or not b:
+                return 0.0
+            n = longest_common(a, b)
+            precision, recall = n / len(a), n / len(b)
+            return 2 * precision * recall / (precision + recall + 1e-8)
 
+        return pd.Series([of(g, p) for g, p in zip(x, y, strict=True)], dtype="float64")
 
-def token_f1(gold: Column, predicted: Column) -> Column:
-    """F1 of the multisets of tokens of two normalised texts."""
-    a, b = _numbered(tokens(f1_text(gold))), _numbered(tokens(f1_text(predicted)))
-    both = F.size(F.array_intersect(a, b))
-    precision, recall = both / F.greatest(F.size(b), F.lit(1)), both / F.greatest(F.size(a), F.lit(1))
-    return F.when(both > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+    ship()
+    return score(gold, predicted)

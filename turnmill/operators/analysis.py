@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.functions import latex
 from turnmill.functions import text as X
 
 
@@ -30,8 +31,10 @@ def run_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, column: str, ordered: bool = False) -> DataFrame:
+    """How often each value occurs; ordered: the most frequent first, equals by value."""
+    out = df.groupBy(column).agg(F.count("*").alias("n"))
+    return out.orderBy(F.desc("n"), column) if ordered else out
 
 
 def lift(df: DataFrame, values: list[str], selected: str = "selected") -> DataFrame:
@@ -64,11 +67,17 @@ def pass_at(df: DataFrame, k: int) -> DataFrame:
     return best.agg(F.avg("best").alias("pass_rate"), F.count("*").alias("tasks"))
 
 
-def consensus(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The most given answer (trimmed, lower case) of each group, the first given of equals; null answers group as null."""
-    answers = df.withColumn("answer_key", X.exact_gold(F.col("final_answer"))).groupBy(*keys, "answer_key").agg(F.count("*").alias("votes"), F.min("pos").alias("first_pos"), F.avg("correct_score").alias("score"), F.sum("token_count").alias("tokens"))
+def consensus(df: DataFrame, keys: list[str], score_type: str = "exact-match") -> DataFrame:
+    """The most given answer of each group, the first given of equals; a missing answer is like no other, not even another missing one.
+
+    Answers are alike by their text (trimmed, lower case), by their first number for "gsm8k", by their value for "math".
+    """
+    plain = X.exact_gold(F.col("final_answer"))
+    alike = {"exact-match": plain, "gsm8k": X.exact_gold(X.first_number(F.col("final_answer"))), "math": latex.answer_key(plain)}[score_type]
+    own = F.when(alike.isNull(), F.col("pos"))
+    answers = df.withColumns({"answer_key": alike, "_alone": own}).groupBy(*keys, "answer_key", "_alone").agg(F.count("*").alias("votes"), F.min("pos").alias("first_pos"), F.avg("correct_score").alias("score"), F.sum("token_count").alias("tokens"))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("votes"), "first_pos"))
-    return answers.withColumn("_place", first).where("_place = 1").drop("_place")
+    return answers.withColumn("_place", first).where("_place = 1").drop("_place", "_alone")
 
 
 def consistency_curve(df: DataFrame, rounds: int) -> DataFrame:
@@ -85,11 +94,35 @@ def token_budget(df: DataFrame, quantile: float = 0.85, by: list[str] | None = N
     return usable.groupBy(*(by or [])).agg((F.floor(F.round(F.percentile("token_count", F.lit(quantile)), 6)) + 1).alias("budget"))
 
 
-def compare_exact(df: DataFrame, threshold: float) -> DataFrame:
-    """Exact-match rate by the report's normaliser, as it is and among results whose reward reaches a threshold."""
+def compare_exact(df: DataFrame) -> DataFrame:
+    """Exact matches by the report's normaliser, and those that the reward counts as fully correct, over trajectories."""
     hit = X.exact_report(F.col("final_answer")) == X.exact_report(F.col("answer"))
-    good = F.col("reward") >= threshold
-    return df.agg(F.count("*").alias("n"), F.count_if(hit).alias("matches"), F.avg(hit.cast("double")).alias("match_rate"), F.count_if(hit & good).alias("qualified"), F.avg((hit & good).cast("double")).alias("qualified_rate"), F.avg("token_count").alias("mean_tokens"))
+    full = F.coalesce(F.col("correct_score"), F.lit(0.0)) == 1.0
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    tokens = F.coalesce(F.col("token_count"), F.lit(0))
+    return df.agg(
+        F.count("*").alias("trajectories"),
+        F.count_if(hit).alias("raw_exact_correct"),
+        share(hit).alias("raw_exact_accuracy"),
+        F.count_if(full).alias("reward_qualified_correct"),
+        share(full).alias("reward_qualified_accuracy"),
+        (F.count_if(hit) - F.count_if(full)).alias("correct_but_format_penalized"),
+        F.coalesce(F.avg(tokens), F.lit(0.0)).alias("mean_tokens"),
+        F.coalesce(F.median(tokens), F.lit(0.0)).alias("median_tokens"),
+        F.count_if(F.coalesce("final_answer", F.lit("")) != "").alias("parsed_answer"),
+    )
+
+
+def compare_runs(baseline: DataFrame, post: DataFrame) -> DataFrame:
+    """Two runs side by side: (metric, baseline, post) for each figure of ``compare_exact`` and each kind of ending."""
+
+    def figures(df: DataFrame, name: str) -> DataFrame:
+        one = compare_exact(df)
+        long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in one.columns])).alias("x")).select("x.*")
+        ends = df.groupBy(F.concat(F.lit("termination "), F.coalesce("termination_reason", F.lit("unknown"))).alias("metric")).agg(F.count("*").cast("double").alias(name))
+        return long.unionByName(ends)
+
+    return figures(baseline, "baseline").join(figures(post, "post"), "metric", "full").select("metric", F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.coalesce("post", F.lit(0.0)).alias("post"))
 
 
 def stage_deltas(summary: DataFrame, stage: str, order: str, values: list[str]) -> DataFrame:

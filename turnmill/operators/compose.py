@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import text as X
 
-from .selection import place_in_group, shuffle_key
+from turnmill.staging import stage
+
+from .selection import numbered, place_in_group, shuffle_key
 
 #: Characters of benchmark texts that may be broadcast, after they have been summed.
 BROADCAST_CHARS = 8 << 20
@@ -46,7 +48,7 @@ def round_robin(df: DataFrame, source: str, key: str, count: int | None = None)
     """
     ranked = place_in_group(df, source, key)
     sources = df.select(source).distinct().withColumn("source_no", F.row_number().over(Window.orderBy(source)) - 1)  # a row for each source
-    joined = ranked.join(F.broadcast(sources), source)
+    joined = ranked.join(sources, source)  # broadcast where it turns out to be small
     if count is None:
         return joined.withColumn("turn", F.col("_place")).drop("_place", "_n")
     laps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.lit(count - 1) - F.col("_place")) / F.col("_n")).cast("int")))
@@ -75,30 +77,90 @@ def overlay(raw: DataFrame, *later: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
+#: Words of a window by which passages and rows meet; a passage takes the longest that fits inside it.
+WINDOWS = (8, 4, 2, 1)
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", passage: str = "text") -> DataFrame:
     """Rows whose text holds no benchmark passage, spacing and capitals aside; empty passages are no passages.
 
-    The passages are a stated set of queries against all rows.  They travel in
-    blocks of checked size: each is one left anti join over the rows that the
-    blocks before it left.
+    A passage may begin and end inside a word, but all its words between the first and
+    last stand whole in a text that holds it.  So passages meet texts by the
+    hash of the first of these words, in an equi-join, and only those that
+    meet are searched for.  Passages of one or two words have none; these few
+    are searched for in every row, in blocks of checked size.
     """
-    passages = benchmark.select(F.lower(X.single_spaced(F.col(passage))).alias("_passage")).where("_passage <> ''").distinct()
-    size = passages.agg(F.sum(F.length("_passage"))).first()[0] or 0
-    blocks = -(-size // BROADCAST_CHARS)
-    out = df.withColumn("_plain", F.lower(X.single_spaced(F.col(text))))
-    for k in range(blocks):
-        block = passages if blocks == 1 else passages.where(F.pmod(F.xxhash64("_passage"), F.lit(blocks)) == k)
+    plain = lambda c: F.lower(X.single_spaced(F.col(c)))
+    passages = benchmark.select(plain(passage).alias("_passage")).where("_passage <> ''").distinct().withColumn("_words", F.split("_passage", " "))
+    inner = F.size("_words") - 2
+    longest = F.lit(0)
+    for n in reversed(WINDOWS):
+        longest = F.when(inner >= n, F.lit(n)).otherwise(longest)
+    passages = stage(passages.withColumn("_n", longest), "passages")
+    found = {r["_n"]: r["size"] for r in passages.groupBy("_n").agg(F.sum(F.length("_passage")).alias("size")).collect()}  # a row for each width
+    names = [f"_{c}" for c in df.columns]
+    key = [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_k2")]
+    out = df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)], *key, plain(text).alias("_plain"))
+    back = [F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)]
+    sizes = [n for n in found if n]
+    if sizes:
+        words = F.split("_plain", " ")
+        windows = F.flatten(F.array(*[_window_hashes("_words", n) for n in sizes]))
+        each = out.where("_plain <> ''").select("_k1", "_k2", words.alias("_words")).select("_k1", "_k2", F.explode(F.array_distinct(windows)).alias("_key"))
+        keyed = passages.where("_n > 0").select(F.xxhash64("_n", F.slice(F.col("_words"), F.lit(2), F.col("_n"))).alias("_key"), "_passage")
+        met = each.join(_sized(keyed, sum(v for k, v in found.items() if k)), "_key").select("_k1", "_k2", "_passage").distinct()
+        met = stage(met, "passages-met")
+        hit = out.select("_k1", "_k2", "_plain").join(met, ["_k1", "_k2"]).where(F.contains("_plain", "_passage")).select("_k1", "_k2").distinct()
+        out = out.join(hit, ["_k1", "_k2"], "left_anti")
+    short = found.get(0, 0)
+    for k in range(-(-short // BROADCAST_CHARS)):
+        block = passages.where("_n = 0").where(F.pmod(F.xxhash64("_passage"), F.lit(-(-short // BROADCAST_CHARS))) == k).select("_passage")
         out = out.join(F.broadcast(block), F.contains(F.col("_plain"), F.col("_passage")), "left_anti")
-    return out.drop("_plain")
+    return out.select(*back)
+
+
+def _window_hashes(words: str, n: int) -> Column:
+    """Hashes of all runs of n words."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: i <= F.size(words) - n)
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.slice(words, i + 1, F.lit(n))))
+
 
+def _sized(side: DataFrame, chars: int) -> DataFrame:
+    """A side to be broadcast if it has few characters, which were summed, else merged."""
+    return F.broadcast(side) if chars <= BROADCAST_CHARS else side.hint("merge")
 
-def islands(df: DataFrame, value: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """Number the runs of rows with one value in order (column ``island``)."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(w))) | (F.row_number().over(w) == 1)
-    return df.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
+
+def islands(df: DataFrame, value: str, order: str, by: list[str] | None = None, spans: int = 64) -> DataFrame:
+    """Number the runs of rows with one value in order (column ``island``, from 1), of each group or of all rows.
+
+    Rows of all are first numbered through buckets and dealt to spans of places; a
+    span numbers its own runs, and is moved by those of the spans before, less
+    the run that goes on across its border.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(order)
+        new = (~F.col(value).eqNullSafe(F.lag(value).over(w))) | (F.row_number().over(w) == 1)
+        return df.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
+    placed = stage(numbered(df, order, [], [], "_at", "_all"), "placed")
+    dealt = placed.withColumn("_span", F.floor(F.col("_at") * spans / F.col("_all")))
+    own = Window.partitionBy("_span").orderBy("_at")
+    new = (~F.col(value).eqNullSafe(F.lag(value).over(own))) | (F.row_number().over(own) == 1)
+    runs = dealt.withColumn("_run", F.sum(new.cast("int")).over(own))
+    ends = runs.groupBy("_span").agg(F.max("_run").alias("_runs"), F.min_by(F.struct(value), "_at").alias("_first"), F.max_by(F.struct(value), "_at").alias("_last"))
+    spans_in_order = Window.orderBy("_span")  # a row for each span
+    goes_on = (F.row_number().over(spans_in_order) > 1) & F.col(f"_first.{value}").eqNullSafe(F.lag(f"_last.{value}").over(spans_in_order))
+    ends = ends.withColumn("_less", goes_on.cast("int"))
+    before = spans_in_order.rowsBetween(Window.unboundedPreceding, -1)
+    moved = ends.select("_span", (F.coalesce(F.sum("_runs").over(before), F.lit(0)) - F.sum("_less").over(spans_in_order)).alias("_before"))
+    return runs.join(moved, "_span").withColumn("island", F.col("_run") + F.col("_before")).select(*df.columns, "island")
 
 
 def both_speakers(df: DataFrame) -> DataFrame:
     """Every row once for each speaker."""
     return df.withColumn("speaker", F.explode(F.array(F.lit("Alice"), F.lit("Bob"))))
+
+
+def project(df: DataFrame, columns_to_keep: list[str] | None = None, renamed: dict[str, str] | None = None) -> DataFrame:
+    """Only some columns, those that are there, under new names if given."""
+    kept = [c for c in df.columns if columns_to_keep is None or c in columns_to_keep]
+    return df.select(*kept).withColumnsRenamed(renamed or {})

@@ -88,8 +88,15 @@ def argmax_argmin(df: DataFrame, value: str = "reward", task: str = "task_id", t
     return both.groupBy(task).agg(*[F.max(F.when(F.col(side) == 1, F.col(tie))).alias(name) for side, name in (("_best", "chosen_id"), ("_worst", "rejected_id"))])
 
 
-def unlike_selected(nodes: DataFrame, selected: DataFrame, keys: list[str], share: float = DEFAULTS.select_share) -> DataFrame:
-    """The nodes whose content is not within an edit share of any selected node of the same group."""
-    other = selected.select(*keys, F.col("content").alias("_content"))
-    alike = X.edit_share(F.col("content"), F.col("_content")) < share
-    return nodes.join(other, [nodes[k] == other[k] for k in keys] + [alike], "left_anti")
+def unlike_selected(nodes: DataFrame, selected: DataFrame, keys: list[str], share: float = DEFAULTS.select_share, earlier: str | None = None) -> DataFrame:
+    """The nodes whose content is not within an edit share of any selected node of the same group.
+
+    earlier: a column by which selected nodes must come before the node.
+    The lengths bound the distance before it is worked out.
+    """
+    other = selected.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("content").alias("_content"), *([F.col(earlier).alias("_earlier")] if earlier else []))
+    n, m = F.length("content"), F.length("_content")
+    most = F.ceil(F.lit(float(share)) * (F.greatest(n, m) + 1)).cast("int") - 1  # a distance below share * (longer + 1)
+    alike = (F.abs(n - m) <= most) & (X.edit_share(F.col("content"), F.col("_content")) < share)
+    before = [F.col("_earlier") < F.col(earlier)] if earlier else []
+    return nodes.join(other, [F.col(k) == F.col(f"_{k}") for k in keys] + before + [alike], "left_anti")

@@ -84,7 +84,7 @@ def f1(a: list[str], b: list[str]) -> float:
 def cluster_by_f1(answers: DataFrame, least: float = DEFAULTS.consensus) -> DataFrame:
     """Greedy clusters of a task's answers (task_id, pos, final_answer): the first cluster with any member alike enough, else a new one.
 
-    Returns the members of the largest cluster, the first of equals.
+    Returns the members of the largest cluster, the first of equals.  A missing answer is alike to none.
     """
 
     def words(text: str | None) -> list[str]:
@@ -95,7 +95,7 @@ def cluster_by_f1(answers: DataFrame, least: float = DEFAULTS.consensus) -> Data
         clusters: list[list[tuple]] = []
         for k, text in zip(rows["pos"], rows["final_answer"], strict=True):
             own = words(text)
-            home = next((c for c in clusters if any(f1(own, other) >= least for _, other in c)), None)
+            home = None if text is None else next((c for c in clusters if any(f1(own, other) >= least for _, other in c)), None)
             if home is None:
                 clusters.append([(k, own)])
             else:

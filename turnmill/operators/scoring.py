@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.functions import chat, latex
 from turnmill.functions import text as X
+from turnmill.shipping import ship
 from turnmill.types import Settings
 
 DEFAULTS = Settings()
@@ -33,16 +39,19 @@ def name_penalty(conversation: Column, enabled: bool = True, penalty: float = DE
 
 
 def correct_score(answers: Column, is_list: Column, final: Column, score_type: Column, math_equal: Column | None = None) -> Column:
-    """Best F1 over gold answers, or exact match; a list is matched without stripping backslashes."""
-    one = F.get(answers, F.lit(0))
+    """Best F1 over gold answers, equivalence in maths, or exact match; a list is matched without stripping backslashes.
+
+    math_equal: another comparison than that of normal forms and values.  A missing final answer is an empty one.
+    """
+    one, final = F.get(answers, F.lit(0)), F.coalesce(final, F.lit(""))
     f1 = F.array_max(F.transform(answers, lambda a: X.token_f1(a, final)))
     exact = F.when(is_list, F.array_contains(F.transform(answers, X.exact_gold), X.exact_gold(final))).otherwise(X.exact_gold(one) == X.exact_prediction(final))
-    if math_equal is not None:
-        exact = F.when(~is_list & (score_type == "math"), math_equal).otherwise(exact)
+    same = latex.native_equal(X.exact_gold(one), X.exact_gold(final)) if math_equal is None else math_equal
+    exact = F.when(~is_list & (score_type == "math"), same).otherwise(exact)
     return F.coalesce(F.when(score_type == "f1-score", f1).otherwise(exact.cast("double")), F.lit(0.0))
 
 
-def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEFAULTS.lambda2, cal_ppl: bool = True, check_names: bool = True, token_cap: float | None = None, long_tokens: int = DEFAULTS.long_tokens) -> DataFrame:
+def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEFAULTS.lambda2, cal_ppl: bool = True, check_names: bool = True, token_cap: float | None = None, long_tokens: int = DEFAULTS.long_tokens, math_equal: Column | None = None) -> DataFrame:
     """Add correct_score, token_score, ppl_score and reward.
 
     df has task_id, conversation, token_count, losses, answers, answer_is_list,
@@ -56,11 +65,41 @@ def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEF
     out = df.withColumns({"_most": most, "_offence": F.when(judged, offence), "_judged": judged})
     token = F.when(is_large | (F.col("token_count") <= DEFAULTS.short_tokens), F.lit(-1.0)).otherwise(F.when(F.col("_most") == 0, F.lit(0.0)).otherwise(F.lit(lambda1) * F.col("token_count") / F.nullif(F.col("_most"), F.lit(0.0))))
     ppl = F.when(~F.lit(cal_ppl), F.lit(0.0)).when(~F.col("_judged"), F.lit(-1.0)).when(F.col("_offence").isNotNull(), F.lit(0.0)).otherwise(F.lit(lambda2) / F.coalesce(F.array_max("losses"), F.lit(1.0)))
-    correct = F.when(F.col("_offence") == "name", F.lit(0.0)).otherwise(correct_score(F.col("answers"), F.col("answer_is_list"), F.col("final_answer"), F.col("score_type")))
+    correct = F.when(F.col("_offence") == "name", F.lit(0.0)).otherwise(correct_score(F.col("answers"), F.col("answer_is_list"), F.col("final_answer"), F.col("score_type"), math_equal))
     out = out.withColumns({"correct_score": correct, "token_score": token, "ppl_score": ppl}).drop("_most", "_offence", "_judged")
     return out.withColumn("reward", F.col("correct_score") + F.col("token_score") + F.col("ppl_score"))
 
 
+def search_reward(df: DataFrame, budget: float, **settings) -> DataFrame:
+    """Scores of rollouts within a search: the token budget stands for the task's most tokens, and names cost nothing more."""
+    return score(df, token_cap=budget, **settings).withColumns({"name_penalty": F.lit(0.0), "effective_reward": F.col("reward")})
+
+
+#: What gives a mean loss for each of some framed utterances; the model behind it is the user's own.
+LossProvider = Callable[[list[str]], list[float]]
+
+
+def with_losses(df: DataFrame, provider: LossProvider, merge_system: bool = False, batch: int = 16) -> DataFrame:
+    """Add losses, one for each utterance of conversation that is no sentinel "large", framed as a model's own turn.
+
+    provider is called on the workers with at most ``batch`` texts, and must be picklable.
+    """
+    said = F.filter("conversation", lambda s: s != "large")
+    framed = F.transform(said, lambda s: chat.frame_for_loss(s, merge_system))
+
+    @F.pandas_udf("array<double>")
+    def losses(rows: pd.Series) -> pd.Series:
+        texts = [t for row in rows for t in row]
+        found = [float(x) for k in range(0, len(texts), batch) for x in provider(texts[k : k + batch])]
+        if len(found) != len(texts):
+            raise ValueError("a loss provider must return a loss for each text")
+        ends = np.cumsum([len(row) for row in rows])
+        return pd.Series([found[b - len(row) : b] for row, b in zip(rows, ends, strict=True)])
+
+    ship(df.sparkSession)
+    return df.withColumn("losses", losses(framed))
+
+
 def effective_reward(reward: Column, penalty: Column) -> Column:
     return F.coalesce(reward, F.lit(0.0)) + F.coalesce(penalty, F.lit(0.0))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from turnmill.staging import stage
 from turnmill.types import Settings
 
 from .scoring import effective_reward, name_penalty
@@ -18,53 +20,90 @@ def best_per_task(df: DataFrame, value: str = "effective_reward", task: str = "t
     return df.withColumn("_place", first).where("_place = 1").drop("_place")
 
 
-def with_place(df: DataFrame, value: str, ties: list[str], name: str = "place", buckets: int = 64) -> DataFrame:
-    """Number all rows from 0 by descending value, and give their count as ``total``.
+def _order_number(df: DataFrame, key: str) -> Column:
+    """A number that grows with a key, equal at most for neighbours: the key itself, or its first bytes."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(key).cast("double")
+    if isinstance(kind, (T.TimestampType, T.DateType)):
+        return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
+    return F.conv(F.rpad(F.substring(F.hex(F.col(key).cast("string")), 1, 12), 12, "0"), 16, 10).cast("double")
+
+
+def numbered(df: DataFrame, order: str, ties: list[str], by: list[str], place: str, total: str, descending: bool = False, buckets: int = 64) -> DataFrame:
+    """Number the rows of each group from 0 in an order (nulls last), and count them.
 
-    Rows are dealt to buckets by quantiles of the value, numbered in their bucket
-    and moved by the rows of the buckets before, so that no task sorts them all.
+    Made for few groups of any size: their rows are dealt to buckets by quantiles of
+    the order, numbered in their bucket and moved by the rows of the buckets
+    before, so that no task sorts a whole group.  Adaptive execution broadcasts
+    the bounds and counts where they turn out to be small.
     """
-    bounds = df.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)])).first()[0] or []
-    bucket: Column = F.lit(0)
-    for limit in sorted(set(bounds)):
-        bucket = bucket + F.when(F.col(value) < F.lit(limit), 1).otherwise(0)
-    dealt = df.withColumn("_bucket", F.when(F.col(value).isNull(), F.lit(buckets)).otherwise(bucket))
-    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))  # a row for each bucket
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    moved = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(value), *ties))
-    return dealt.withColumn("_own", own).join(F.broadcast(moved), "_bucket").withColumn(name, F.col("_own") - 1 + F.col("_before")).drop("_own", "_before", "_bucket")
+    kept = list(df.columns)
+    groups = [F.col(c).alias(f"_nth_g{k}") for k, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(f"_nth_g{k}")) for k, c in enumerate(by)]
+    valued = df.withColumn("_nth_at", _order_number(df, order) * (-1 if descending else 1))
+    bounds = valued.groupBy(*groups).agg(F.percentile_approx("_nth_at", [k / buckets for k in range(1, buckets)], 1000).alias("_nth_bounds"))
+    one = F.lit(True)
+    for condition in same:
+        one = one & condition
+    met = valued.join(bounds, one) if by else valued.crossJoin(F.broadcast(bounds))  # a single row without groups
+    dealt = met.withColumn("_nth_bucket", F.when(F.col("_nth_at").isNull(), F.lit(buckets)).otherwise(F.coalesce(F.size(F.filter("_nth_bounds", lambda b: b < F.col("_nth_at"))), F.lit(0)))).select(*kept, "_nth_bucket")
+    counts = dealt.groupBy(*groups, F.col("_nth_bucket").alias("_nth_b")).agg(F.count("*").alias("_nth_k"))
+    own = [f"_nth_g{k}" for k in range(len(by))]
+    before = Window.partitionBy(*own).orderBy("_nth_b").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.select(*own, "_nth_b", F.coalesce(F.sum("_nth_k").over(before), F.lit(0)).alias("_nth_before"), F.sum("_nth_k").over(Window.partitionBy(*own)).alias("_nth_all"))
+    sort = F.desc_nulls_last(order) if descending else F.asc_nulls_last(order)
+    ranked = dealt.withColumn("_nth_own", F.row_number().over(Window.partitionBy(*by, "_nth_bucket").orderBy(sort, *ties)) - 1)
+    out = ranked.join(moved, one & (F.col("_nth_bucket") == F.col("_nth_b")))
+    return out.select(*[c for c in kept if c not in (place, total)], (F.col("_nth_own") + F.col("_nth_before")).alias(place), F.col("_nth_all").alias(total))
 
 
-def place_in_group(df: DataFrame, group: str, key: str, buckets: int = 64) -> DataFrame:
-    """Number the rows of each group from 0 by key (column ``_place``), and count them (``_n``).
+def with_place(df: DataFrame, value: str, ties: list[str], name: str = "place", buckets: int = 64) -> DataFrame:
+    """Number all rows from 0 by descending value, and give their count as ``total``."""
+    return numbered(df, value, ties, [], name, "total", True, buckets)
 
-    For few groups of any size: a numeric key deals a group's rows to buckets by
-    its quantiles, so that a group that holds most rows is not sorted by one task.
-    """
-    from pyspark.sql.types import NumericType
-
-    if not isinstance(df.schema[key].dataType, NumericType):
-        own = Window.partitionBy(group)
-        return df.withColumns({"_place": F.row_number().over(own.orderBy(key)) - 1, "_n": F.count("*").over(own)})
-    bounds = df.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)]).alias("_bounds"))  # a row for each group
-    joined = df.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_g")))
-    dealt = joined.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(key)))).drop("_bounds", "_g")
-    counts = dealt.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_k"))
-    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    moved = counts.select("_g", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy("_g")).alias("_n"))
-    numbered = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key)) - 1)
-    out = numbered.join(F.broadcast(moved), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-    return out.withColumn("_place", F.col("_own") + F.col("_before")).drop("_own", "_before", "_bucket", "_g", "_b")
+
+def place_in_group(df: DataFrame, group: str, key: str, buckets: int = 64) -> DataFrame:
+    """Number the rows of each group from 0 by key (column ``_place``), and count them (``_n``)."""
+    return numbered(df, key, [], [group], "_place", "_n", False, buckets)
 
 
 def select_trajectories(df: DataFrame, trim_low: float = DEFAULTS.trim_low, trim_high: float = DEFAULTS.trim_high, epsilon: float = DEFAULTS.epsilon, penalise_names: bool = True) -> DataFrame:
     """The best trajectory of each task, inside the trim window and at or above epsilon, ranked from 0."""
     scored = df.withColumn("name_penalty", name_penalty(F.col("conversation"), penalise_names)).withColumn("effective_reward", effective_reward(F.col("reward"), F.col("name_penalty")))
-    placed = with_place(best_per_task(scored), "effective_reward", ["task_id"])
+    # A row for each task, read several times to be placed.
+    placed = with_place(stage(best_per_task(scored), "best"), "effective_reward", ["task_id"])
     low, high = (F.floor(F.lit(float(x)) * F.col("total")) for x in (trim_low, trim_high))
-    chosen = placed.where((F.col("place") >= low) & (F.col("place") < high) & (F.col("effective_reward") >= epsilon)).drop("place", "total")
-    return with_place(chosen, "effective_reward", ["task_id"], "rank").drop("total")
+    chosen = placed.where((F.col("place") >= low) & (F.col("place") < high) & (F.col("effective_reward") >= epsilon))
+    # In descending order, what the window and the threshold leave is one run of places.
+    return chosen.withColumn("rank", F.col("place") - low).drop("place", "total")
+
+
+def select_by_dataset(df: DataFrame, dataset: str = "dataset_name", epsilon: float = DEFAULTS.epsilon) -> DataFrame:
+    """The older selection: the best of each task, then of each data set a window of places, then the threshold.
+
+    Maths and ARC leave out the first tenth and the last fifth, all others the last three tenths.
+    """
+    best = stage(best_per_task(df, "reward"), "best")
+    placed = numbered(best, "reward", ["task_id"], [dataset], "_place", "_n", True)
+    hard = F.col(dataset).isin("math", "arc")
+    low = F.when(hard, F.floor(F.lit(0.1) * F.col("_n"))).otherwise(F.lit(0))
+    high = F.floor(F.when(hard, F.lit(0.8)).otherwise(F.lit(0.7)) * F.col("_n"))
+    return placed.where((F.coalesce(F.col("_place") >= low, F.lit(False))) & (F.col("_place") < high) & (F.col("reward") >= epsilon)).drop("_place", "_n")
+
+
+def selection_means(df: DataFrame, epsilon: float = DEFAULTS.epsilon) -> DataFrame:
+    """Of the best of each task: how many reach epsilon, and their mean tokens and reward (null if there are none)."""
+    passed = F.col("reward") >= epsilon
+    best = best_per_task(df, "reward")
+    return best.agg(F.count_if(passed).alias("count"), F.avg(F.when(passed, F.col("token_count"))).alias("average_token"), F.avg(F.when(passed, F.col("reward"))).alias("average_reward"))
+
+
+def first_rows(df: DataFrame, key: str, count: int | None = None, share: float | None = None, by: str | None = None) -> DataFrame:
+    """The first rows by a numeric or text key, as many as given or a share of them (rounded down), of all or of each group."""
+    placed = numbered(df, key, [], [by] if by else [], "_place", "_n")
+    limit = F.lit(count) if count is not None else F.floor(F.lit(float(share)) * F.col("_n"))
+    return placed.where(F.col("_place") < limit).drop("_place", "_n")
 
 
 def shuffle_key(seed: str, key: Column) -> Column:
@@ -73,19 +112,20 @@ def shuffle_key(seed: str, key: Column) -> Column:
 
 
 def split_rows(df: DataFrame, seed: str, key: str, train_share: float, least_train: int = 0, partition: list[str] | None = None) -> DataFrame:
-    """Add split: the first floor(share * n) rows in md5 order are train, the rest test."""
+    """Add split: the first floor(share * n) rows in md5 order are train, the rest test; of all rows, or of each partition.
+
+    md5 is even, so its first digits deal rows to buckets of like size.
+    """
     by = partition or []
     shuffled = df.withColumn("_order", shuffle_key(seed, F.col(key)))
-    if by:
-        n = F.count("*").over(Window.partitionBy(*by))
-        place = F.row_number().over(Window.partitionBy(*by).orderBy("_order", key)) - 1
-        out = shuffled.withColumns({"_n": n, "_place": place})
-    else:
-        # md5 is even, so its first digits deal rows to buckets of like size.
-        bucket = F.conv(F.substring("_order", 1, 2), 16, 10).cast("int")
-        counts = shuffled.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_k"))
-        moved = counts.select("_bucket", F.coalesce(F.sum("_k").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
-        own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key))
-        out = shuffled.withColumn("_bucket", bucket).withColumn("_own", own).join(F.broadcast(moved), "_bucket").withColumn("_place", F.col("_own") - 1 + F.col("_before")).drop("_own", "_before", "_bucket")
+    return _cut(numbered(shuffled, "_order", [key], by, "_place", "_n"), train_share, least_train).drop("_order")
+
+
+def split_in_order(df: DataFrame, key: str, ties: list[str], train_share: float, least_train: int = 0, partition: list[str] | None = None) -> DataFrame:
+    """Add split by place: the first floor(share * n) rows, ``least_train`` at least, are train."""
+    return _cut(numbered(df, key, ties, partition or [], "_place", "_n"), train_share, least_train)
+
+
+def _cut(placed: DataFrame, train_share: float, least_train: int) -> DataFrame:
     cut = F.greatest(F.floor(F.lit(float(train_share)) * F.col("_n")), F.lit(least_train))
-    return out.withColumn("split", F.when(F.col("_place") < cut, "train").otherwise("test")).drop("_n", "_place", "_order")
+    return placed.withColumn("split", F.when(F.col("_place") < cut, "train").otherwise("test")).drop("_n", "_place")

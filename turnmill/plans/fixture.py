@@ -21,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, task_id, trajectory_id, pos, speaker, text, parsed_answer, content, token_count, loss)."""
     raw = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", "text")
+    raw = raw.repartition(spark.sparkContext.defaultParallelism, "conv_id")  # few bytes, but much work for each
     own = Window.partitionBy("conv_id").orderBy("turn")
     conv, pos = F.col("conv_id"), F.col("pos")
     parsed = F.when((conv + pos) % 5 == 0, F.lit(None)).otherwise(F.substring(F.lit("ABCD"), (1 + (conv * 7 + pos * (conv % 3)) % 4).cast("int"), F.lit(1)))

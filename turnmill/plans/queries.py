@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import chat, latex
 from turnmill.functions import text as X
-from turnmill.operators import analysis, compose, pairs, quality, replay, scoring, selection
+from turnmill.operators import analysis, builders, compose, pairs, quality, replay, scoring, selection
 from turnmill.sources import datasets
+from turnmill.staging import stage
 from turnmill.types import Settings
 
 from . import fixture
@@ -81,7 +82,7 @@ def token_f1(spark, sf):
     from pyspark.sql import Window
 
     reply = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf, "conversations").withColumn("reply", reply).where("reply is not null")
+    rows = table(spark, sf, "conversations").repartition(spark.sparkContext.defaultParallelism, "conv_id").withColumn("reply", reply).where("reply is not null")
     return rows.select("conv_id", "turn", _r(X.token_f1(F.col("text"), F.col("reply"))).alias("f1"))
 
 
@@ -191,11 +192,11 @@ def argmax_argmin_pairs(spark, sf):
 
 
 @query(
-    "SELECT a.p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey % 50 = 0 AND b.p_brand = a.p_brand AND levenshtein(a.p_name, b.p_name) / (greatest(length(a.p_name), length(b.p_name)) + 1.0::DOUBLE) < 0.25::DOUBLE)"
+    "SELECT a.p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey < a.p_partkey AND b.p_brand = a.p_brand AND b.p_type = a.p_type AND b.p_size = a.p_size AND levenshtein(a.p_name, b.p_name) / (greatest(length(a.p_name), length(b.p_name)) + 1.0::DOUBLE) < 0.25::DOUBLE)"
 )
 def near_dup_edit(spark, sf):
-    nodes = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_name").alias("content"))
-    return pairs.unlike_selected(nodes, nodes.where("p_partkey % 50 = 0"), ["p_brand"]).select("p_partkey")
+    nodes = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", F.col("p_name").alias("content"))
+    return pairs.unlike_selected(nodes, nodes, ["p_brand", "p_type", "p_size"], earlier="p_partkey").select("p_partkey")
 
 
 # Chat rows
@@ -242,7 +243,7 @@ def pair_format(spark, sf):
     return nested.select("conv_id", prompt.alias("prompt"), chat.completion_text(full, prompt, chat.render(chat.completion_part(F.col("messages")))).alias("completion"))
 
 
-@query("SELECT conv_id, count(*) AS n, md5(string_agg(role || ':' || trim(text, chr(10)), '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n, md5(string_agg(role || ':' || rtrim(text, chr(10)), '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def chat_split(spark, sf):
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     nested = table(spark, sf, "conversations").groupBy("conv_id").agg(ordered.alias("t"))
@@ -274,9 +275,11 @@ def round_robin_mix(spark, sf):
     return out.select("doc_id", "lang", F.col("turn").cast("long").alias("turn"), F.col("source_no").cast("long").alias("source_no"))
 
 
-@query("WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), d AS (SELECT unnest(range(1500, 4500)) AS t) SELECT t - 1500 AS draw, p_partkey FROM d, r WHERE r.i = t % r.n")
+@query("WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), d AS (SELECT unnest(range(max(n) // 2, max(n) // 2 + max(n))) AS t, max(n) // 2 AS b FROM r) SELECT t - b AS draw, p_partkey FROM d, r WHERE r.i = t % r.n")
 def cursor_wraparound(spark, sf):
-    return compose.cursor(table(spark, sf, "part").select("p_partkey"), "p_partkey", 1500, 3000).select(F.col("draw").cast("long").alias("draw"), "p_partkey")
+    part = table(spark, sf, "part").select("p_partkey")
+    n = part.count()  # a whole lap from the middle on
+    return compose.cursor(part, "p_partkey", n // 2, n).select(F.col("draw").cast("long").alias("draw"), "p_partkey")
 
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -284,10 +287,10 @@ def resume_anti(spark, sf):
     return compose.unfinished(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("SELECT c.conv_id, c.turn FROM conversations c WHERE c.text NOT IN (SELECT text FROM conversations WHERE conv_id % 7 = 0)")
+@query("SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id))")
 def overlap_anti(spark, sf):
-    conv = table(spark, sf, "conversations")
-    return compose.unfinished(conv.select("conv_id", "turn", "text"), conv.where("conv_id % 7 = 0"), "text").select("conv_id", "turn")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return compose.unfinished(docs, docs.join(table(spark, sf, "labels"), "doc_id"), "text").select("doc_id")
 
 
 @query(
@@ -325,7 +328,7 @@ def pass_at_k(spark, sf):
     return analysis.pass_at(fixture.scored(spark, sf), 2).select(_r("pass_rate").alias("pass_rate"), "tasks")
 
 
-_VOTE_SQL = "WITH v AS (SELECT task_id, lower(final_answer) AS answer_key, count(*) AS votes, min(trajectory_id) AS first_pos, avg(correct_score) AS score FROM scored GROUP BY ALL)"
+_VOTE_SQL = "WITH v AS (SELECT task_id, lower(final_answer) AS answer_key, CASE WHEN final_answer IS NULL THEN trajectory_id END AS alone, count(*) AS votes, min(trajectory_id) AS first_pos, avg(correct_score) AS score FROM scored GROUP BY ALL)"
 
 
 @query(_VOTE_SQL + " SELECT task_id, answer_key, votes, round(score, 9) AS score FROM v QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY votes DESC, first_pos) = 1", derived=True)
@@ -336,7 +339,7 @@ def consensus_vote(spark, sf):
 @query(
     """WITH m AS (SELECT s.*, k FROM scored s, (SELECT unnest(range(1, 5)) AS k) WHERE trajectory_id < k),
 p AS (SELECT k, task_id, max(correct_score) AS best, sum(token_count) AS toks FROM m GROUP BY ALL),
-v AS (SELECT k, task_id, lower(final_answer) AS a, count(*) AS votes, min(trajectory_id) AS f, avg(correct_score) AS score FROM m GROUP BY ALL),
+v AS (SELECT k, task_id, lower(final_answer) AS a, CASE WHEN final_answer IS NULL THEN trajectory_id END AS alone, count(*) AS votes, min(trajectory_id) AS f, avg(correct_score) AS score FROM m GROUP BY ALL),
 w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k, task_id ORDER BY votes DESC, f) = 1)
 SELECT CAST(k AS INTEGER) AS k, round(avg(best), 9) AS pass_rate, round(avg(score), 9) AS consensus_accuracy, round(avg(toks), 6) AS tokens, count(*) AS tasks FROM p JOIN w USING (k, task_id) GROUP BY k""",
     derived=True,
@@ -362,7 +365,7 @@ def termination_hist(spark, sf):
 
 
 def _marked(spark, sf):
-    df = fixture.scored(spark, sf)
+    df = stage(fixture.scored(spark, sf), "scored")
     chosen = selection.select_trajectories(df).select("conv_id", "rank", "effective_reward", F.lit(True).alias("selected"))
     return df.join(chosen, "conv_id", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
@@ -386,13 +389,28 @@ def token_budget(spark, sf):
     return analysis.token_budget(fixture.trajectories(spark, sf), S.budget_quantile, ["task_id"])
 
 
+_COMPARE_SQL = "h AS (SELECT *, coalesce(lower(trim(final_answer, chr(92))), '') = lower(answer) AS hit, correct_score = 1.0 AS good FROM scored)"
+
+
 @query(
-    "WITH h AS (SELECT *, coalesce(lower(trim(final_answer, chr(92))), '') = lower(answer) AS hit FROM scored) SELECT count(*) AS n, count(*) FILTER (hit) AS matches, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS match_rate, count(*) FILTER (hit AND reward >= 0.6::DOUBLE) AS qualified, round(avg(CASE WHEN hit AND reward >= 0.6::DOUBLE THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS qualified_rate, round(avg(token_count), 6) AS mean_tokens FROM h",
+    "WITH " + _COMPARE_SQL + " SELECT count(*) AS trajectories, count(*) FILTER (hit) AS raw_exact_correct, round(avg(hit::INTEGER), 9) AS raw_exact_accuracy, count(*) FILTER (good) AS reward_qualified_correct, round(avg(good::INTEGER), 9) AS reward_qualified_accuracy, count(*) FILTER (hit) - count(*) FILTER (good) AS correct_but_format_penalized, round(avg(token_count), 6) AS mean_tokens, median(token_count)::DOUBLE AS median_tokens, count(*) FILTER (coalesce(final_answer, '') <> '') AS parsed_answer FROM h",
     derived=True,
 )
 def compare_exact(spark, sf):
-    out = analysis.compare_exact(fixture.scored(spark, sf), S.epsilon)
-    return out.withColumns({"match_rate": _r("match_rate"), "qualified_rate": _r("qualified_rate"), "mean_tokens": _r("mean_tokens", 6)})
+    out = analysis.compare_exact(fixture.scored(spark, sf))
+    return out.withColumns({"raw_exact_accuracy": _r("raw_exact_accuracy"), "reward_qualified_accuracy": _r("reward_qualified_accuracy"), "mean_tokens": _r("mean_tokens", 6)})
+
+
+_SIDE_SQL = """SELECT CASE WHEN trajectory_id < 2 THEN 'baseline' ELSE 'post' END AS run, unnest(['trajectories', 'raw_exact_correct', 'raw_exact_accuracy', 'reward_qualified_correct', 'reward_qualified_accuracy', 'correct_but_format_penalized', 'mean_tokens', 'median_tokens', 'parsed_answer']) AS metric,
+unnest([count(*)::DOUBLE, count(*) FILTER (hit), avg(hit::INTEGER), count(*) FILTER (good), avg(good::INTEGER), count(*) FILTER (hit) - count(*) FILTER (good), avg(token_count), median(token_count), count(*) FILTER (coalesce(final_answer, '') <> '')]) AS v FROM h GROUP BY 1
+UNION ALL SELECT CASE WHEN trajectory_id < 2 THEN 'baseline' ELSE 'post' END, 'termination ' || termination_reason, count(*) FROM h GROUP BY ALL"""
+
+
+@query("WITH " + _COMPARE_SQL + f", m AS ({_SIDE_SQL}) SELECT metric, round(coalesce(max(v) FILTER (run = 'baseline'), 0.0), 6)::DOUBLE AS baseline, round(coalesce(max(v) FILTER (run = 'post'), 0.0), 6)::DOUBLE AS post FROM m GROUP BY metric", derived=True)
+def compare_runs(spark, sf):
+    df = fixture.scored(spark, sf)
+    out = analysis.compare_runs(df.where("trajectory_id < 2"), df.where("trajectory_id >= 2"))
+    return out.select("metric", _r("baseline", 6).alias("baseline"), _r("post", 6).alias("post"))
 
 
 @query(
@@ -406,40 +424,326 @@ def stage_deltas(spark, sf):
 
 # Quality checks
 
+_TIER = "CASE WHEN {v} <= 0 THEN 'PASS' WHEN {v} <= {fair} THEN 'WARN' ELSE 'FAIL' END"
+
 
 @query(
     r"""WITH sizes AS (SELECT task_id, count(*) AS n FROM traj GROUP BY task_id),
-one AS (SELECT count(*)::DOUBLE AS n, avg(CASE WHEN coalesce(final_answer, '') <> '' THEN 1.0 ELSE 0.0 END)::DOUBLE AS answered, avg(CASE WHEN is_large THEN 1.0 ELSE 0.0 END)::DOUBLE AS lrg, avg(CASE WHEN termination_reason = 'agreement' THEN 1.0 ELSE 0.0 END)::DOUBLE AS agr FROM traj),
-tk AS (SELECT count(*)::DOUBLE AS tasks, (count(*) FILTER (n <> 4))::DOUBLE AS odd, min(task_id) <> 0 OR max(task_id) <> count(*) - 1 AS gap FROM sizes),
-tt AS (SELECT avg(CASE WHEN regexp_matches(t.content, '^\s*\**\s*' || t.speaker || '\s*:') THEN 1.0 ELSE 0.0 END)::DOUBLE AS pre, (count(*) FILTER (m.is_mixed))::DOUBLE AS mix FROM turns t JOIN mixed m USING (conv_id, pos))
+one AS (SELECT count(*)::DOUBLE AS n, avg(CASE WHEN coalesce(final_answer, '') <> '' THEN 1.0 ELSE 0.0 END)::DOUBLE AS answered, avg(CASE WHEN is_large THEN 1.0 ELSE 0.0 END)::DOUBLE AS lrg,
+  avg(CASE WHEN NOT is_large AND conv_id % 43 = 7 THEN 1.0 ELSE 0.0 END)::DOUBLE AS err, avg(CASE WHEN termination_reason = 'agreement' AND conv_id % 43 <> 7 THEN 1.0 ELSE 0.0 END)::DOUBLE AS agr FROM traj),
+tk AS (SELECT count(*)::DOUBLE AS tasks, (count(*) FILTER (n <> 4))::DOUBLE AS odd, min(task_id) <> 0 OR max(task_id) <> count(*) - 1 AS gap FROM sizes)
 SELECT 'answer_rate' AS "check", CASE WHEN answered >= 0.9 THEN 'PASS' WHEN answered >= 0.5 THEN 'WARN' ELSE 'FAIL' END AS status, round(answered, 9) AS value FROM one
-UNION ALL SELECT 'large_rate', CASE WHEN lrg <= 0.2 THEN 'PASS' ELSE 'FAIL' END, round(lrg, 9) FROM one
-UNION ALL SELECT 'error_rate', 'PASS', 0.0::DOUBLE
+UNION ALL SELECT 'large_rate', """
+    + _TIER.format(v="lrg", fair="0.2")
+    + """, round(lrg, 9) FROM one
+UNION ALL SELECT 'error_rate', """
+    + _TIER.format(v="err", fair="0.05")
+    + """, round(err, 9) FROM one
 UNION ALL SELECT 'agreement_rate', CASE WHEN agr >= 0.5 THEN 'PASS' ELSE 'WARN' END, round(agr, 9) FROM one
 UNION ALL SELECT 'task_count', CASE WHEN tasks = 25 THEN 'PASS' ELSE 'FAIL' END, tasks FROM tk
 UNION ALL SELECT 'results_per_task', CASE WHEN odd = 0 THEN 'PASS' ELSE 'FAIL' END, odd FROM tk
-UNION ALL SELECT 'task_ids', CASE WHEN gap THEN 'FAIL' ELSE 'PASS' END, gap::INTEGER::DOUBLE FROM tk
-UNION ALL SELECT 'name_prefix_rate', CASE WHEN pre >= 0.99 THEN 'PASS' WHEN pre >= 0.9 THEN 'WARN' ELSE 'FAIL' END, round(pre, 9) FROM tt
-UNION ALL SELECT 'name_mixing', CASE WHEN mix = 0 THEN 'PASS' ELSE 'WARN' END, mix FROM tt""",
+UNION ALL SELECT 'task_ids', CASE WHEN gap THEN 'FAIL' ELSE 'PASS' END, gap::INTEGER::DOUBLE FROM tk""",
     derived=True,
 )
 def quality_checks(spark, sf):
-    first = quality.trajectory_checks(fixture.trajectories(spark, sf), 25, 4)
-    turns = fixture.turns(spark, sf).withColumn("finish_reason", F.lit("stop"))
-    second = quality.turn_checks(turns, ["conv_id"]).where(F.col("check").isin("name_prefix_rate", "name_mixing"))
-    return first.unionByName(second).withColumn("value", _r("value"))
+    ended = F.when((F.col("conv_id") % 43 == 7) & (F.col("termination_reason") != "large"), "error").otherwise(F.col("termination_reason"))
+    return quality.trajectory_checks(fixture.trajectories(spark, sf).withColumn("termination_reason", ended), 25, 4).withColumn("value", _r("value"))
 
 
-@query()
+@query(
+    r"""WITH tt AS (SELECT avg(CASE WHEN regexp_matches(content, '^\s*\**\s*' || speaker || '\s*:') THEN 1.0 ELSE 0.0 END)::DOUBLE AS pre, (count(*) FILTER (conv_id % 5 = 0 AND pos = 3))::DOUBLE AS blank, (count(*) FILTER ((conv_id + pos) % 29 = 0))::DOUBLE AS cut FROM
+  (SELECT conv_id, pos, speaker, CASE WHEN conv_id % 5 = 0 AND pos = 3 THEN ' ' ELSE content END AS content FROM turns)),
+pl AS (SELECT conv_id, pos, lower(regexp_replace(regexp_replace(content, '^\s*\**\s*(Alice|Bob)\s*:\s*', ''), '^\s+|\s+$', '', 'g')) AS plain FROM turns),
+rp AS (SELECT conv_id, count(*) > count(DISTINCT plain) AS twice FROM pl WHERE plain <> '' GROUP BY conv_id),
+cc AS (SELECT (count(*) FILTER (name_pos IS NOT NULL))::DOUBLE AS mix, avg(coalesce(twice, false)::INTEGER)::DOUBLE AS rep FROM traj LEFT JOIN rp USING (conv_id))
+SELECT 'name_prefix_rate' AS "check", CASE WHEN pre >= 0.99 THEN 'PASS' WHEN pre >= 0.9 THEN 'WARN' ELSE 'FAIL' END AS status, round(pre, 9) AS value FROM tt
+UNION ALL SELECT 'blank_turns', CASE WHEN blank = 0 THEN 'PASS' ELSE 'FAIL' END, blank FROM tt
+UNION ALL SELECT 'mojibake_turns', 'PASS', 0.0::DOUBLE
+UNION ALL SELECT 'truncated_turns', CASE WHEN cut = 0 THEN 'PASS' ELSE 'WARN' END, cut FROM tt
+UNION ALL SELECT 'name_mixing', CASE WHEN mix = 0 THEN 'PASS' ELSE 'WARN' END, mix FROM cc
+UNION ALL SELECT 'duplicate_rate', """
+    + _TIER.format(v="rep", fair="0.05")
+    + ", round(rep, 9) FROM cc",
+    derived=True,
+)
 def quality_checks_turns(spark, sf):
-    return quality.turn_checks(fixture.turns(spark, sf).withColumn("finish_reason", F.lit("stop")), ["conv_id"])
+    blank = F.when((F.col("conv_id") % 5 == 0) & (F.col("pos") == 3), F.lit(" ")).otherwise(F.col("content"))
+    turns = fixture.turns(spark, sf).withColumns({"content": blank, "finish_reason": F.when((F.col("conv_id") + F.col("pos")) % 29 == 0, "length").otherwise("stop")})
+    both = quality.turn_checks(turns).unionByName(quality.conversation_checks(fixture.trajectories(spark, sf)))
+    return both.withColumn("value", _r("value"))
 
 
-@query()
+@query(
+    """WITH m AS (SELECT s.*, c.rank, c.conv_id IS NOT NULL AS selected FROM scored s LEFT JOIN chosen c USING (conv_id)),
+one AS (SELECT (count(*) FILTER (selected))::DOUBLE AS chosen, coalesce(avg(reward) FILTER (selected), 0) - coalesce(avg(reward) FILTER (NOT selected), 0) AS lift, coalesce(avg(correct_score) FILTER (selected), 0) - coalesce(avg(correct_score) FILTER (NOT selected), 0) AS correct, (count(*) FILTER (selected AND reward < 0.6::DOUBLE))::DOUBLE AS below FROM m),
+ups AS (SELECT (count(*) FILTER (up))::DOUBLE AS rises FROM (SELECT reward > lag(reward) OVER (ORDER BY rank) AS up FROM m WHERE selected))
+SELECT 'selected_count' AS "check", CASE WHEN chosen > 0 THEN 'PASS' ELSE 'FAIL' END AS status, chosen AS value FROM one
+UNION ALL SELECT 'reward_lift', CASE WHEN lift > 0 THEN 'PASS' ELSE 'FAIL' END, round(lift, 9) FROM one
+UNION ALL SELECT 'correctness_lift', CASE WHEN correct > 0 THEN 'PASS' ELSE 'WARN' END, round(correct, 9) FROM one
+UNION ALL SELECT 'threshold', CASE WHEN below = 0 THEN 'PASS' ELSE 'FAIL' END, below FROM one
+UNION ALL SELECT 'rank_order', CASE WHEN rises = 0 THEN 'PASS' ELSE 'FAIL' END, rises FROM ups""",
+    derived=True,
+)
 def quality_checks_selection(spark, sf):
-    pair_rows = pairs.tree_pairs(_edges(spark, sf))
-    checks = quality.selection_checks(_marked(spark, sf), S.epsilon).unionByName(quality.pair_checks(pair_rows, S.min_value, S.min_gap))
-    return checks.unionByName(quality.routing_checks(_speaker_messages(spark, sf)))
+    return quality.selection_checks(_marked(spark, sf), S.epsilon).withColumn("value", _r("value"))
+
+
+@query(
+    _TREE_SQL + """ SELECT 'state_count' AS "check", CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'WARN' END AS status, count(DISTINCT (task_id, state_id))::DOUBLE AS value FROM kept
+UNION ALL SELECT 'pair_count', CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'WARN' END, count(*)::DOUBLE FROM kept
+UNION ALL SELECT 'pair_thresholds', CASE WHEN count(*) FILTER (hi <= 0.4::DOUBLE OR hi - lo <= 0.2::DOUBLE) = 0 THEN 'PASS' ELSE 'FAIL' END, (count(*) FILTER (hi <= 0.4::DOUBLE OR hi - lo <= 0.2::DOUBLE))::DOUBLE FROM kept""",
+    derived=True,
+)
+def quality_checks_pairs(spark, sf):
+    return quality.pair_checks(pairs.tree_pairs(_edges(spark, sf)), S.min_value, S.min_gap)
+
+
+_PROMPTS_SQL = "CASE WHEN {c} % 10 = 0 THEN 'You are both.' ELSE 'You are Alice.' END AS system_first, CASE WHEN {c} % 10 = 0 THEN 'You are both.' ELSE 'You are Bob.' END AS system_second"
+
+
+def _full(spark, sf, df=None):
+    """Trajectories with system prompts and private contexts."""
+    df = fixture.trajectories(spark, sf) if df is None else df
+    shared = F.col("conv_id") % 10 == 0
+    prompt = lambda name: F.when(shared, "You are both.").otherwise(f"You are {name}.")
+    context = lambda side: F.when(F.col("conv_id") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("conv_id") % 9 == 0, "same").otherwise(side)))
+    return df.withColumns({"system_first": prompt("Alice"), "system_second": prompt("Bob"), "context_first": context("a"), "context_second": context("b")})
+
+
+@query(
+    """WITH one AS (SELECT (count(*) FILTER (conv_id % 10 = 0))::DOUBLE AS system, (count(*) FILTER (conv_id % 6 <> 0 AND conv_id % 9 = 0))::DOUBLE AS context, (count(*) FILTER (conv_id % 6 = 0))::DOUBLE AS empty, (count(*) FILTER (conv_id % 8 = 0))::DOUBLE AS swapped FROM traj)
+SELECT 'same_system' AS "check", CASE WHEN system = 0 THEN 'PASS' ELSE 'FAIL' END AS status, system AS value FROM one
+UNION ALL SELECT 'same_context', CASE WHEN context = 0 THEN 'PASS' ELSE 'FAIL' END, context FROM one
+UNION ALL SELECT 'empty_context', CASE WHEN empty = 0 THEN 'PASS' ELSE 'INFO' END, empty FROM one
+UNION ALL SELECT 'alternation', CASE WHEN swapped = 0 THEN 'PASS' ELSE 'FAIL' END, swapped FROM one
+UNION ALL SELECT 'alice_first', CASE WHEN swapped = 0 THEN 'PASS' ELSE 'WARN' END, swapped FROM one""",
+    derived=True,
+)
+def quality_checks_independence(spark, sf):
+    swap = lambda t: F.when(F.col("conv_id") % 8 == 0, F.when(t["speaker"] == "Alice", "Bob").otherwise("Alice")).otherwise(t["speaker"])
+    return quality.independence_checks(_full(spark, sf).withColumn("turns", F.transform("turns", lambda t: t.withField("speaker", swap(t)))))
+
+
+# Training sets
+
+
+_SFT_SQL = rf"""WITH who AS (SELECT unnest(['Alice', 'Bob']) AS me), pr AS (SELECT conv_id, {_PROMPTS_SQL.format(c="conv_id")} FROM traj),
+msgs AS (SELECT conv_id, me, pos, CASE WHEN speaker = me THEN 'assistant' ELSE 'user' END AS role, content FROM turns, who UNION ALL SELECT conv_id, me, -1, 'system', CASE WHEN me = 'Alice' THEN system_first ELSE system_second END FROM pr, who),
+said AS (SELECT conv_id, me AS speaker, string_agg('<|' || role || '|>' || chr(10) || content || '</s>' || chr(10), '' ORDER BY pos) AS text FROM msgs GROUP BY conv_id, me HAVING count(*) FILTER (role = 'assistant') > 0),
+short AS (SELECT * FROM said WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 600)"""
+
+
+@query(
+    _SFT_SQL
+    + """, r AS (SELECT s.*, t.task_id, t.trajectory_id, c.reward, c.correct_score, md5('42:0:sft-split|' || speaker || ':' || t.task_id || ':' || t.trajectory_id) AS k FROM short s JOIN traj t USING (conv_id) JOIN scored c USING (conv_id))
+SELECT speaker, md5(text) AS text, task_id, trajectory_id, round(reward, 9) AS reward, correct_score, CASE WHEN row_number() OVER (PARTITION BY speaker ORDER BY k) - 1 < floor(0.98::DOUBLE * count(*) OVER (PARTITION BY speaker)) THEN 'train' ELSE 'test' END AS split FROM r""",
+    derived=True,
+)
+def speaker_datasets(spark, sf):
+    out = builders.speaker_datasets(_full(spark, sf, fixture.scored(spark, sf)), max_tokens=600)
+    return out.select("speaker", F.md5("text").alias("text"), "task_id", "trajectory_id", _r("reward").alias("reward"), "correct_score", "split")
+
+
+@query(_SFT_SQL + """ SELECT 'role_routing' AS "check", CASE WHEN count(*) FILTER (conv_id % 10 = 1) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, (count(*) FILTER (conv_id % 10 = 1))::DOUBLE AS value FROM said""", derived=True)
+def quality_checks_routing(spark, sf):
+    full = _full(spark, sf, fixture.scored(spark, sf))
+    other = full.withColumn("system_first", F.when(F.col("conv_id") % 10 == 1, "other").otherwise(F.col("system_first"))).withColumn("system_second", F.when(F.col("conv_id") % 10 == 1, "other").otherwise(F.col("system_second")))
+    return quality.routing_checks(builders.sft_rows(full), other, read=_read_plain)
+
+
+def _read_plain(text):
+    """Read the default rendering back through the tagged reader."""
+    tagged = F.replace(F.regexp_replace(text, r"<\|(system|user|assistant)\|>\n", "<|im_start|>$1\n"), F.lit("</s>\n"), F.lit("<|im_end|>\n"))
+    return chat.read_tagged(tagged)
+
+
+def _states(spark, sf):
+    """Two states for each task: branches of the root (even trajectories) and of Bob's answer (odd ones), with the first turn as prefix."""
+    df = _full(spark, sf)
+    bob = F.col("trajectory_id") % 2 == 1
+    first = F.get(F.col("turns"), F.lit(0))
+    kept = ["conversation", "token_count", "losses", "answers", "answer_is_list", "final_answer", "score_type", "system_first", "system_second", "turns"]
+    return df.select("task_id", F.when(bob, "bob_after_alice").otherwise("alice_root").alias("state_id"), F.when(bob, "Bob").otherwise("Alice").alias("speaker"), F.when(bob, F.array(first)).otherwise(F.array().cast(df.schema["turns"].dataType)).alias("prefix_turns"), F.col("trajectory_id").alias("branch_id"), F.concat(F.lit("c"), F.floor(F.col("trajectory_id") / 2).cast("string")).alias("candidate"), *kept)
+
+
+@query("SELECT task_id, CASE WHEN trajectory_id % 2 = 1 THEN 'bob_after_alice' ELSE 'alice_root' END AS state_id, trajectory_id AS branch_id, round(reward, 9) AS reward, round(effective_reward, 9) AS effective_reward FROM penalised", derived=True)
+def score_branches(spark, sf):
+    states = builders.nest_states(_states(spark, sf))
+    out = builders.score_branches(builders.branches_of(states))
+    return out.select("task_id", "state_id", "branch_id", _r("reward").alias("reward"), _r("effective_reward").alias("effective_reward"))
+
+
+@query("SELECT task_id, arg_min(content, conv_id) AS content FROM turns WHERE pos = 0 AND trajectory_id <> 0 GROUP BY task_id", derived=True)
+def anchor_turns(spark, sf):
+    broken = F.when(F.col("branch_id") == 0, F.transform("turns", lambda t: t.withField("content", F.lit("error")))).otherwise(F.col("turns"))
+    out = builders.anchor_turns(_states(spark, sf).withColumn("turns", broken), ["task_id"])
+    return out.select("task_id", F.col("anchor.content").alias("content"))
+
+
+@query(
+    """WITH b AS (SELECT p.*, CASE WHEN trajectory_id % 2 = 1 THEN 'bob_after_alice' ELSE 'alice_root' END AS state_id, 'c' || CAST(trajectory_id // 2 AS VARCHAR) AS candidate FROM penalised p),
+v AS (SELECT task_id, state_id, candidate, avg(effective_reward) AS value, min(trajectory_id) AS seq, min(conv_id) AS conv_id FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_id, state_id ORDER BY value DESC, seq) AS b, row_number() OVER (PARTITION BY task_id, state_id ORDER BY value, seq DESC) AS w, count(*) OVER (PARTITION BY task_id, state_id) AS n FROM v),
+p AS (SELECT task_id, state_id, max(CASE WHEN b = 1 THEN candidate END) AS chosen, max(CASE WHEN w = 1 THEN candidate END) AS rejected, max(CASE WHEN b = 1 THEN value END) AS hi, max(CASE WHEN w = 1 THEN value END) AS lo FROM r WHERE n > 1 GROUP BY ALL),
+f AS (SELECT task_id, state_id, min(trajectory_id) AS trajectory_id FROM b GROUP BY ALL),
+ok AS (SELECT p.*, CASE WHEN p.state_id = 'alice_root' THEN 'Alice' ELSE 'Bob' END AS speaker, t.conv_id, u.content FROM p JOIN f USING (task_id, state_id) JOIN traj t ON t.task_id = f.task_id AND t.trajectory_id = f.trajectory_id JOIN turns u ON u.conv_id = t.conv_id AND u.pos = 0 WHERE hi > 0.4::DOUBLE AND hi - lo > 0.2::DOUBLE),
+q AS (SELECT *, CASE WHEN conv_id % 10 = 0 THEN 'You are both.' ELSE 'You are ' || speaker || '.' END AS sys FROM ok)
+SELECT speaker, '<|system|>' || chr(10) || sys || '</s>' || chr(10) || CASE WHEN speaker = 'Bob' THEN '<|user|>' || chr(10) || content || '</s>' || chr(10) ELSE '' END || '<|assistant|>' || chr(10) AS prompt, chosen || '</s>' || chr(10) AS chosen, rejected || '</s>' || chr(10) AS rejected, task_id, state_id, round(hi - lo, 9) AS distance,
+CASE WHEN row_number() OVER (PARTITION BY speaker ORDER BY task_id, state_id) - 1 < greatest(1, floor(0.9::DOUBLE * count(*) OVER (PARTITION BY speaker))) THEN 'train' ELSE 'test' END AS split FROM q""",
+    derived=True,
+)
+def pair_datasets(spark, sf):
+    scored = stage(builders.score_branches(_states(spark, sf)), "branches")
+    found = pairs.state_pairs(scored, ["task_id", "state_id", "speaker"])
+    first = scored.groupBy("task_id", "state_id").agg(F.min_by(F.struct("system_first", "system_second", "prefix_turns"), "branch_id").alias("f")).select("task_id", "state_id", "f.*")
+    out = builders.pair_datasets(found.join(first, ["task_id", "state_id"]))
+    return out.select("speaker", "prompt", "chosen", "rejected", "task_id", "state_id", _r("distance").alias("distance"), "split")
+
+
+_LEGACY_SQL = """WITH src AS (SELECT s.*, CASE task_id % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'arc' ELSE 'cbt' END AS dataset_name FROM scored s),
+top AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY reward DESC, trajectory_id) = 1),
+pl AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY reward DESC, task_id) - 1 AS place, count(*) OVER (PARTITION BY dataset_name) AS n FROM top),
+win AS (SELECT * FROM pl WHERE place >= CASE WHEN dataset_name IN ('math', 'arc') THEN floor(0.1::DOUBLE * n) ELSE 0 END AND place < floor(CASE WHEN dataset_name IN ('math', 'arc') THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END * n) AND reward >= 0.6::DOUBLE)"""
+
+
+def _legacy(spark, sf):
+    name = F.element_at(F.array(F.lit("math"), F.lit("arc"), F.lit("cbt")), (F.col("task_id") % 3 + 1).cast("int"))
+    info = {"dataset_name": name, "question": F.concat(F.lit("q"), F.col("task_id").cast("string")), "information_first": F.lit("one"), "information_second": F.lit("two")}
+    return fixture.scored(spark, sf).withColumns(info)
+
+
+@query(_LEGACY_SQL + " SELECT dataset_name, conv_id, round(reward, 9) AS reward FROM win", derived=True)
+def select_by_dataset(spark, sf):
+    return selection.select_by_dataset(_legacy(spark, sf)).select("dataset_name", "conv_id", _r("reward").alias("reward"))
+
+
+@query(_LEGACY_SQL + " SELECT count(*) FILTER (reward >= 0.6::DOUBLE) AS count, round(avg(token_count) FILTER (reward >= 0.6::DOUBLE), 6) AS average_token, round(avg(reward) FILTER (reward >= 0.6::DOUBLE), 9) AS average_reward FROM top", derived=True)
+def selection_means(spark, sf):
+    return selection.selection_means(_legacy(spark, sf)).select("count", _r("average_token", 6).alias("average_token"), _r("average_reward").alias("average_reward"))
+
+
+@query(
+    _LEGACY_SQL
+    + """, who AS (SELECT unnest(['Alice', 'Bob']) AS speaker),
+sides AS (SELECT conv_id, md5(string_agg('assistant:' || content, '|' ORDER BY pos) || CASE WHEN any_value(is_large) THEN '|assistant:large' ELSE '' END) AS said FROM turns JOIN traj USING (conv_id) GROUP BY conv_id),
+r AS (SELECT task_id, speaker, dataset_name, CASE WHEN speaker = 'Alice' THEN 'Alice asks Bob: q' || task_id || ' with one' ELSE 'Bob tells Alice: two on q' || task_id END AS prompt, said, md5('42|' || task_id || ':' || speaker) AS k FROM win JOIN sides USING (conv_id), who)
+SELECT task_id, speaker, dataset_name, prompt, said, CASE WHEN row_number() OVER (ORDER BY k) - 1 < floor(0.98::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM r""",
+    derived=True,
+)
+def legacy_sft_rows(spark, sf):
+    out = builders.legacy_sft_rows(_legacy(spark, sf), "${name} asks ${partner}: ${question} with ${information}", "${name} tells ${partner}: ${information} on ${question}")
+    said = F.md5(F.array_join(F.transform(F.slice("messages", F.lit(2), F.size("messages") - 1), lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"))
+    return out.select("task_id", "speaker", "dataset_name", F.get("messages", F.lit(0))["content"].alias("prompt"), said.alias("said"), "split")
+
+
+@query(
+    """WITH ids AS (SELECT task_id, arg_min(conv_id, (-reward, trajectory_id)) AS a, arg_min(conv_id, (reward, trajectory_id)) AS b FROM scored GROUP BY task_id), who AS (SELECT unnest(['Alice', 'Bob']) AS speaker),
+sides AS (SELECT conv_id, md5(string_agg(CASE WHEN pos = 0 THEN 'system:' ELSE 'assistant:' END || content, '|' ORDER BY pos) || CASE WHEN any_value(is_large) THEN '|assistant:large' ELSE '' END) AS said FROM turns JOIN traj USING (conv_id) GROUP BY conv_id)
+SELECT task_id, speaker, speaker || ' and ' || CASE speaker WHEN 'Alice' THEN 'Bob' ELSE 'Alice' END || ' on q' || task_id || ': ' || CASE speaker WHEN 'Alice' THEN 'one' ELSE 'two' END AS prompt, x.said AS chosen, y.said AS rejected,
+CASE WHEN row_number() OVER (ORDER BY task_id, speaker) - 1 < floor(0.9::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM ids JOIN sides x ON x.conv_id = a JOIN sides y ON y.conv_id = b, who""",
+    derived=True,
+)
+def legacy_pair_rows(spark, sf):
+    out = builders.legacy_pair_rows(_legacy(spark, sf), "${name} and ${partner} on ${question}: ${information}")
+    said = lambda c: F.md5(F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias(c)
+    return out.select("task_id", "speaker", "prompt", said("chosen"), said("rejected"), "split")
+
+
+@query(
+    """WITH n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
+r AS (SELECT conv_id AS task_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pair_no, 'system:' || text || '|assistant:' || next AS chosen, 'system:' || text AS rejected FROM n WHERE next IS NOT NULL)
+SELECT task_id, pair_no, md5(chosen) AS chosen, md5(rejected) AS rejected, CASE WHEN row_number() OVER (ORDER BY task_id, pair_no) - 1 < floor(0.9::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM r"""
+)
+def chat_pairs(spark, sf):
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    nested = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("task_id")).agg(ordered.alias("t"))
+    made = F.transform(F.slice("t", F.lit(1), F.size("t") - 1), lambda x, k: F.struct(F.array(x["text"], F.get("t", k + 1)["text"]).alias("chosen"), F.array(x["text"]).alias("rejected")))
+    out = builders.chat_pairs(nested.select("task_id", made.alias("dpo_results")))
+    said = lambda c: F.md5(F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias(c)
+    return out.select("task_id", F.col("pair_no").cast("long").alias("pair_no"), said("chosen"), said("rejected"), "split")
+
+
+@query(
+    """WITH m AS (SELECT conv_id, turn, role, max(turn) OVER (PARTITION BY conv_id) AS last, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opens, '<|' || role || '|>' || chr(10) || text || '</s>' || chr(10) AS r FROM conversations)
+SELECT conv_id, md5(CASE WHEN any_value(opens) = 'system' AND max(last) > 0 THEN '' ELSE '<|system|>' || chr(10) || '</s>' || chr(10) END || coalesce(string_agg(CASE WHEN turn < last THEN r END, '' ORDER BY turn), '')) AS prompt, md5(max(CASE WHEN turn = last THEN r END)) AS chosen, md5(max(CASE WHEN turn = last THEN r END)) AS rejected,
+md5(CASE WHEN any_value(opens) = 'system' THEN '' ELSE '<|system|>' || chr(10) || '</s>' || chr(10) END || string_agg(r, '' ORDER BY turn) || '<|assistant|>' || chr(10)) AS generation FROM m GROUP BY conv_id"""
+)
+def chat_task_formats(spark, sf):
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    nested = table(spark, sf, "conversations").groupBy("conv_id").agg(ordered.alias("t")).withColumn("messages", F.transform("t", lambda x: chat.message(x["role"], x["text"])))
+    dpo = builders.chat_task(nested.withColumns({"chosen": F.col("messages"), "rejected": F.col("messages")}), "dpo")
+    out = builders.chat_task(dpo, "generation")
+    return out.select("conv_id", F.md5("text_prompt").alias("prompt"), F.md5("text_chosen").alias("chosen"), F.md5("text_rejected").alias("rejected"), F.md5("text").alias("generation"))
+
+
+@query("WITH s AS (SELECT conv_id, turn, text, '<|user|>' || chr(10) || text || '</s>' || chr(10) AS t FROM conversations WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 60) SELECT conv_id, turn FROM s".replace("\\\\", "\\"))
+def prompt_length(spark, sf):
+    return builders.within(table(spark, sf, "conversations"), "text", 60, strict=True).select("conv_id", "turn")
+
+
+@query(_EDGES_SQL + " SELECT task_id, node_id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth = 0 THEN '' ELSE array_to_string(string_split(node_id, ''), '>') END AS prefix FROM edges", derived=True)
+def node_prefixes(spark, sf):
+    edges = stage(_edges(spark, sf), "edges")
+    deepest = edges.agg(F.max("depth")).first()[0] or 0
+    return builders.node_prefixes(edges, deepest).select("task_id", "node_id", F.col("depth").cast("long").alias("depth"), F.array_join("prefix", ">").alias("prefix"))
+
+
+@query(_EDGES_SQL + " SELECT task_id, parent_id AS node_id, node_id AS child_id, CASE WHEN depth % 2 = 0 THEN 'A' ELSE 'B' END || '>' || array_to_string(string_split(node_id, ''), '>') AS conversation, round(value, 9) AS value FROM edges WHERE parent_id IS NOT NULL", derived=True)
+def tree_records(spark, sf):
+    edges = stage(_edges(spark, sf), "edges")
+    deepest = edges.agg(F.max("depth")).first()[0] or 0
+    prompts = edges.select("task_id", F.lit("A").alias("prompt_first"), F.lit("B").alias("prompt_second")).distinct()
+    out = builders.tree_records(edges, prompts, deepest)
+    return out.select("task_id", "node_id", "child_id", F.array_join("conversation", ">").alias("conversation"), _r("value").alias("value"))
+
+
+@query(
+    _EDGES_SQL
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY value DESC, seq) AS b, row_number() OVER (PARTITION BY task_id ORDER BY value, seq DESC) AS w, count(*) OVER (PARTITION BY task_id) AS n FROM edges WHERE depth = 1)
+SELECT task_id, max(CASE WHEN b = 1 THEN node_id END) AS chosen, max(CASE WHEN w = 1 THEN node_id END) AS rejected, round(max(value) - min(value), 9) AS distance FROM r WHERE n > 1 GROUP BY task_id HAVING max(value) > 0.4::DOUBLE AND max(value) - min(value) > 0.2::DOUBLE""",
+    derived=True,
+)
+def root_pair(spark, sf):
+    return builders.root_pair(stage(_edges(spark, sf), "edges")).select("task_id", "chosen", "rejected", _r("distance").alias("distance"))
+
+
+@query(
+    """WITH w AS (SELECT *, 100 AS cap FROM parts)
+SELECT conv_id, round(CASE WHEN offence IS DISTINCT FROM 'name' AND lower(coalesce(final_answer, '')) IN (lower(answer)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+ + CASE WHEN is_large OR token_count <= 40 THEN -1.0::DOUBLE ELSE (-0.5)::DOUBLE * token_count / cap END + CASE WHEN NOT judged THEN -1.0::DOUBLE WHEN offence IS NOT NULL THEN 0.0::DOUBLE ELSE 0.6::DOUBLE / max_loss END, 9) AS effective_reward, 0.0::DOUBLE AS name_penalty FROM w""",
+    derived=True,
+)
+def search_reward(spark, sf):
+    return scoring.search_reward(fixture.trajectories(spark, sf), 100).select("conv_id", _r("effective_reward").alias("effective_reward"), "name_penalty")
+
+
+def _length_loss(texts: list[str]) -> list[float]:
+    return [1.0 + len(t) % 7 / 10.0 for t in texts]
+
+
+@query("SELECT conv_id, round(sum(1.0::DOUBLE + (length('<|user|>' || chr(10) || '</s>' || chr(10) || '<|assistant|>' || chr(10) || content || '</s>' || chr(10)) % 7) / 10.0::DOUBLE), 6) AS loss, count(*) AS n FROM turns GROUP BY conv_id", derived=True)
+def loss_provider(spark, sf):
+    out = scoring.with_losses(fixture.trajectories(spark, sf).drop("losses"), _length_loss, merge_system=True)
+    return out.select("conv_id", _r(F.aggregate("losses", F.lit(0.0), lambda a, x: a + x), 6).alias("loss"), F.size("losses").cast("long").alias("n"))
+
+
+@query("SELECT conv_id, CAST(sum(CASE WHEN pos % 2 = 0 THEN token_count ELSE length(content) END) + CASE WHEN any_value(is_large) THEN CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 5 END ELSE 0 END AS BIGINT) AS tokens FROM (SELECT t.conv_id, t.pos, t.token_count, t.content, j.is_large FROM turns t JOIN traj j USING (conv_id)) GROUP BY conv_id", derived=True)
+def alternating_count(spark, sf):
+    letters = lambda t: F.split(t, "")
+    return fixture.trajectories(spark, sf).select("conv_id", X.alternating_count(F.col("conversation"), (X.tokens, letters)).cast("long").alias("tokens"))
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 < floor(0.3::DOUBLE * count(*) OVER (PARTITION BY source))")
+def first_rows(spark, sf):
+    return selection.first_rows(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", share=0.3, by="source").select("doc_id")
+
+
+@query(
+    """WITH e AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (ORDER BY event_id))
+SELECT event_id, CAST(sum(new) OVER (ORDER BY event_id) AS BIGINT) AS island FROM e"""
+)
+def islands_of_all(spark, sf):
+    return compose.islands(table(spark, sf, "events").select("event_id", "event_type"), "event_type", "event_id").select("event_id", F.col("island").cast("long").alias("island"))
 
 
 # Text
@@ -485,7 +789,12 @@ def latex_equiv(spark, sf):
     return _answers(spark, sf).select("p_partkey", latex.latex_equal(latex.boxed_answer(F.col("solution")), half).alias("same"))
 
 
-@query()
+@query(
+    """WITH g AS (SELECT task_id, trajectory_id AS pos, coalesce(final_answer, '') AS final_answer, coalesce(final_answer, 'none ' || trajectory_id) AS own FROM traj),
+k AS (SELECT task_id, own, count(*) AS n, min(pos) AS first FROM g GROUP BY ALL), c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC, first) = 1)
+SELECT g.task_id, g.pos, g.final_answer FROM g JOIN c USING (task_id, own)""",  # single letters are alike only if equal
+    derived=True,
+)
 def f1_cluster(spark, sf):
     return replay.cluster_by_f1(fixture.trajectories(spark, sf).select("task_id", F.col("trajectory_id").alias("pos"), F.coalesce("final_answer", F.lit("")).alias("final_answer")))
 
@@ -535,10 +844,11 @@ def load_arc(spark, sf):
     return datasets.arc(source).select("id", F.get("answers", F.lit(0)).alias("answer"))
 
 
-@query("SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_type END AS answer, md5('42|' || p_partkey) AS order_key FROM part WHERE p_name || ' ' || (p_partkey % 100) NOT IN (SELECT p_name || ' ' || (p_partkey % 100) FROM part WHERE p_partkey % 5 = 0)")
+@query("SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_type END AS answer, md5('42|' || p_partkey) AS order_key FROM part WHERE p_name || ' ' || (p_partkey % 100) NOT IN (SELECT p_name || ' ' || (p_partkey % 100) FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 50)")
 def load_mmlu(spark, sf):
     source = _choices(spark, sf).select("id", "question", F.col("texts").alias("choices"), F.col("nth").alias("answer"))
-    return datasets.mmlu(source, source.where("id % 5 = 0")).select("id", F.get("answers", F.lit(0)).alias("answer"), "order_key")
+    other = source.join(table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity >= 50").select(F.col("l_partkey").alias("id")).distinct(), "id")
+    return datasets.mmlu(source, other).select("id", F.get("answers", F.lit(0)).alias("answer"), "order_key")
 
 
 @query(
@@ -553,14 +863,15 @@ def load_trivia(spark, sf):
 
 
 def _wiki(spark, sf):
-    title = F.concat(F.lit("t"), (F.col("l_linenumber") % 5).cast("string"))
-    each = table(spark, sf, "lineitem").where("l_linenumber <= 5").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
-    lines = each.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", title.alias("title"), F.array(F.col("l_returnflag"), F.col("l_partkey").cast("string")).alias("sentences")))).alias("x"))
-    return lines.select("id", F.lit("q").alias("question"), F.lit("a").alias("answer"), F.transform("x", lambda v: F.struct(v["title"].alias("title"), v["sentences"].alias("sentences"))).alias("context"), F.transform(F.slice("x", F.lit(1), F.lit(3)), lambda v: F.struct(v["title"].alias("title"), F.lit(0).alias("idx"))).alias("supporting_facts"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("x"))
+    title = lambda k: F.concat(F.lit("t"), k.cast("string"))
+    context = F.transform("x", lambda v, k: F.struct(title(k).alias("title"), F.array(v["l_returnflag"], v["l_partkey"].cast("string")).alias("sentences")))
+    return lines.select("id", F.lit("q").alias("question"), F.lit("a").alias("answer"), context.alias("context"), F.transform(F.slice("x", F.lit(1), F.lit(3)), lambda v, k: F.struct(title(k).alias("title"), F.lit(0).alias("idx"))).alias("supporting_facts"))
 
 
-_WIKI_SQL = """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS b, min(l_returnflag) AS a FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL),
-e AS (SELECT l_orderkey AS id, 't' || (l_linenumber % 5) AS title, a, b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS seat FROM l),
+_WIKI_SQL = """WITH l AS (SELECT l_orderkey, l_returnflag AS a, l_partkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS seat FROM lineitem),
+e AS (SELECT l_orderkey AS id, 't' || (seat - 1) AS title, a, b, seat FROM l),
 m AS (SELECT *, seat <= 3 AS sup, md5('42|' || id || '|' || title) AS mark FROM e),
 n AS (SELECT *, row_number() OVER (PARTITION BY id, sup ORDER BY {order}) - 1 AS nth FROM m),
 s AS (SELECT *, CASE WHEN sup THEN nth % 2 ELSE CAST('0x' || left(mark, 1) AS INTEGER) % 2 END AS side, title || ': ' || a || {joint} || b || chr(10) AS p FROM n)
