@@ -3,13 +3,16 @@
 Storing writes each payload as an 8-bit grey PNG of 64 columns (lossless), as
 members of one tar file for each task, with an index file of member offsets
 beside it.  ``ArchiveSource`` plans byte ranges over the tar files of a
-directory, so that many tasks can read one archive; a task streams the members
-that begin in its range as Arrow batches of bounded size, and each member is
-read and checked by its own offset, and read again on its own if that fails.
+directory, so that many tasks can read one archive; a task finds its part of the
+index by bisection, and streams the members that begin in its range as Arrow
+batches of bounded size.  Neighbours are read at once and cut apart by their
+offsets; a member that does not match the index is read again on its own.
 
 Defined results: null text is an empty payload.  A payload gets bytes 0 up to a
 positive multiple of 64, so an empty one has 64.  Repeated rows are members of
-their own.  A tar file without its index is of a task that did not end, and is
+their own, and ties have nothing to decide.  A very long text is one member and
+one batch.  An empty table makes no archive.  Other columns play no part,
+whatever their names.  A tar file without its index is of a task that did not end, and is
 passed over.  A member that cannot be read after all attempts ends the task, or
 gives a row with its error if ``on_error`` is ``row``.
 """
@@ -159,7 +162,7 @@ class ArchiveReader(DataSourceReader):
                 if len(data) != member["size"] or zlib.crc32(data) != member["crc32"]:
                     raise OSError("its bytes do not match the index")
                 return data, None
-            except OSError as e:
+            except (OSError, EOFError) as e:
                 error = f"{file} at {member['offset']}: {e}"
                 if k + 1 < self.attempts:
                     time.sleep(0.05 * 2**k)
@@ -167,21 +170,46 @@ class ArchiveReader(DataSourceReader):
             raise OSError(error)
         return None, error
 
+    @staticmethod
+    def index_part(file: str, first: int, limit: int, block: int = 4096) -> np.ndarray:
+        """The members that begin in a range, by bisection over blocks of the index, which is in order."""
+        name, width = f"{file}.index", _MEMBER.itemsize
+        n = common.size_of(name) // width
+        entry = lambda k: int(np.frombuffer(common.read_range(name, k * width, width), _MEMBER)["offset"][0])
+        low, high = 0, -(-n // block)  # the block before the first that begins at or behind the range's start
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if entry(middle * block) < first else (low, middle)
+        found = []
+        for k in range(max(low - 1, 0) * block, n, block):
+            part = np.frombuffer(common.read_range(name, k * width, min(block, n - k) * width), _MEMBER)
+            found.append(part[(part["offset"] >= first) & (part["offset"] < limit)])
+            if part["offset"][-1] >= limit:
+                break
+        return np.concatenate(found) if found else np.zeros(0, _MEMBER)
+
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.file:
             return
-        index = np.frombuffer(common.read_range(f"{partition.file}.index", 0, common.size_of(f"{partition.file}.index")), _MEMBER)
-        own = index[(index["offset"] >= partition.first) & (index["offset"] < partition.limit)]
-        rows, held = [], 0
-        for m in own:
-            data, error = self.member(partition.file, m)
-            rows.append((partition.file, int(m["offset"]), data, error))
-            held += int(m["size"])
-            if held >= BATCH_BYTES:
-                yield self._batch(rows)
-                rows, held = [], 0
-        if rows:
+        own = self.index_part(partition.file, partition.first, partition.limit)
+        at = 0
+        while at < len(own):
+            begin = int(own["offset"][at])
+            to = max(at + 1, int(np.searchsorted(own["offset"] + own["size"], begin + BATCH_BYTES, side="right")))
+            end = int(own["offset"][to - 1] + own["size"][to - 1])
+            try:
+                whole = memoryview(common.read_range(partition.file, begin, end - begin))
+            except OSError:
+                whole = memoryview(b"")
+            rows = []
+            for m in own[at:to]:
+                data = bytes(whole[int(m["offset"]) - begin :][: int(m["size"])])
+                error = None
+                if len(data) != m["size"] or zlib.crc32(data) != m["crc32"]:
+                    data, error = self.member(partition.file, m)
+                rows.append((partition.file, int(m["offset"]), data, error))
             yield self._batch(rows)
+            at = to
 
     @staticmethod
     def _batch(rows: list) -> pa.RecordBatch:
