@@ -13,6 +13,8 @@ Defined results: null html is an empty payload, null URLs are written as
 smallest id that is not null is the response; if all are null, all are
 responses.  Rows that repeat the response's id are responses too.  A task that
 runs again writes another file, and only files that the index names are read.
+A very long payload is a record, and a range, of its own.  An empty table makes
+an empty index.  Columns other than page_id, url and html play no part.
 """
 
 from __future__ import annotations
@@ -34,17 +36,33 @@ MIN_REVISIT = 100
 RANGE_BYTES = 8 << 20
 #: Bytes between records that are read along rather than skipped.
 GAP_BYTES = 64 << 10
+#: Repeated digests that may be broadcast, after they have been counted; beyond it, a merge join in so many parts of each digest.
+BROADCAST_DIGESTS = 100_000
+DIGEST_PARTS = 32
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def record_types(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """pages (page_id, url, html) with digest and refers_to (null for responses)."""
+    """pages (page_id, url, html) with digest and refers_to (null for responses).
+
+    Only digests are grouped; payloads stay where they were read if the repeated
+    digests, once counted, are few enough to travel to them, and are else dealt
+    by digest and a part of their own hash, so that a payload that many pages
+    share goes to many tasks.
+    """
     body = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", body.alias("html")).withColumn("digest", F.sha2(F.col("html"), 256))
     firsts = pages.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    firsts = common.stage(firsts, "warc-firsts")
     is_revisit = (F.octet_length("html") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return pages.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", F.when(is_revisit, F.col("first_id")).alias("refers_to"))
+    if firsts.count() <= BROADCAST_DIGESTS:
+        met = pages.join(F.broadcast(firsts), "digest", "left")
+    else:
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(DIGEST_PARTS)).cast("int")
+        spread = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DIGEST_PARTS - 1))))
+        met = pages.withColumn("part", part("page_id")).hint("merge").join(spread, ["digest", "part"], "left")
+    return met.select("page_id", "url", "html", "digest", F.when(is_revisit, F.col("first_id")).alias("refers_to"))
 
 
 def _record_id(page_id) -> str:
