@@ -12,7 +12,9 @@ hash of their id, and at most ``SAMPLE_WINDOWS`` windows of each.
 Defined results: null text and text without a letter is ``und`` with score 0;
 so is every text if nothing could be learned.  A language that the sample lacks
 cannot be predicted.  Rows with null language or id teach nothing.  Repeated
-rows get equal results.
+rows get equal results and teach once.  Of equal probabilities, the language
+first in order is named.  Very long texts are read whole, window by window.
+Columns other than id, text and, to learn from, lang play no part.
 """
 
 from __future__ import annotations
@@ -146,8 +148,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteCNN | None:
     """Fit on documents (doc_id, text, lang) that are not held out; None if there are none."""
     usable = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"), 3, HELD_OUT))
     sample = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_rows)  # the bound of what is broadcast and collected
-    joined = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    rows = common.map_arrow(joined, _sample_windows, "lang string, x binary").limit(2 * sample_rows * SAMPLE_WINDOWS).collect()
+    # One text of each id and language: the least, so that repeated rows change nothing.
+    joined = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+    rows = common.map_arrow(joined, _sample_windows, "lang string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
