@@ -13,7 +13,10 @@ hash of their id; scoring covers every whole text in one pass without shuffle.
 
 Defined results: null text is scored as an empty one.  Labels of one id are
 joined by their least.  If the sample lacks a label, every score is
-``THRESHOLD`` and nothing is rejected.  Repeated rows have equal scores.
+``THRESHOLD`` and nothing is rejected.  Repeated rows have equal scores and teach
+once.  Equal raw scores tie at equal scores.  Very long texts are scored whole.
+An empty table gives an empty one.  Other columns, whatever their names, pass
+through ``keep_good`` unchanged.
 """
 
 from __future__ import annotations
@@ -138,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on documents (doc_id, text) that labels (doc_id, quality) mark and that are not held out."""
     marked = labels.where("quality in (0, 1)").where(~is_held_out(F.col("doc_id"), 4, HELD_OUT)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     sample = marked.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # the bound of what is broadcast and collected
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    rows = common.map_arrow(joined, _features_of, "label int, x array<double>").limit(2 * sample_rows).toPandas()
+    # One text of each id: the least, so that repeated rows change nothing.
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    rows = common.map_arrow(joined, _features_of, "label int, x array<double>").toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, N_FEATURES))
     order = np.lexsort([*x.T, rows["label"]])  # the same model whatever the order of rows
     return BradleyTerry.fit(x[order], rows["label"].to_numpy()[order])
