@@ -94,3 +94,36 @@ def test_texts(spark):
     assert ld.line_classes(df.limit(0)).collect() == [] and ld.dedup_lines(df.limit(0)).collect() == []
     plan = ld.line_classes(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_of_many_lines_in_blocks_and_by_merge_joins(spark, monkeypatch):
+    """One template, lines one to six edits away from it and from each other: large keys, several components."""
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ld, "BLOCK_LINES", 3)
+    rnd = random.Random(4)
+    base = "the same words stand at the head of every line, number "
+    docs = [(k, "\n".join(edited(rnd, base + str(rnd.randrange(30)), rnd.randrange(5), "abé 1") for _ in range(2))) for k in range(45)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, _gone string").repartition(3)
+    got = ld.line_classes(df).drop("text_key").collect()
+    want = brute(docs, ld.EDITS, ld.MIN_CHARS, ld.MIN_COPIES)
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert len({(r[2], r[3]) for r in want}) > 5 and max(r[5] for r in want) > 10
+    assert ld.dedup_lines(df).columns == df.columns
+
+
+def test_key_slots_cover_every_place():
+    """Each pair within some edits has a key of the shorter one's own among the keys of the longer one."""
+    rnd = random.Random(9)
+    for edits in (1, 2, 3):
+        slots = ld.key_slots(edits)
+
+        def keys(x, only_own):
+            base, r = divmod(len(x), edits + 1)
+            return {(k, base + size, x[base * k + at :][: base + size]) for k, at, size, own in slots[r] if (own or not only_own) and 0 <= base * k + at and base * (k + 1) + at + size <= len(x) + base * 1}
+
+        for _ in range(3000):
+            a = "".join(rnd.choice("abc") for _ in range(rnd.randrange(8, 30)))
+            b = edited(rnd, a, rnd.randrange(edits + 1), "abc")
+            short, long = sorted((a, b), key=len)
+            if len(long) - len(short) <= edits:
+                assert keys(short, True) & keys(long, False)
