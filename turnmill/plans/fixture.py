@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer pieces than there are cores, dealt to all of them; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, task_id, trajectory_id, pos, speaker, text, parsed_answer, content, token_count, loss)."""
     raw = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", "text")

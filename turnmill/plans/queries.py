@@ -299,7 +299,8 @@ d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FRO
 SELECT doc_id FROM d WHERE NOT EXISTS (SELECT 1 FROM b WHERE p <> '' AND contains(t, p))"""
 )
 def decontaminate(spark, sf):
-    return compose.decontaminate(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")).select("doc_id")
+    docs = fixture.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return compose.decontaminate(docs, table(spark, sf, "benchmark")).select("doc_id")
 
 
 @query("SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' END, CASE WHEN l.quality = 0 THEN 'low' END, d.source) AS source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
