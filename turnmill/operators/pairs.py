@@ -10,6 +10,14 @@ from turnmill.types import Settings
 
 DEFAULTS = Settings()
 
+# What the older settings' names stand for; they are the other way round than they read.
+LEGACY_THRESHOLDS = {"dpo_episilon": "min_value", "dpo_min_value": "min_gap"}
+
+
+def legacy_thresholds(**settings: float) -> dict[str, float]:
+    """Arguments of ``extremes`` and the functions on it from settings by their older names."""
+    return {LEGACY_THRESHOLDS[name]: value for name, value in settings.items()}
+
 
 def candidate_values(branches: DataFrame, keys: list[str]) -> DataFrame:
     """The mean effective reward of each different candidate of a state, and its first branch; empty and "error" go."""
@@ -52,6 +60,30 @@ def backpropagate(paths: DataFrame) -> DataFrame:
     return each.withColumn("parent_id", parent).groupBy("task_id", "node_id", "parent_id", "depth").agg(F.avg("reward").alias("value"), F.count("*").alias("visits"), F.min("rollout").alias("seq"))
 
 
+def path_extremes(paths: DataFrame) -> DataFrame:
+    """The older best and worst child of each node, which depend on the order of the rollouts (task_id, rollout, reward, path).
+
+    When a rollout changes a child's mean, that child is compared with those
+    then held as best and worst; another child that a change leaves behind as
+    the best or worst is not looked up.
+    """
+    each = paths.select("task_id", "rollout", "reward", F.posexplode("path").alias("depth", "node_id"), "path")
+    running = F.avg("reward").over(Window.partitionBy("task_id", "node_id").orderBy("rollout"))
+    steps = each.withColumn("value", running).where("depth > 0").withColumn("parent_id", F.get("path", F.col("depth") - 1))
+    groups = steps.groupBy("task_id", "parent_id").agg(F.array_sort(F.collect_list(F.struct("rollout", "node_id", "value"))).alias("steps"))
+
+    def held(state: Column, side: str, x: Column) -> tuple[Column, Column]:
+        now = F.when(state[side] == x["node_id"], x["value"]).otherwise(state[f"{side}_value"])
+        beyond = x["value"] < now if side == "rejected" else x["value"] > now
+        changes = state[side].isNull() | beyond
+        return F.when(changes, x["node_id"]).otherwise(state[side]).alias(side), F.when(changes, x["value"]).otherwise(now).alias(f"{side}_value")
+
+    kind, none = paths.schema["path"].dataType.elementType, F.lit(None)
+    start = F.struct(*[c for side in ("chosen", "rejected") for c in (none.cast(kind).alias(side), none.cast("double").alias(f"{side}_value"))])
+    last = F.aggregate("steps", start, lambda state, x: F.struct(*held(state, "chosen", x), *held(state, "rejected", x)))
+    return groups.withColumn("held", last).select("task_id", "parent_id", "held.*")
+
+
 def tree_pairs(edges: DataFrame, min_value: float = DEFAULTS.min_value, min_gap: float = DEFAULTS.min_gap, keep_share: float = DEFAULTS.pair_keep_share) -> DataFrame:
     """Pairs of the best and worst child of each parent; of a task's two or more pairs the better share stays, one at least.
 

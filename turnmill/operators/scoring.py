@@ -23,9 +23,16 @@ def is_mixed(sentence: Column) -> Column:
     return ((alice > 0) & (bob > 0)) | (alice > 1) | (bob > 1)
 
 
-def format_offence(conversation: Column, check_names: bool = True) -> Column:
-    """The first offence of a conversation, "name" or "duplicate", or null; in one utterance the name counts."""
-    plain = F.transform(conversation, X.strip_speaker if check_names else X.exact_gold)
+def format_offence(conversation: Column, check_names: bool = True, mode: str = "current") -> Column:
+    """The first offence of a conversation, "name" or "duplicate", or null; in one utterance the name counts.
+
+    mode "legacy": names are no offence, and speakers are stripped as sets of characters.
+    """
+    if mode == "legacy":
+        check_names = False
+        plain = F.transform(conversation, lambda s: F.lower(X.strip_speaker_legacy(X.trimmed(s))))
+    else:
+        plain = F.transform(conversation, X.strip_speaker if check_names else X.exact_gold)
     kind = F.transform(
         conversation,
         lambda s, k: F.when(is_mixed(s) & F.lit(check_names), F.lit("name")).when(F.array_position(plain, F.get(plain, k)) <= k, F.lit("duplicate")),
@@ -51,16 +58,17 @@ def correct_score(answers: Column, is_list: Column, final: Column, score_type: C
     return F.coalesce(F.when(score_type == "f1-score", f1).otherwise(exact.cast("double")), F.lit(0.0))
 
 
-def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEFAULTS.lambda2, cal_ppl: bool = True, check_names: bool = True, token_cap: float | None = None, long_tokens: int = DEFAULTS.long_tokens, math_equal: Column | None = None) -> DataFrame:
+def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEFAULTS.lambda2, cal_ppl: bool = True, check_names: bool = True, token_cap: float | None = None, long_tokens: int = DEFAULTS.long_tokens, math_equal: Column | None = None, mode: str = "current") -> DataFrame:
     """Add correct_score, token_score, ppl_score and reward.
 
     df has task_id, conversation, token_count, losses, answers, answer_is_list,
     final_answer and score_type.  token_cap replaces the most tokens of the task.
+    mode "legacy" takes the older format rule; the oldest local scorer's cutoff is long_tokens=500.
     """
     is_large = F.array_contains("conversation", "large")
     most = F.lit(float(token_cap)) if token_cap is not None else F.coalesce(F.max(F.when(~is_large, F.col("token_count"))).over(Window.partitionBy("task_id")), F.lit(1)).cast("double")
     said = F.filter("conversation", lambda s: s != "large")
-    offence = format_offence(said, check_names)
+    offence = format_offence(said, check_names, mode)
     judged = F.lit(cal_ppl) & (F.col("token_count") <= long_tokens) & (F.size(said) > 0)
     out = df.withColumns({"_most": most, "_offence": F.when(judged, offence), "_judged": judged})
     token = F.when(is_large | (F.col("token_count") <= DEFAULTS.short_tokens), F.lit(-1.0)).otherwise(F.when(F.col("_most") == 0, F.lit(0.0)).otherwise(F.lit(lambda1) * F.col("token_count") / F.nullif(F.col("_most"), F.lit(0.0))))
@@ -120,13 +128,16 @@ def legacy_clean(conversation: Column, penalty: float = DEFAULTS.name_penalty) -
     return F.aggregate(conversation, F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("over")), step, lambda s: s["sum"])
 
 
-def agreement(turns: DataFrame, keys: list[str]) -> DataFrame:
-    """Of turns (keys, pos, speaker, parsed_answer): where another speaker first confirms the last answer, and the final answer."""
+def agreement(turns: DataFrame, keys: list[str], mode: str = "current") -> DataFrame:
+    """Of turns (keys, pos, speaker, parsed_answer): where another speaker first confirms the last answer, and the final answer.
+
+    mode "legacy": whoever gives the last answer again confirms it.
+    """
     before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     given = F.when(F.col("parsed_answer") != "", F.col("parsed_answer"))
     last = F.last(given, ignorenulls=True).over(before)
     by = F.last(F.when(given.isNotNull(), F.col("speaker")), ignorenulls=True).over(before)
-    marked = turns.withColumn("_agreed", F.coalesce((given == last) & (F.col("speaker") != by), F.lit(False)))
+    marked = turns.withColumn("_agreed", F.coalesce((given == last) & (F.lit(mode == "legacy") | (F.col("speaker") != by)), F.lit(False)))
     out = marked.groupBy(*keys).agg(
         F.min(F.when(F.col("_agreed"), F.col("pos"))).alias("agreed_pos"),
         F.min(F.when(F.col("_agreed"), F.struct("pos", "parsed_answer"))).alias("_at"),

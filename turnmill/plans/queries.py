@@ -112,6 +112,27 @@ def legacy_clean(spark, sf):
     return fixture.trajectories(spark, sf).select("conv_id", scoring.legacy_clean(F.col("conversation")).alias("penalty"))
 
 
+@query(
+    """WITH given AS (SELECT conv_id, pos, parsed_answer, last_value(parsed_answer IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM turns),
+hit AS (SELECT conv_id, min(pos) AS agreed_pos FROM given WHERE parsed_answer = held GROUP BY conv_id)
+SELECT t.conv_id, any_value(h.agreed_pos) AS agreed_pos, coalesce(max(t.parsed_answer) FILTER (t.pos = h.agreed_pos), arg_max(t.parsed_answer, t.pos) FILTER (t.parsed_answer IS NOT NULL)) AS final_answer FROM turns t LEFT JOIN hit h USING (conv_id) GROUP BY t.conv_id""",
+    derived=True,
+)
+def legacy_agreement(spark, sf):
+    return scoring.agreement(fixture.turns(spark, sf), ["conv_id"], mode="legacy").select("conv_id", F.col("agreed_pos").cast("long").alias("agreed_pos"), "final_answer")
+
+
+@query(
+    r"""WITH plain AS (SELECT conv_id, pos, lower(trim(trim(regexp_replace(content, '^\s+|\s+$', '', 'g'), 'Alice:'), 'Bob:')) AS said FROM turns),
+again AS (SELECT conv_id, bool_or(n > 1) AS twice FROM (SELECT conv_id, said, count(*) AS n FROM plain GROUP BY ALL) GROUP BY conv_id)
+SELECT conv_id, CASE WHEN twice THEN 'duplicate' END AS offence FROM again""",
+    derived=True,
+)
+def legacy_format(spark, sf):
+    df = fixture.trajectories(spark, sf)
+    return df.select("conv_id", scoring.format_offence(F.transform("turns", lambda t: t["content"]), mode="legacy").alias("offence"))
+
+
 # Preference pairs
 
 
@@ -134,12 +155,16 @@ def state_pairs(spark, sf):
     return out.select("task_id", "chosen", "rejected", *[_r(c).alias(c) for c in ("chosen_value", "rejected_value", "distance")])
 
 
-def _edges(spark, sf):
+def _paths(spark, sf):
     trajectory = F.col("trajectory_id").cast("int")
     action = lambda p: F.when(p == 0, F.substring(F.lit("xy"), F.floor(trajectory / 2).cast("int") + 1, F.lit(1))).when(p == 1, F.substring(F.lit("xy"), trajectory % 2 + 1, F.lit(1))).otherwise("z")
     df = fixture.scored(spark, sf).withColumn("actions", F.transform(F.sequence(F.lit(0), F.size("turns") - 1), action))
     path = F.concat(F.array(F.lit("")), F.transform("actions", lambda a, k: F.array_join(F.slice("actions", F.lit(1), k + 1), "")))
-    nodes = pairs.backpropagate(df.select("task_id", F.col("conv_id").alias("rollout"), "reward", path.alias("path")))
+    return df.select("task_id", F.col("conv_id").alias("rollout"), "reward", path.alias("path"))
+
+
+def _edges(spark, sf):
+    nodes = pairs.backpropagate(_paths(spark, sf))
     return nodes.withColumn("content", F.right("node_id", F.lit(1)))
 
 
@@ -153,6 +178,21 @@ def tree_backprop(spark, sf):
     return _edges(spark, sf).select("task_id", "node_id", "parent_id", F.col("depth").cast("long").alias("depth"), _r("value").alias("value"), "visits", "seq")
 
 
+@query(
+    _EDGES_SQL
+    + """, steps AS (SELECT task_id, conv_id, depth, node_id, avg(reward) OVER (PARTITION BY task_id, node_id ORDER BY conv_id) AS v FROM paths),
+l AS (SELECT task_id, left(node_id, CAST(depth - 1 AS INTEGER)) AS parent_id, list({c: node_id, v: v, hi: node_id, hv: v, lo: node_id, lv: v} ORDER BY conv_id) AS l FROM steps WHERE depth > 0 GROUP BY ALL),
+h AS (SELECT task_id, parent_id, list_reduce(l, lambda a, x: {c: x.c, v: x.v,
+  hi: CASE WHEN x.v > CASE WHEN a.hi = x.c THEN x.v ELSE a.hv END THEN x.c ELSE a.hi END, hv: CASE WHEN a.hi = x.c OR x.v > a.hv THEN x.v ELSE a.hv END,
+  lo: CASE WHEN x.v < CASE WHEN a.lo = x.c THEN x.v ELSE a.lv END THEN x.c ELSE a.lo END, lv: CASE WHEN a.lo = x.c OR x.v < a.lv THEN x.v ELSE a.lv END}) AS s FROM l)
+SELECT task_id, parent_id, s.hi AS chosen, round(s.hv, 9) AS chosen_value, s.lo AS rejected, round(s.lv, 9) AS rejected_value FROM h""",
+    derived=True,
+)
+def path_extremes(spark, sf):
+    out = pairs.path_extremes(_paths(spark, sf))
+    return out.select("task_id", "parent_id", "chosen", "rejected", *[_r(c).alias(c) for c in ("chosen_value", "rejected_value")])
+
+
 _TREE_SQL = (
     _EDGES_SQL
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY task_id, parent_id ORDER BY value DESC, seq) AS b, row_number() OVER (PARTITION BY task_id, parent_id ORDER BY value, seq DESC) AS w, count(*) OVER (PARTITION BY task_id, parent_id) AS n FROM edges WHERE parent_id IS NOT NULL),

@@ -6,7 +6,7 @@ stands for it, so that it is the same everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import latex
@@ -112,6 +112,16 @@ def gsm8k(df: DataFrame, key: str = "id") -> DataFrame:
     return _tasks(out, "gsm8k", "math", "exact-match", key)
 
 
+def read_math(spark: SparkSession, root: str, phase: str = "train") -> DataFrame:
+    """problem and solution of each JSON file under root, the phase's split and a folder for each kind of question; unreadable files are left out.
+
+    id is the file's path from the split on.
+    """
+    split = SPLITS[phase]["math"]
+    read = spark.read.schema("problem string, solution string").option("mode", "DROPMALFORMED").option("multiLine", True).json(f"{root.rstrip('/')}/{split}/*/*")
+    return read.select(F.concat(F.lit(f"{split}/"), F.substring_index(F.col("_metadata.file_path"), "/", -2)).alias("id"), "problem", "solution")
+
+
 def math(df: DataFrame, key: str = "id") -> DataFrame:
     """The answer is the last boxed expression of the solution, in normal form."""
     out = _no_context(df.select(key, F.col("problem").alias("question"), F.array(X.normalize_answer(latex.boxed_answer(F.col("solution")))).alias("answers")))
