@@ -17,7 +17,9 @@ Defined results: null text has no words and is never contaminated.  Documents
 of any length are handled whole.  Repeated rows are judged alike, each for
 itself.  A benchmark row with null or wordless text has no window; one with a
 null id marks words but is never listed among the items.  Rows with the same
-item id are one item.  An empty benchmark leaves everything clean.
+item id are one item.  An empty benchmark leaves everything clean, and an empty
+table gives an empty one.  Other columns, whatever their names, pass through
+``remove_contamination`` unchanged.
 """
 
 from __future__ import annotations
@@ -257,8 +259,9 @@ def _runs(mask: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(opens), np.flatnonzero(closes)
 
 
-def _pass(phrases: Phrases, text: str, schema: pa.Schema, clean: bool):
-    """One pass over the documents: adds n_words, spans and items; on the last pass may cut the spans out."""
+def _pass(phrases: Phrases, text: str, added: list[str], schema: pa.Schema, clean: bool):
+    """One pass over the documents: fills the added columns (words, spans and items); on the last pass may cut the spans out."""
+    count_column, span_column, item_column = added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text, SHARD_BYTES):
@@ -268,7 +271,7 @@ def _pass(phrases: Phrases, text: str, schema: pa.Schema, clean: bool):
             first, size, window, names = phrases.find(common.word_hashes(low, starts, ends), rows)
             n = batch.num_rows
             doc = np.searchsorted(rows, first, side="right") - 1
-            old = batch.column("_spans")
+            old = batch.column(span_column)
             if old.null_count < n:
                 old_rows = np.repeat(np.arange(n), np.diff(old.offsets.to_numpy()))
                 was = old.flatten()
@@ -279,12 +282,12 @@ def _pass(phrases: Phrases, text: str, schema: pa.Schema, clean: bool):
                 marks = _marked(len(starts), first, size)
             run_first, run_last = _runs(marks, rows)
             run_doc = np.searchsorted(rows, run_first, side="right") - 1
-            items: list[set] = [set(x or ()) for x in batch.column("_items").to_pylist()]
+            items: list[set] = [set(x or ()) for x in batch.column(item_column).to_pylist()]
             for d, w in np.unique(np.stack([doc, window], 1), axis=0) if len(doc) else ():
                 items[d].update(names[w])
             offsets = np.concatenate([[0], np.cumsum(np.bincount(run_doc, minlength=n))]).astype(np.int32)
             spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(run_first - rows[run_doc]), pa.array(run_last - rows[run_doc])], ["first", "last"]))
-            made = {"_n_words": pa.array(np.diff(rows)), "_spans": spans, "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+            made = {count_column: pa.array(np.diff(rows)), span_column: spans, item_column: pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
             if clean:
                 made[text] = _without(batch.column(text), raw, limits, starts[run_first], ends[run_last], run_doc)
             yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
@@ -310,21 +313,23 @@ def _without(column: pa.Array, raw: np.ndarray, limits: np.ndarray, begin: np.nd
     return pa.array(texts, column.type)
 
 
-def _scan(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: str, window: int, block_bytes: int, clean: bool) -> DataFrame:
+def _scan(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: str, window: int, block_bytes: int, clean: bool) -> tuple[DataFrame, list[str]]:
+    """docs with three columns more, and the names of these: number of words, spans, items."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     bench = bench.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     total = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast(SPANS), "_items": F.lit(None).cast("array<string>")})
+    added = common.free_names(docs, 3)
+    out = docs.withColumns(dict(zip(added, [F.lit(0).cast("long"), F.lit(None).cast(SPANS), F.lit(None).cast("array<string>")], strict=True)))
     groups = []
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         own = item_words([(r["item"], r["text"]) for r in part.collect()])  # at most a block
         groups += fitting(own, window, MOST_WORDS)
     for k, group in enumerate(groups):
-        out = common.map_arrow(out, _pass(Phrases(group, window), text, to_arrow_schema(out.schema), clean and k == len(groups) - 1), out.schema)
-    return out
+        out = common.map_arrow(out, _pass(Phrases(group, window), text, added, to_arrow_schema(out.schema), clean and k == len(groups) - 1), out.schema)
+    return out, added
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -333,13 +338,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, text: str = "text", it
     The added columns are ``n_words``, ``spans`` and ``items``; they take the place of columns of docs with these names.
     """
     docs = docs.drop("n_words", "spans", "items")
-    out = _scan(docs, bench, text, item, item_text, window, block_bytes, False)
-    return out.withColumnsRenamed({"_n_words": "n_words", "_spans": "spans", "_items": "items"})
+    out, added = _scan(docs, bench, text, item, item_text, window, block_bytes, False)
+    return out.withColumnsRenamed(dict(zip(added, ["n_words", "spans", "items"], strict=True)))
 
 
 def remove_contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the words of every occurring window cut out of their texts; the columns stay."""
-    return _scan(docs, bench, text, item, item_text, window, block_bytes, True).drop("_n_words", "_spans", "_items")
+    out, added = _scan(docs, bench, text, item, item_text, window, block_bytes, True)
+    return out.drop(*added)
 
 
 def contamination_report(docs: DataFrame, bench: DataFrame) -> DataFrame:
