@@ -75,6 +75,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -127,26 +148,79 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM k LEFT JOIN f USING (payload_digest)
 """
 
-_OP3_SQL = rf"""
+def _similarity_sql(words: int, percent: int, more: str = "") -> str:
+    return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS sh
-  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {words}], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {words - 1}, 1))) AS i FROM d WHERE len(w) > 0)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+  SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)
 ), ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other
 ), c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id{more}
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT rid, doc_id, w FROM (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)
+  WHERE len(w) > 0
+), size AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_all FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term, n_docs),
+m AS (SELECT rid, doc_id, 100 - 90 + ((90 * len(w) * n_docs) // n_all) AS m FROM d, size),
+scores AS (
+  SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (rid) GROUP BY item_id, rid, doc_id
+), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+_OP13_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), words AS (SELECT r, x, row_number() OVER (ORDER BY r, x) AS id, length(x) AS size FROM (SELECT DISTINCT r, x FROM t)),
+own AS (SELECT c, list(id ORDER BY p) AS s FROM t JOIN words USING (r, x) GROUP BY c),
+bytes AS (SELECT c, s, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT)) AS b FROM own),
+hashed AS (
+  SELECT c, s, xor(list_reduce(list_concat([4294967295], b), lambda crc, z: list_reduce(list_concat([xor(crc, z)], range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM bytes
+), re AS (
+  SELECT a.c, list_concat(list_slice(coalesce(b.s, []), 1, a.h), list_slice(a.s, a.h + 1, len(a.s))) AS s
+  FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 100
+), nodes AS (
+  SELECT list_slice(s, 1, d) AS path, d, min(c) AS conv_id, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(s) = d) AS ends
+  FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM re) GROUP BY ALL
+), kids AS (SELECT list_slice(path, 1, d - 1) AS path, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+each AS (
+  SELECT n.path, n.d, n.conv_id, n.n, n.ends, coalesce(k, 0) AS k, coalesce((n.n - 1) * w.size, 0) AS saved
+  FROM nodes n LEFT JOIN kids ON kids.path = n.path AND kids.d = n.d LEFT JOIN words w ON w.id = n.path[n.d] AND n.d > 0
+), sums AS (
+  SELECT a.path, a.d, count(*) FILTER (b.k = 0) AS n_leaves, sum(b.saved) AS saved
+  FROM each a JOIN each b ON b.d >= a.d AND list_slice(b.path, 1, a.d) = a.path GROUP BY ALL
+)
+SELECT e.conv_id, CAST(e.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(e.n AS BIGINT) AS n_convs, CAST(e.k AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM each e JOIN sums s ON s.path = e.path AND s.d = e.d LEFT JOIN nodes p ON e.d > 0 AND p.path = list_slice(e.path, 1, e.d - 1) AND p.d = e.d - 1
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_archives": _OP2_SQL,
-    "op3_minhash_near_dedup": _OP3_SQL,
+    "op3_minhash_near_dedup": _similarity_sql(4, 80, ", d.doc_id = component_id AS kept"),
     "op8_benchmark_decontamination": _OP8_SQL,
+    "op11_ngram_jaccard_join": _similarity_sql(3, 90),
+    "op12_ranked_lexical_search": _OP12_SQL,
+    "op13_conversation_prefix_trie": _OP13_SQL,
 }
