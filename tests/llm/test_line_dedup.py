@@ -127,3 +127,32 @@ def test_key_slots_cover_every_place():
             short, long = sorted((a, b), key=len)
             if len(long) - len(short) <= edits:
                 assert keys(short, True) & keys(long, False)
+
+
+def test_lines_of_one_template_in_digits(spark, monkeypatch):
+    """Numbers within two edits of each other or not, beside lines of other lengths; pieces of few and of many lines."""
+    monkeypatch.setattr(ld, "BLOCK_LINES", 4)
+    rnd = random.Random(12)
+    line = lambda x: f"GET /items/{x} took some time to answer"
+    numbers = [f"{rnd.randrange(10**9):09d}" for _ in range(40)] + [f"{k:03d}" for k in range(0, 60, 7)]
+    numbers += [edited(rnd, x, 2, "0123456789") for x in numbers[:12]]
+    docs = [(k, line(x)) for k, x in enumerate(numbers)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = ld.line_classes(df).drop("text_key").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(docs, ld.EDITS, ld.MIN_CHARS, ld.MIN_COPIES)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_any_pieces_of_a_line_are_among_the_probes_of_near_ones(spark, edits):
+    rnd = random.Random(edits)
+    pairs = []
+    for k in range(400):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randrange(edits + 1, 30)))
+        b = edited(rnd, a, rnd.randrange(edits + 1), "abc")
+        pairs.append((k, *sorted((a, b), key=len)))
+    fits = [p for p in pairs if len(p[1]) > edits and len(p[2]) - len(p[1]) <= edits]  # shorter lines have no pieces
+    df = spark.createDataFrame(fits, "node long, short string, long string")
+    picks = ld.rarest_pieces(df.select("node", F.col("short").alias("line"), F.length("short").alias("length")), edits)
+    probes = ld.piece_probes(df.select("node", F.col("long").alias("line"), F.length("long").alias("length")), edits)
+    met = picks.join(probes, (picks["piece"] == probes["piece"]) & (picks["node"] == probes["node2"])).select("node").distinct()
+    assert met.count() == df.count()

@@ -8,7 +8,9 @@ of our own is set.  Nothing here uses a machine-local path on a cluster.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 import weakref
@@ -84,13 +86,30 @@ def free_names(df: DataFrame, n: int) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Give freed memory back: workers wait for the next task, whatever the last one held."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _releasing(run):
+    def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return ran
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow, with this package at hand on the workers and batches of bounded bytes."""
     spark = df.sparkSession
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_releasing(run), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

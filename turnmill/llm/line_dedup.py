@@ -15,10 +15,15 @@ Keys that lines share are few.  Each of their members is paired with the key's
 number for large ones.  Pairs pass if their lengths and the letter counts of the
 whole lines and of their halves allow so few edits, and are then verified by a
 bit-parallel edit distance on a band of 2 * EDITS + 1 diagonals, after their
-common beginning and end.  For large keys, lines that the pivots left in
-different components still meet, by length and in blocks of bounded size, under
-the same exact bounds.  So no link between two classes is lost, and no key is
-paired out in full.
+common beginning and end.
+
+Large keys are mostly what lines of one template share.  Their lines, where the
+pivots left several components, meet again by short pieces: of any EDITS + 1
+pieces of a line one stands unchanged in each line within EDITS edits, at most so
+far away, so that each line is indexed by its EDITS + 1 rarest pieces and probes
+the index with all.  Pieces that many lines are indexed by come last, and only
+pairs of components that are still different meet in them, in blocks of bounded
+size.  So no link between two classes is lost, and no key is paired out in full.
 
 Links join lines into classes.  A class with at least ``MIN_COPIES`` lines, over
 all documents, is a repeat: its first line (by document id, then line) stays,
@@ -45,7 +50,9 @@ MIN_CHARS = 16
 MIN_COPIES = 2
 #: Central lines that each member of a key is paired with.
 PIVOTS = 4
-#: Lines of a key that meet the others at once; larger keys are dealt out in such blocks.
+#: Characters of the pieces by which lines of large keys meet.
+PIECE = 4
+#: Lines of a piece that meet the others at once; larger ones are dealt out in such blocks.
 BLOCK_LINES = 512
 #: Rows that may be broadcast, after they have been counted; beyond it, a merge join.
 BROADCAST_ROWS = 200_000
@@ -159,8 +166,8 @@ def different_parts(a: Column, b: Column) -> Column:
     return _bind(cut(a, b), lambda s: cut(F.reverse(s["a"]), F.reverse(s["b"])))
 
 
-# Letters that signatures count; and codes of counts modulo 8 whose bits differ as often as the counts are apart.
-LETTERS = "etaoinshrdlcumw "
+# Characters that signatures count, each set as one; and codes of counts modulo 8 whose bits differ as often as the counts are apart.
+LETTERS = ["e0", "t1", "a2", "o3", "i4", "n5", "s6", "h7", "r8", "d9", "l", "c", "u", "m", "w", " "]
 AROUND = [0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000]
 SIGNATURES = ["whole", "first", "second"]
 
@@ -168,7 +175,7 @@ SIGNATURES = ["whole", "first", "second"]
 def with_signatures(lines: DataFrame) -> DataFrame:
     """lines with codes of the letter counts of each line and of its halves."""
     half = F.substring("line", F.lit(1), F.floor(F.length("line") / 2).cast("int"))
-    count = lambda text, letter: F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+    count = lambda text, letters: F.length(text) - F.length(F.translate(text, letters, ""))
     counted = lines.withColumn("half", half).withColumns({"in_line": F.array(*[count(F.col("line"), x) for x in LETTERS]), "in_half": F.array(*[count(F.col("half"), x) for x in LETTERS])})
     places = F.sequence(F.lit(0), F.lit(len(LETTERS) - 1))
     around = F.array(*map(F.lit, AROUND))
@@ -193,9 +200,42 @@ def shared_keys(usable: DataFrame, edits: int) -> DataFrame:
     lines = usable.select("h1", F.length("line").alias("length"), *[k.alias(x) for x, k in zip(slots, keys, strict=True)]).groupBy("h1").agg(F.max("length").alias("length"), *[F.max(x).alias(x) for x in slots])
     own = F.get(F.array(*[F.array(*[F.lit(x[3]) for x in some]) for some in key_slots(edits)]), F.col("length") % (edits + 1))
     each = lines.select("h1", own.alias("owns"), F.posexplode(F.array(*slots)).alias("slot", "key")).where("key is not null").select("key", "h1", F.get("owns", F.col("slot")).alias("own"))
-    dealt = each.repartition("key")
-    pivots = dealt.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("h1"))).alias("pivot")).where("pivot is not null")
-    return dealt.join(pivots.hint("shuffle_hash"), "key").where("h1 <> pivot")
+    # Summed before they are dealt; the join can split a key that many lines have.
+    pivots = each.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("h1"))).alias("pivot"), F.count("*").alias("size")).where("pivot is not null and size > 1")
+    return each.hint("merge").join(pivots.select("key", "pivot"), "key").where("h1 <> pivot")
+
+
+def piece_size(length: Column, edits: int) -> Column:
+    return F.least(F.lit(PIECE), F.floor(length / (edits + 1)).cast("int"))
+
+
+def rarest_pieces(lines: DataFrame, edits: int) -> DataFrame:
+    """(piece, node): the edits + 1 pieces of each line (node, line, length) that fewest lines have."""
+    size = piece_size(F.col("length"), edits)
+    places = F.sequence(F.lit(0), F.floor(F.col("length") / size).cast("int") - 1)
+    each = lines.where(size > 0).select("node", F.posexplode(F.transform(places, lambda k: F.xxhash64(size, k, F.substring("line", k * size + 1, size)))).alias("at", "piece"))
+    counted = each.hint("merge").join(each.groupBy("piece").agg(F.count("*").alias("lines")), "piece")
+    order = Window.partitionBy("node").orderBy("lines", "at")
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= edits + 1).select("piece", "node")
+
+
+def piece_probes(lines: DataFrame, edits: int) -> DataFrame:
+    """(piece, node2): the substrings of lines that may be pieces of lines up to some edits shorter, or as long.
+
+    A piece is moved by s where |s| + |difference of lengths - s| edits or fewer add or remove characters.
+    """
+    length = F.col("length")
+    sizes = F.array_distinct(F.array(*[piece_size(length - k, edits) for k in range(edits + 1)]))
+    shifts = F.array(*map(F.lit, range(-(edits // 2), edits + 1)))
+
+    def at(size: Column, k: Column, start: Column) -> Column:
+        return F.when((start >= 0) & (start + size <= length), F.xxhash64(size, k, F.substring("line", start + 1, size)))
+
+    def places(size: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(length / size).cast("int") - 1), lambda k: F.transform(shifts, lambda s: at(size, k, k * size + s))))
+
+    found = F.flatten(F.transform(F.filter(sizes, lambda x: x > 0), places))
+    return lines.select(F.explode(F.array_distinct(F.array_compact(found))).alias("piece"), F.col("node").alias("node2"))
 
 
 def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
@@ -236,12 +276,27 @@ def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     found = common.stage(components(links), "line-components")
     parts = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = parts.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    parts = common.stage(parts.join(several, "key", "left_semi"), "line-parts")
-    # The index line is as long as the other or up to some edits shorter; it meets each block of the others.
-    blocks = F.ceil(F.col("size") / BLOCK_LINES).cast("int")
-    index = parts.where("own").withColumn("at", F.col("length")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size", "own")
-    others = parts.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("at", F.explode(F.sequence(F.col("length") - edits, F.col("length")))).drop("size", "own")
-    return texts, common.stage(links.union(verified(meeting(index, others, ["key", "at", "block"], F.col("component") != F.col("component2")))), "line-links")
+    open_lines = common.stage(parts.join(several, "key", "left_semi").select("node").distinct(), "line-open")
+    if open_lines.isEmpty():
+        return texts, links
+    open_lines = common.stage(texts.join(open_lines, "node", "left_semi").select("node", "line", "length", *SIGNATURES), "line-open-texts")
+    picked = common.stage(rarest_pieces(open_lines, edits), "line-pieces")
+    sizes = picked.groupBy("piece").agg(F.count("*").alias("size"))
+    probes = piece_probes(open_lines, edits)
+    for common_piece in (False, True):
+        picks = picked.hint("merge").join(sizes.where((F.col("size") > BLOCK_LINES) == common_piece), "piece")
+        if common_piece and picks.isEmpty():
+            break
+        found = common.stage(components(links), "line-components")
+        named = open_lines.select("node", "length", *SIGNATURES).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        other = named.select(*[F.col(x).alias(f"{x}2") for x in named.columns])
+        # Each line meets all blocks of the lines that a piece indexes.
+        blocks = F.ceil(F.col("size") / BLOCK_LINES).cast("int")
+        sides = picks.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("size").hint("merge").join(named, "node")
+        asked = probes.hint("merge").join(picks.select("piece", "size").distinct(), "piece").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size").hint("merge").join(other, "node2")
+        met = sides.hint("merge").join(asked, ["piece", "block"]).where((F.col("component") != F.col("component2")) & may_link(edits))
+        links = common.stage(links.union(verified(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())), "line-links")
+    return texts, links
 
 
 def place() -> Column:

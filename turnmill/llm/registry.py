@@ -94,9 +94,9 @@ def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from .pipeline import run
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
