@@ -1,68 +1,5 @@
-"""From raw documents to training sequences: classify, deduplicate, decontaminate, pack.
+"""From raw documents to training sequences; the stages are those of ``turnmill.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept; all but the last return the columns of documents, with ``n_chars`` of the
-texts as they then are.
-"""
+from turnmill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from turnmill.llm import common, decontamination, line_dedup, near_dedup, packing, quality
-
-#: No SQL: the first stage is a trained model, the second needs an edit distance of characters.
-ORACLE_SQL = None
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _with_size(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that reach the quality threshold."""
-    return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
-
-
-def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those of repeated lines only go."""
-    return _with_size(line_dedup.dedup_lines(docs, drop_emptied=True))
-
-
-def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity of 0.8 or more."""
-    return near_dedup.drop_near_duplicates(docs, words=5, percent=80)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of benchmark windows."""
-    return _with_size(decontamination.remove_contamination(docs, _table(spark, sf_dir, "benchmark")))
-
-
-def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each in a sequence."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("line_dedup", line_deduplication),
-    ("minhash_near_dedup", minhash_near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("sequence_packing", sequence_packing),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = _table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.stage(docs, name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
