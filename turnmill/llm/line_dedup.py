@@ -50,8 +50,8 @@ MIN_CHARS = 16
 MIN_COPIES = 2
 #: Central lines that each member of a key is paired with.
 PIVOTS = 4
-#: Characters of the pieces by which lines of large keys meet.
-PIECE = 4
+#: Characters of the pieces by which lines of large keys meet, at least, and how many pieces a long line has, at most.
+PIECE, PIECES = 4, 32
 #: Lines of a piece that meet the others at once; larger ones are dealt out in such blocks.
 BLOCK_LINES = 512
 #: Rows that may be broadcast, after they have been counted; beyond it, a merge join.
@@ -206,7 +206,8 @@ def shared_keys(usable: DataFrame, edits: int) -> DataFrame:
 
 
 def piece_size(length: Column, edits: int) -> Column:
-    return F.least(F.lit(PIECE), F.floor(length / (edits + 1)).cast("int"))
+    """A line's pieces are longer the longer it is, so that few lines have one by chance."""
+    return F.least(F.greatest(F.lit(PIECE), F.floor(length / PIECES)), F.floor(length / (edits + 1))).cast("int")
 
 
 def rarest_pieces(lines: DataFrame, edits: int) -> DataFrame:
