@@ -1,9 +1,13 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from turnmill.functions import chat, latex
 from turnmill.functions import text as X
-from turnmill.operators import analysis, builders, compose, quality, scoring, selection
+from turnmill.operators import analysis, builders, compose, pairs, quality, scoring, selection
+from turnmill.staging import stage
 
 TURNS = "array<struct<speaker:string,content:string>>"
 
@@ -67,10 +71,29 @@ def test_maths_are_scored_by_value(spark):
     assert [r["correct_score"] for r in scoring.score(df).collect()] == [1.0, 1.0, 1.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("a,b,same", [("x+1", "1+x", True), ("2\\sqrt{3}", "\\sqrt{12}", True), ("1e3", "1000", True), ("(x+1)^2", "x^2+2x+1", True), ("\\frac{1}{\\sqrt{2}}", "\\frac{\\sqrt2}{2}", True), ("2^{10}", "1024", True), ("\\frac{x+1}{2x+2}", "\\frac12", True), ("\\sqrt[3]{8}", "2", True), ("-2^2", "-4", True), ("3\\pi", "\\pi \\cdot 3", True), ("x-1", "1-x", False), ("1/3", "0.333", False), ("1/0", "2", False), ("(1,2)", "(1, 2)", True), ("(1,2)", "(2,1)", False), ("9" * 5000, "9" * 5000, True), ("9^{9^9}", "9^{9^{9}}", False), ("(" * 390, "(" * 390, True), ("a^", "a^", True), ("\\frac{", "\\frac {", True), ("", "0", False)])
+def test_expressions_that_are_the_same(a, b, same):
+    assert latex.equivalent(a, b) == latex.equivalent(b, a) == same
+
+
+def test_canonical_sums_agree_with_values():
+    rnd, make = random.Random(3), lambda rnd, d: rnd.choice([str(rnd.randrange(9)), "x", f"\\frac{{{rnd.randrange(9)}}}{{{rnd.randrange(1, 9)}}}", f"\\sqrt{{{rnd.randrange(20)}}}"]) if d == 0 else f"({make(rnd, d - 1)}{rnd.choice(['+', '-', '*'])}{make(rnd, d - 1)})"
+    terms = [make(rnd, rnd.randrange(4)) for _ in range(300)]
+
+    def value(text, x):
+        text = re.sub(r"\\frac\{(\d+)\}\{(\d+)\}", r"(\1/\2)", re.sub(r"\\sqrt\{(\d+)\}", r"(\1**0.5)", text))
+        return eval(text, {"x": x})  # made above
+
+    for a, b in zip(terms, terms[1:] + terms[:1]):
+        same = all(abs(value(a, x) - value(b, x)) < 1e-9 * max(1, abs(value(a, x))) for x in (0.7, 1.9, -3.3))
+        assert latex.equivalent(a, b) == same, (a, b)
+        assert latex.equivalent(a, f"{a} + 0") and latex.equivalent(f"2*{a}", f"{a}+{a}") and not latex.equivalent(a, f"{a} + 1")
+
+
 @pytest.mark.parametrize("a,b", [("1/3", "0.333"), ("2/6", "1/3"), ("-0.5", "-\\frac{1}{2}"), ("1,000", "1000"), ("1/0", "2"), ("", "0"), ("a b", "ab"), ("\\dfrac{3}{4}", "75\\%"), ("x", None), ("$7$", "7.0")])
-def test_native_equality_is_the_pluggable_one(spark, a, b):
+def test_equality_of_columns_is_the_pluggable_one(spark, a, b):
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert df.select(latex.native_equal(F.col("a"), F.col("b")).alias("x")).first()["x"] == latex.equivalent(a, b)
+    assert df.select(latex.maths_equal(F.col("a"), F.col("b")).alias("x")).first()["x"] == latex.equivalent(a, b)
 
 
 def test_pairs_become_prompt_and_completions(spark):
@@ -128,10 +151,73 @@ def test_losses_and_framing(spark):
 def test_rouge_and_multisets(spark):
     pairs = [("a b c", "a c"), ("a", "..."), ("", "x"), ("x y x", "x x y"), (None, None)]
     got = [r["x"] for r in spark.createDataFrame(pairs, "g string, p string").coalesce(1).select(X.rouge_l(F.col("g"), F.col("p")).alias("x")).collect()]
-    assert [round(x, 6) for x in got] == [0.8, 0.0, 0.0, round(2 / 3, 6), 0.0]
+    assert [round(x, 6) for x in got] == [0.8, 0.0, 0.0, 1.0, 0.0]
     assert one(spark, X.shared_count(F.array(*map(F.lit, "aabbc")), F.array(*map(F.lit, "abbbd")))) == 3
 
 
+@pytest.mark.parametrize(
+    "gold,said,union,m,n",
+    [
+        ("the cat sat. a dog ran", "a dog sat. the cat ran", 6, 6, 6),  # {the, cat, ran} from crossing sentences, then {a, dog} and {sat}
+        ("a b c d. x y", "d c b a", 1, 6, 4),  # going back in the gold text where both ways are as long
+        ("red red blue", "red blue red", 1, 2, 2),  # of two ways as long, that which goes back in the gold text first: red, red
+        ("one. . two", "two", 1, 3, 1),  # a part of white space is an empty word
+        ("...", "x", 0, 0, 1),
+    ],
+)
+def test_rouge_of_several_sentences(gold, said, union, m, n):
+    precision, recall = (union / m, union / n) if m else (0, 0)
+    want = 2 * precision * recall / (precision + recall + 1e-8) if union else 0.0
+    assert abs(X.summary_rouge_l(gold, said) - want) < 1e-12
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.6, 0.9])
+def test_unlike_selected_as_by_brute_force(spark, share):
+    rnd = random.Random(int(share * 100))
+    base = ["".join(rnd.choice("abé ") for _ in range(n)) for n in (0, 1, 2, 5, 9, 9, 20, 33, 34, 60)]
+
+    def some():
+        out = list(rnd.choice(base))
+        for _ in range(rnd.randrange(4)):
+            if out and rnd.random() < 0.5:
+                out.pop(rnd.randrange(len(out)))
+            else:
+                out.insert(rnd.randrange(len(out) + 1), rnd.choice("abé "))
+        return "".join(out)
+
+    rows = [(k, rnd.randrange(3) or None, some() if k % 17 else None) for k in range(90)]
+    df = spark.createDataFrame(rows, "id int, g int, content string")
+    alike = lambda a, b: None not in (a[1], b[1], a[2], b[2]) and a[1] == b[1] and edit_distance(a[2], b[2]) / (max(len(a[2]), len(b[2])) + 1) < share
+    got = {r["id"] for r in pairs.unlike_selected(df, df, ["g"], share, earlier="id").collect()}
+    assert got == {a[0] for a in rows if not any(b[0] < a[0] and alike(a, b) for b in rows)}
+    picked = df.where("id % 7 = 0")
+    got = {r["id"] for r in pairs.unlike_selected(df, picked, ["g"], share).collect()}
+    assert got == {a[0] for a in rows if not any(b[0] % 7 == 0 and alike(a, b) for b in rows)}
+
+
+def test_ranges_split_ties_and_keys_with_a_common_beginning(spark, monkeypatch):
+    monkeypatch.setattr(selection, "stage", lambda df, name: staged.append(stage(df, name)) or staged[-1])
+    rows = spark.range(0, 20_000, 1, 4).select("id", F.lit(1.0).alias("reward"), F.format_string("document-%08d", "id").alias("name"))
+    for numbered in (lambda: selection.with_place(rows, "reward", ["id"]), lambda: selection.numbered(rows, "reward", [], [], "place", "total"), lambda: selection.numbered(rows, "name", [], [], "place", "total")):
+        staged = []
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = numbered().select("place").distinct().count()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        sizes = [r["count"] for r in staged[0].groupBy("_nth_part").count().collect()]
+        assert got == 20_000 and len(sizes) == 4 and max(sizes) < 2 * 5_000
+
+
 def test_passages_that_begin_and_end_inside_words(spark):
     texts = ["xxone two  Three fouryy", "one two four", "Short passage here", "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10", None, "", "ab"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
@@ -149,12 +235,11 @@ def test_islands_of_all_across_spans(spark):
         assert got == [1] * 7 + [2] + [3] * 5 + [4] * 3 + [5]
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 64])
-def test_numbering_by_text_numbers_and_nulls(spark, buckets):
+def test_numbering_by_text_numbers_and_nulls(spark):
     rows = [(k % 3, None if k == 5 else f"{k * 37 % 50:03d}", k * 1.5) for k in range(50)]
     df = spark.createDataFrame(rows, "g int, s string, x double").repartition(4)
     for key in ("s", "x"):
-        got = selection.numbered(df, key, [], ["g"], "n", "total", buckets=buckets).collect()
+        got = selection.numbered(df, key, [], ["g"], "n", "total").collect()
         for g in range(3):
             own = sorted((r for r in got if r["g"] == g), key=lambda r: r["n"])
             assert [r["n"] for r in own] == list(range(len(own))) and {r["total"] for r in own} == {len(own)}

@@ -249,34 +249,48 @@ def alternating_count(conversation: Column, tokenizers: tuple[Tokenizer, ...] =
     return F.aggregate(sizes, F.lit(0), lambda n, x: n + x)
 
 
-def longest_common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, bit-parallel: set bits stand for places of a that are not matched yet."""
-    places: dict[str, int] = {}
-    for k, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    free = full
-    for y in b:
-        hit = free & places.get(y, 0)
-        free = (free + hit | free - hit) & full
-    return len(a) - free.bit_count()
+def common_words(a: list[str], b: list[str]) -> set[str]:
+    """The words of a longest common subsequence: that which is read off the table from its end, going back in b where both ways are as long."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        row, above = [0], rows[-1]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        rows.append(row)
+    found, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            found.add(a[i - 1])
+            i, j = i - 1, j - 1
+        elif rows[i - 1][j] > rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The words of the parts between full stops; a part of white space only is one empty word."""
+    return [" ".join(x.split()).split(" ") for x in text.split(".") if x]
+
+
+def summary_rouge_l(gold: str | None, predicted: str | None) -> float:
+    """F of the union of longest common subsequences of all pairs of sentences, over the distinct words of either text."""
+    g, p = sentences(gold or ""), sentences("UNKNOW" if predicted in (None, "", "...") else predicted)
+    if not g or not p:
+        return 0.0
+    union = {w for y in p for x in g for w in common_words(y, x)}
+    precision, recall = len(union) / len({w for x in g for w in x}), len(union) / len({w for y in p for w in y})
+    return 2 * precision * recall / (precision + recall + 1e-8)
 
 
 def rouge_l(gold: Column, predicted: Column) -> Column:
-    """The oldest correctness score: F of the longest common subsequence of words; empty answers and "..." count as one unknown word."""
+    """The oldest correctness score: ROUGE-L of whole texts (``summary_rouge_l``); an empty answer or "..." counts as one unknown word."""
     from turnmill.shipping import ship
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        def of(g, p):
-            a, b = (g or "").split(), ("UNKNOW" if p in (None, "", "...") else p).split()
-            if not a or not b:
-                return 0.0
-            n = longest_common(a, b)
-            precision, recall = n / len(a), n / len(b)
-            return 2 * precision * recall / (precision + recall + 1e-8)
-
-        return pd.Series([of(g, p) for g, p in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([summary_rouge_l(g, p) for g, p in zip(x, y, strict=True)], dtype="float64")
 
     ship()
     return score(gold, predicted)

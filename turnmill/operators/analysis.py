@@ -70,7 +70,7 @@ def pass_at(df: DataFrame, k: int) -> DataFrame:
 def consensus(df: DataFrame, keys: list[str], score_type: str = "exact-match") -> DataFrame:
     """The most given answer of each group, the first given of equals; a missing answer is like no other, not even another missing one.
 
-    Answers are alike by their text (trimmed, lower case), by their first number for "gsm8k", by their value for "math".
+    Answers are alike by their text (trimmed, lower case), by their first number for "gsm8k", as expressions for "math".
     """
     plain = X.exact_gold(F.col("final_answer"))
     alike = {"exact-match": plain, "gsm8k": X.exact_gold(X.first_number(F.col("final_answer"))), "math": latex.answer_key(plain)}[score_type]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from turnmill.functions import text as X
 from turnmill.types import Settings
 
+from .edit_join import first_alike
+
 DEFAULTS = Settings()
 
 # What the older settings' names stand for; they are the other way round than they read.
@@ -123,12 +125,17 @@ def argmax_argmin(df: DataFrame, value: str = "reward", task: str = "task_id", t
 def unlike_selected(nodes: DataFrame, selected: DataFrame, keys: list[str], share: float = DEFAULTS.select_share, earlier: str | None = None) -> DataFrame:
     """The nodes whose content is not within an edit share of any selected node of the same group.
 
-    earlier: a column by which selected nodes must come before the node.
-    The lengths bound the distance before it is worked out.
+    earlier: a column by which selected nodes must come before the node.  Different
+    contents meet once, through an index of segments (``edit_join``).  Nodes
+    without content or with a null key are like nothing.
     """
-    other = selected.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("content").alias("_content"), *([F.col(earlier).alias("_earlier")] if earlier else []))
-    n, m = F.length("content"), F.length("_content")
-    most = F.ceil(F.lit(float(share)) * (F.greatest(n, m) + 1)).cast("int") - 1  # a distance below share * (longer + 1)
-    alike = (F.abs(n - m) <= most) & (X.edit_share(F.col("content"), F.col("_content")) < share)
-    before = [F.col("_earlier") < F.col(earlier)] if earlier else []
-    return nodes.join(other, [F.col(k) == F.col(f"_{k}") for k in keys] + before + [alike], "left_anti")
+    known = F.col("content").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    group = F.struct(*keys).alias("group")
+    texts = nodes.where(known).select(group, "content").distinct()
+    others = selected.where(known).groupBy(group, "content").agg((F.min(earlier) if earlier else F.first(F.lit(0))).alias("first"))
+    found = first_alike(texts, others, share).select(F.col("group").alias("_group"), F.col("content").alias("_content"), F.col("first").alias("_first"))
+    met = nodes.join(found, (F.struct(*keys) == F.col("_group")) & (F.col("content") == F.col("_content")), "left")
+    gone = F.col("_first") < F.col(earlier) if earlier else F.col("_first").isNotNull()
+    return met.where(~F.coalesce(gone, F.lit(False))).select(*nodes.columns)

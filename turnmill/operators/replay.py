@@ -5,6 +5,9 @@ Groups are the rollouts of one task, bounded by the search budget.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -33,6 +36,27 @@ def distance(a: str, b: str) -> int:
     return out
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether two strings are at most so many edits apart; cheap bounds come first."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > most or most < 1:
+        return False
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    # An edit changes the count of two characters at most.
+    counts = Counter(a)
+    counts.subtract(b)
+    if sum(map(abs, counts.values())) > 2 * most:
+        return False
+    return distance(a, b) <= most
+
+
 def replay_tree(rollouts: DataFrame, share: float = DEFAULTS.merge_share) -> DataFrame:
     """Merge recorded rollouts (task_id, rollout, reward, contents) into a tree.
 
@@ -47,7 +71,8 @@ def replay_tree(rollouts: DataFrame, share: float = DEFAULTS.merge_share) -> Dat
         for contents, reward in zip(rows["contents"], rows["reward"], strict=True):
             at, path = 0, [0]
             for content in contents:
-                child = next((c for c in nodes[at]["children"] if distance(nodes[c]["content"], content) / (len(content) + 1) < share), None)
+                most = math.ceil(share * (len(content) + 1)) - 1
+                child = next((c for c in nodes[at]["children"] if within(nodes[c]["content"], content, most)), None)
                 if child is None:
                     child = len(nodes)
                     nodes.append({"parent": at, "depth": nodes[at]["depth"] + 1, "content": content, "children": [], "rewards": []})
@@ -75,8 +100,6 @@ def replay_tree(rollouts: DataFrame, share: float = DEFAULTS.merge_share) -> Dat
 
 
 def f1(a: list[str], b: list[str]) -> float:
-    from collections import Counter
-
     both = sum((Counter(a) & Counter(b)).values())
     return 2 * both / (len(a) + len(b)) if both else 0.0
 

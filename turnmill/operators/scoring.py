@@ -45,25 +45,33 @@ def name_penalty(conversation: Column, enabled: bool = True, penalty: float = DE
     return F.when(F.lit(enabled) & F.exists(conversation, is_mixed), F.lit(penalty)).otherwise(F.lit(0.0))
 
 
-def correct_score(answers: Column, is_list: Column, final: Column, score_type: Column, math_equal: Column | None = None) -> Column:
+def correct_score(answers: Column, is_list: Column, final: Column, score_type: Column, math_equal: Column | None = None, maths: bool = True) -> Column:
     """Best F1 over gold answers, equivalence in maths, or exact match; a list is matched without stripping backslashes.
 
-    math_equal: another comparison than that of normal forms and values.  A missing final answer is an empty one.
+    math_equal: another comparison than that of canonical expressions.  A missing final answer is an empty one.
+    maths: False leaves the comparison, which is Python, out of the plan; a maths row is an error then.
     """
     one, final = F.get(answers, F.lit(0)), F.coalesce(final, F.lit(""))
     f1 = F.array_max(F.transform(answers, lambda a: X.token_f1(a, final)))
     exact = F.when(is_list, F.array_contains(F.transform(answers, X.exact_gold), X.exact_gold(final))).otherwise(X.exact_gold(one) == X.exact_prediction(final))
-    same = latex.native_equal(X.exact_gold(one), X.exact_gold(final)) if math_equal is None else math_equal
-    exact = F.when(~is_list & (score_type == "math"), same).otherwise(exact)
+    is_maths = ~is_list & (score_type == "math")
+    if math_equal is not None:
+        same = math_equal
+    elif maths:
+        same = latex.maths_equal(F.when(is_maths, X.exact_gold(one)), F.when(is_maths, X.exact_gold(final)))
+    else:
+        same = F.raise_error(F.lit("an answer in maths, but maths=False")).cast("boolean")
+    exact = F.when(is_maths, same).otherwise(exact)
     return F.coalesce(F.when(score_type == "f1-score", f1).otherwise(exact.cast("double")), F.lit(0.0))
 
 
-def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEFAULTS.lambda2, cal_ppl: bool = True, check_names: bool = True, token_cap: float | None = None, long_tokens: int = DEFAULTS.long_tokens, math_equal: Column | None = None, mode: str = "current") -> DataFrame:
+def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEFAULTS.lambda2, cal_ppl: bool = True, check_names: bool = True, token_cap: float | None = None, long_tokens: int = DEFAULTS.long_tokens, math_equal: Column | None = None, mode: str = "current", maths: bool = True) -> DataFrame:
     """Add correct_score, token_score, ppl_score and reward.
 
     df has task_id, conversation, token_count, losses, answers, answer_is_list,
     final_answer and score_type.  token_cap replaces the most tokens of the task.
     mode "legacy" takes the older format rule; the oldest local scorer's cutoff is long_tokens=500.
+    maths=False keeps the plan free of Python where no row is scored as maths.
     """
     is_large = F.array_contains("conversation", "large")
     most = F.lit(float(token_cap)) if token_cap is not None else F.coalesce(F.max(F.when(~is_large, F.col("token_count"))).over(Window.partitionBy("task_id")), F.lit(1)).cast("double")
@@ -73,7 +81,7 @@ def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEF
     out = df.withColumns({"_most": most, "_offence": F.when(judged, offence), "_judged": judged})
     token = F.when(is_large | (F.col("token_count") <= DEFAULTS.short_tokens), F.lit(-1.0)).otherwise(F.when(F.col("_most") == 0, F.lit(0.0)).otherwise(F.lit(lambda1) * F.col("token_count") / F.nullif(F.col("_most"), F.lit(0.0))))
     ppl = F.when(~F.lit(cal_ppl), F.lit(0.0)).when(~F.col("_judged"), F.lit(-1.0)).when(F.col("_offence").isNotNull(), F.lit(0.0)).otherwise(F.lit(lambda2) / F.coalesce(F.array_max("losses"), F.lit(1.0)))
-    correct = F.when(F.col("_offence") == "name", F.lit(0.0)).otherwise(correct_score(F.col("answers"), F.col("answer_is_list"), F.col("final_answer"), F.col("score_type"), math_equal))
+    correct = F.when(F.col("_offence") == "name", F.lit(0.0)).otherwise(correct_score(F.col("answers"), F.col("answer_is_list"), F.col("final_answer"), F.col("score_type"), math_equal, maths))
     out = out.withColumns({"correct_score": correct, "token_score": token, "ppl_score": ppl}).drop("_most", "_offence", "_judged")
     return out.withColumn("reward", F.col("correct_score") + F.col("token_score") + F.col("ppl_score"))
 

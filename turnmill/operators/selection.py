@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnmill.staging import stage
 from turnmill.types import Settings
@@ -20,59 +19,45 @@ def best_per_task(df: DataFrame, value: str = "effective_reward", task: str = "t
     return df.withColumn("_place", first).where("_place = 1").drop("_place")
 
 
-def _order_number(df: DataFrame, key: str) -> Column:
-    """A number that grows with a key, equal at most for neighbours: the key itself, or its first bytes."""
-    kind = df.schema[key].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(key).cast("double")
-    if isinstance(kind, (T.TimestampType, T.DateType)):
-        return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
-    return F.conv(F.rpad(F.substring(F.hex(F.col(key).cast("string")), 1, 12), 12, "0"), 16, 10).cast("double")
-
-
-def numbered(df: DataFrame, order: str, ties: list[str], by: list[str], place: str, total: str, descending: bool = False, buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: str, ties: list[str], by: list[str], place: str, total: str, descending: bool = False) -> DataFrame:
     """Number the rows of each group from 0 in an order (nulls last), and count them.
 
-    Made for few groups of any size: their rows are dealt to buckets by quantiles of
-    the order, numbered in their bucket and moved by the rows of the buckets
-    before, so that no task sorts a whole group.  Adaptive execution broadcasts
-    the bounds and counts where they turn out to be small.
+    Rows are dealt to ranges of (group, order, ties), so that neither one large group
+    nor one value with many ties goes to one task; without ties, a hash of the row
+    parts equal values.  A row's place in its sorted range, less that of its group's first
+    row there, and the group's rows in the ranges before make its number.
     """
-    kept = list(df.columns)
-    groups = [F.col(c).alias(f"_nth_g{k}") for k, c in enumerate(by)]
-    same = [F.col(c).eqNullSafe(F.col(f"_nth_g{k}")) for k, c in enumerate(by)]
-    valued = df.withColumn("_nth_at", _order_number(df, order) * (-1 if descending else 1))
-    bounds = valued.groupBy(*groups).agg(F.percentile_approx("_nth_at", [k / buckets for k in range(1, buckets)], 1000).alias("_nth_bounds"))
-    one = F.lit(True)
-    for condition in same:
-        one = one & condition
-    met = valued.join(bounds, one) if by else valued.crossJoin(F.broadcast(bounds))  # a single row without groups
-    dealt = met.withColumn("_nth_bucket", F.when(F.col("_nth_at").isNull(), F.lit(buckets)).otherwise(F.coalesce(F.size(F.filter("_nth_bounds", lambda b: b < F.col("_nth_at"))), F.lit(0)))).select(*kept, "_nth_bucket")
-    counts = dealt.groupBy(*groups, F.col("_nth_bucket").alias("_nth_b")).agg(F.count("*").alias("_nth_k"))
+    kept = [c for c in df.columns if c not in (place, total)]
+    parted = [] if ties else [F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])]
+    sort = [*[F.asc_nulls_first(c) for c in by], F.desc_nulls_last(order) if descending else F.asc_nulls_last(order), *[F.asc(c) for c in ties], *[x.asc() for x in parted]]
+    ranges = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    # The lower 33 bits count the rows of a partition.
+    dealt = ranges.withColumns({"_nth_part": F.spark_partition_id(), "_nth_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    dealt = stage(dealt.select(*df.columns, "_nth_part", "_nth_at"), "ranges")
     own = [f"_nth_g{k}" for k in range(len(by))]
-    before = Window.partitionBy(*own).orderBy("_nth_b").rowsBetween(Window.unboundedPreceding, -1)
-    moved = counts.select(*own, "_nth_b", F.coalesce(F.sum("_nth_k").over(before), F.lit(0)).alias("_nth_before"), F.sum("_nth_k").over(Window.partitionBy(*own)).alias("_nth_all"))
-    sort = F.desc_nulls_last(order) if descending else F.asc_nulls_last(order)
-    ranked = dealt.withColumn("_nth_own", F.row_number().over(Window.partitionBy(*by, "_nth_bucket").orderBy(sort, *ties)) - 1)
-    out = ranked.join(moved, one & (F.col("_nth_bucket") == F.col("_nth_b")))
-    return out.select(*[c for c in kept if c not in (place, total)], (F.col("_nth_own") + F.col("_nth_before")).alias(place), F.col("_nth_all").alias(total))
+    counts = dealt.groupBy(*[F.col(c).alias(g) for c, g in zip(by, own, strict=True)], F.col("_nth_part").alias("_nth_p")).agg(F.count("*").alias("_nth_k"), F.min("_nth_at").alias("_nth_first"))
+    before = Window.partitionBy(*own).orderBy("_nth_p").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.select(*own, "_nth_p", (F.coalesce(F.sum("_nth_k").over(before), F.lit(0)) - F.col("_nth_first")).alias("_nth_move"), F.sum("_nth_k").over(Window.partitionBy(*own)).alias("_nth_all"))
+    same = F.col("_nth_part") == F.col("_nth_p")
+    for c, g in zip(by, own, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(g))
+    return dealt.join(moved, same).select(*kept, (F.col("_nth_at") + F.col("_nth_move")).alias(place), F.col("_nth_all").alias(total))
 
 
-def with_place(df: DataFrame, value: str, ties: list[str], name: str = "place", buckets: int = 64) -> DataFrame:
+def with_place(df: DataFrame, value: str, ties: list[str], name: str = "place") -> DataFrame:
     """Number all rows from 0 by descending value, and give their count as ``total``."""
-    return numbered(df, value, ties, [], name, "total", True, buckets)
+    return numbered(df, value, ties, [], name, "total", True)
 
 
-def place_in_group(df: DataFrame, group: str, key: str, buckets: int = 64) -> DataFrame:
+def place_in_group(df: DataFrame, group: str, key: str) -> DataFrame:
     """Number the rows of each group from 0 by key (column ``_place``), and count them (``_n``)."""
-    return numbered(df, key, [], [group], "_place", "_n", False, buckets)
+    return numbered(df, key, [], [group], "_place", "_n")
 
 
 def select_trajectories(df: DataFrame, trim_low: float = DEFAULTS.trim_low, trim_high: float = DEFAULTS.trim_high, epsilon: float = DEFAULTS.epsilon, penalise_names: bool = True) -> DataFrame:
     """The best trajectory of each task, inside the trim window and at or above epsilon, ranked from 0."""
     scored = df.withColumn("name_penalty", name_penalty(F.col("conversation"), penalise_names)).withColumn("effective_reward", effective_reward(F.col("reward"), F.col("name_penalty")))
-    # A row for each task, read several times to be placed.
-    placed = with_place(stage(best_per_task(scored), "best"), "effective_reward", ["task_id"])
+    placed = with_place(best_per_task(scored), "effective_reward", ["task_id"])
     low, high = (F.floor(F.lit(float(x)) * F.col("total")) for x in (trim_low, trim_high))
     chosen = placed.where((F.col("place") >= low) & (F.col("place") < high) & (F.col("effective_reward") >= epsilon))
     # In descending order, what the window and the threshold leave is one run of places.
@@ -84,7 +69,7 @@ def select_by_dataset(df: DataFrame, dataset: str = "dataset_name", epsilon: flo
 
     Maths and ARC leave out the first tenth and the last fifth, all others the last three tenths.
     """
-    best = stage(best_per_task(df, "reward"), "best")
+    best = best_per_task(df, "reward")
     placed = numbered(best, "reward", ["task_id"], [dataset], "_place", "_n", True)
     hard = F.col(dataset).isin("math", "arc")
     low = F.when(hard, F.floor(F.lit(0.1) * F.col("_n"))).otherwise(F.lit(0))
@@ -114,7 +99,6 @@ def shuffle_key(seed: str, key: Column) -> Column:
 def split_rows(df: DataFrame, seed: str, key: str, train_share: float, least_train: int = 0, partition: list[str] | None = None) -> DataFrame:
     """Add split: the first floor(share * n) rows in md5 order are train, the rest test; of all rows, or of each partition.
 
-    md5 is even, so its first digits deal rows to buckets of like size.
     """
     by = partition or []
     shuffled = df.withColumn("_order", shuffle_key(seed, F.col(key)))

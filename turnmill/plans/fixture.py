@@ -66,7 +66,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(trajectories(spark, sf_dir))
+    return scoring.score(trajectories(spark, sf_dir), maths=False)
 
 
 SQL = r"""

@@ -232,11 +232,11 @@ def argmax_argmin_pairs(spark, sf):
 
 
 @query(
-    "SELECT a.p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey < a.p_partkey AND b.p_brand = a.p_brand AND b.p_type = a.p_type AND b.p_size = a.p_size AND levenshtein(a.p_name, b.p_name) / (greatest(length(a.p_name), length(b.p_name)) + 1.0::DOUBLE) < 0.25::DOUBLE)"
+    "SELECT a.p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey < a.p_partkey AND b.p_brand = a.p_brand AND levenshtein(a.p_name, b.p_name) / (greatest(length(a.p_name), length(b.p_name)) + 1.0::DOUBLE) < 0.25::DOUBLE)"
 )
 def near_dup_edit(spark, sf):
-    nodes = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", F.col("p_name").alias("content"))
-    return pairs.unlike_selected(nodes, nodes, ["p_brand", "p_type", "p_size"], earlier="p_partkey").select("p_partkey")
+    nodes = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_name").alias("content"))
+    return pairs.unlike_selected(nodes, nodes, ["p_brand"], earlier="p_partkey").select("p_partkey")
 
 
 # Chat rows
@@ -830,6 +830,61 @@ def latex_equiv(spark, sf):
     return _answers(spark, sf).select("p_partkey", latex.latex_equal(latex.boxed_answer(F.col("solution")), half).alias("same"))
 
 
+def _forms(spark, sf):
+    """An answer of each part, in one of eight forms: quotients, sums, roots."""
+    n, m = F.col("p_size").cast("string"), (F.col("p_partkey") % 7 + 1).cast("string")
+    times = lambda c, k: (c.cast("int") * k).cast("string")
+    forms = [
+        F.concat(F.lit("\\frac{"), n, F.lit("}{"), m, F.lit("}")),
+        F.concat(n, F.lit("/"), m),
+        F.concat(F.lit("$\\dfrac{"), times(n, 2), F.lit("}{"), times(m, 2), F.lit("}$")),
+        F.concat(n, F.lit(" \\cdot \\frac{1}{"), m, F.lit("}")),
+        F.concat(F.lit("x+"), n),
+        F.concat(n, F.lit(" + x")),
+        F.concat(F.lit("\\sqrt{"), (m.cast("int") * m.cast("int") * 3).cast("string"), F.lit("}")),
+        F.concat(m, F.lit("\\sqrt{3}")),
+    ]
+    return table(spark, sf, "part").select("p_partkey", F.get(F.array(*forms), (F.col("p_partkey") % 8).cast("int")).alias("answer"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_size AS n, p_partkey % 7 + 1 AS m, p_partkey % 8 AS form FROM part)
+SELECT CAST(min(p_partkey) AS BIGINT) AS first_id, count(*) AS answers FROM (SELECT p_partkey, CASE WHEN form < 4 THEN 'q' || CAST(n // gcd(n, m) AS VARCHAR) || '/' || CAST(m // gcd(n, m) AS VARCHAR) WHEN form < 6 THEN 'x' || CAST(n AS VARCHAR) ELSE 'r' || CAST(m AS VARCHAR) END AS class FROM p) GROUP BY class"""
+)
+def maths_classes(spark, sf):
+    return _forms(spark, sf).groupBy(latex.answer_key(F.col("answer")).alias("key")).agg(F.min("p_partkey").cast("long").alias("first_id"), F.count("*").alias("answers")).drop("key")
+
+
+@query(
+    r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '\frac{' || p_size || '}{\sqrt{2}}' WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN p_name ELSE '{' || p_size || '}' END AS boxed FROM part"""
+)
+def boxed_variants(spark, sf):
+    """Nested braces, \\fbox, none, one that does not close, the last of two, a box without braces around it."""
+    n = F.col("p_size").cast("string")
+    forms = [
+        F.concat(F.lit("\\boxed{1} or \\boxed{\\frac{"), n, F.lit("}{\\sqrt{2}}} {")),
+        F.concat(F.lit("so \\fbox{"), n, F.lit("}.")),
+        F.concat(F.lit("it is "), n),
+        F.concat(F.lit("so \\boxed{"), n),
+        F.concat(F.lit("$\\boxed "), F.col("p_name"), F.lit("$ as said")),
+        F.concat(F.lit("\\boxed{{"), n, F.lit("}}")),
+    ]
+    return table(spark, sf, "part").select("p_partkey", latex.boxed_answer(F.get(F.array(*forms), (F.col("p_partkey") % 6).cast("int"))).alias("boxed"))
+
+
+@query(
+    """WITH w AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+k AS (SELECT x.id, 1 + CASE WHEN x.a = y.a AND x.b = y.b THEN 2 WHEN x.a = y.a OR x.b = y.b OR x.a = y.b OR x.b = y.a THEN 1 ELSE 0 END AS n FROM w x JOIN w y ON y.id = x.id + 1)
+SELECT id AS p_partkey, round(2 * (n / 3.0::DOUBLE) * (n / 3.0::DOUBLE) / (2 * (n / 3.0::DOUBLE) + 1e-8::DOUBLE), 9) AS score FROM k"""
+)
+def rouge_summary(spark, sf):
+    """Two sentences in either order: the common words are those of both pairs of sentences."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    after = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("said"))
+    gold, said = F.concat("p_name", F.lit(". yes")), F.concat(F.lit("yes.  "), "said", F.lit("."))
+    return parts.join(after, "p_partkey").select("p_partkey", _r(X.rouge_l(gold, said)).alias("score"))
+
+
 @query(
     """WITH g AS (SELECT task_id, trajectory_id AS pos, coalesce(final_answer, '') AS final_answer, coalesce(final_answer, 'none ' || trajectory_id) AS own FROM traj),
 k AS (SELECT task_id, own, count(*) AS n, min(pos) AS first FROM g GROUP BY ALL), c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC, first) = 1)
