@@ -51,7 +51,7 @@ MIN_COPIES = 2
 #: Central lines that each member of a key is paired with.
 PIVOTS = 4
 #: Characters of the pieces by which lines of large keys meet, at least, and how many pieces a long line has, at most.
-PIECE, PIECES = 4, 16
+PIECE, PIECES = 4, 12
 #: Lines of a piece that meet the others at once; larger ones are dealt out in such blocks.
 BLOCK_LINES = 512
 #: Rows that may be broadcast, after they have been counted; beyond it, a merge join.
