@@ -256,3 +256,27 @@ def test_comparison_and_first_rows(spark):
     rows = spark.range(10).withColumn("k", F.col("id"))
     assert sorted(r["id"] for r in selection.first_rows(rows, "k", 3).collect()) == [0, 1, 2]
     assert compose.project(rows, ["k"], {"k": "key"}).columns == ["key"]
+
+
+@pytest.mark.parametrize("chars", [8 << 20, 8])
+def test_short_passages_against_a_plain_search(spark, monkeypatch, chars):
+    monkeypatch.setattr(compose, "BROADCAST_CHARS", chars)
+    rnd = random.Random(7)
+    some = lambda n: " ".join("".join(rnd.choice("abéß字") for _ in range(rnd.randrange(1, 6))) for _ in range(rnd.randrange(n)))
+    texts = [some(8) for _ in range(120)] + [None, "", "  ", "x" * 50_000, "😀abcdefghijk 😀"]
+    passages = ["ab", "bbbb", "字字", "a b", "b a é", "ab ab", "字 a", "é a b ß", "ß 字字 a", "bcdefghij", "😀a", "k 😀", "x" * 60, None, " "]
+    for chosen in (passages, passages[:3], passages[3:6], passages[6:9], ["zzz"]):
+        df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+        bench = spark.createDataFrame([(p,) for p in chosen], "text string")
+        plain = lambda t: " ".join(t.split()).lower()
+        wanted = {k for k, t in enumerate(texts) if t is None or not any(p and p.strip() and plain(p) in plain(t) for p in chosen)}
+        assert {r["id"] for r in compose.decontaminate(df, bench).collect()} == wanted
+
+
+def test_a_frequent_short_passage_meets_by_words(spark):
+    df = spark.range(0, 4_000, 1, 4).select("id", F.concat(F.lit("the "), F.when(F.col("id") % 4 == 0, "then the cat").otherwise("dog"), F.lit(" w"), F.col("id")).alias("text"))
+    bench = spark.createDataFrame([("the cat",), ("thexx",), ("n the c",)], "text string")
+    got = compose.decontaminate(df, bench)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 3_000
+    assert compose.decontaminate(df, spark.createDataFrame([("the",)], "text string")).count() == 0

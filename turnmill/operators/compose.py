@@ -77,52 +77,108 @@ def overlay(raw: DataFrame, *later: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-#: Words of a window by which passages and rows meet; a passage takes the longest that fits inside it.
-WINDOWS = (8, 4, 2, 1)
+#: Whole words of a window by which passages and rows meet; a passage takes the longest that fits between its ends.
+WINDOWS = (8, 4, 2, 1, 0)
+#: Characters of the words on both sides of a short window; a passage takes the most that its own words have.
+EDGES = (3, 1)
+#: Characters by which passages of one word meet the words that hold them.
+GRAMS = (8, 4, 2, 1)
+#: Parts that the rows of one word are dealt to.
+SALTS = 32
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", passage: str = "text") -> DataFrame:
     """Rows whose text holds no benchmark passage, spacing and capitals aside; empty passages are no passages.
 
     A passage may begin and end inside a word, but all its words between the first and
-    last stand whole in a text that holds it.  So passages meet texts by the
-    hash of the first of these words, in an equi-join, and only those that
-    meet are searched for.  Passages of one or two words have none; these few
-    are searched for in every row, in blocks of checked size.
+    last stand whole in a text that holds it, the first ends a word there, and the
+    last begins one.  So passages of two or more words meet texts by a hash of
+    the first whole words, or, where these are one or none, of the characters
+    around them too, in an equi-join, and only those that meet are searched
+    for.  Passages of one word meet the different words of all texts, by their
+    first characters, and the words that hold one are joined back to the texts.
+    Rows with a null text stay.
     """
     plain = lambda c: F.lower(X.single_spaced(F.col(c)))
     passages = benchmark.select(plain(passage).alias("_passage")).where("_passage <> ''").distinct().withColumn("_words", F.split("_passage", " "))
     inner = F.size("_words") - 2
-    longest = F.lit(0)
-    for n in reversed(WINDOWS):
-        longest = F.when(inner >= n, F.lit(n)).otherwise(longest)
-    passages = stage(passages.withColumn("_n", longest), "passages")
-    found = {r["_n"]: r["size"] for r in passages.groupBy("_n").agg(F.sum(F.length("_passage")).alias("size")).collect()}  # a row for each width
+    passages = passages.withColumn("_n", F.when(inner >= 0, _widest(inner, WINDOWS)))
+    edge = lambda word: F.when(F.col("_n") < 2, _widest(F.length(word), EDGES)).otherwise(F.when(F.col("_n") >= 2, 0))
+    first, behind = F.get("_words", F.lit(0)), F.get("_words", F.col("_n") + 1)
+    passages = stage(passages.withColumns({"_left": edge(first), "_right": edge(behind), "_gram": F.when(F.col("_n").isNull(), _widest(F.length("_passage"), GRAMS))}), "passages")
+    found = passages.groupBy("_n", "_left", "_right", "_gram").agg(F.sum(F.length("_passage")).alias("size")).collect()  # a row for each shape, of which there are few
     names = [f"_{c}" for c in df.columns]
     key = [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_k2")]
     out = df.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)], *key, plain(text).alias("_plain"))
     back = [F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)]
-    sizes = [n for n in found if n]
-    if sizes:
-        words = F.split("_plain", " ")
-        windows = F.flatten(F.array(*[_window_hashes("_words", n) for n in sizes]))
-        each = out.where("_plain <> ''").select("_k1", "_k2", words.alias("_words")).select("_k1", "_k2", F.explode(F.array_distinct(windows)).alias("_key"))
-        keyed = passages.where("_n > 0").select(F.xxhash64("_n", F.slice(F.col("_words"), F.lit(2), F.col("_n"))).alias("_key"), "_passage")
-        met = each.join(_sized(keyed, sum(v for k, v in found.items() if k)), "_key").select("_k1", "_k2", "_passage").distinct()
+    texts = out.where("_plain <> ''").select("_k1", "_k2", "_plain", F.split("_plain", " ").alias("_words"))
+    shapes = [(r["_n"], r["_left"], r["_right"]) for r in found if r["_n"] is not None]
+    if shapes:
+        windows = F.flatten(F.array(*[_window_hashes("_words", *shape) for shape in shapes]))
+        each = texts.select("_k1", "_k2", F.explode(F.array_distinct(windows)).alias("_key"))
+        own = F.coalesce(*[F.when((F.col("_n") == n) & (F.col("_left") == a) & (F.col("_right") == b), _window_hash("_words", F.lit(0), n, a, b)) for n, a, b in shapes])
+        keyed = passages.where("_n is not null").select(own.alias("_key"), "_passage")
+        met = each.join(_sized(keyed, sum(r["size"] for r in found if r["_n"] is not None)), "_key").select("_k1", "_k2", "_passage").distinct()
         met = stage(met, "passages-met")
         hit = out.select("_k1", "_k2", "_plain").join(met, ["_k1", "_k2"]).where(F.contains("_plain", "_passage")).select("_k1", "_k2").distinct()
         out = out.join(hit, ["_k1", "_k2"], "left_anti")
-    short = found.get(0, 0)
-    for k in range(-(-short // BROADCAST_CHARS)):
-        block = passages.where("_n = 0").where(F.pmod(F.xxhash64("_passage"), F.lit(-(-short // BROADCAST_CHARS))) == k).select("_passage")
-        out = out.join(F.broadcast(block), F.contains(F.col("_plain"), F.col("_passage")), "left_anti")
+    if len(shapes) < len(found):
+        held = _words_that_hold(texts, passages.where("_n is null"), [(r["_gram"], r["size"]) for r in found if r["_n"] is None])
+        out = out.join(_texts_with(texts, held), ["_k1", "_k2"], "left_anti")
     return out.select(*back)
 
 
-def _window_hashes(words: str, n: int) -> Column:
-    """Hashes of all runs of n words."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: i <= F.size(words) - n)
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.slice(words, i + 1, F.lit(n))))
+def _widest(room: Column, widths: tuple[int, ...]) -> Column:
+    """The widest of some widths, given from wide to narrow, that there is room for."""
+    found = F.lit(widths[-1])
+    for n in reversed(widths[:-1]):
+        found = F.when(room >= n, F.lit(n)).otherwise(found)
+    return found
+
+
+def _window_hash(words: str, at: Column, n: int, left: int, right: int) -> Column:
+    """The hash of n words behind a place, with so many last characters of the word there and first ones of the word behind."""
+    parts = [F.lit(f"{n}:{left}:{right}"), F.slice(words, at + 2, F.lit(n))]
+    if left:
+        parts.append(F.right(F.get(words, at), F.lit(left)))
+    if right:
+        parts.append(F.left(F.get(words, at + n + 1), F.lit(right)))
+    return F.xxhash64(*parts)
+
+
+def _window_hashes(words: str, n: int, left: int, right: int) -> Column:
+    """Hashes of all runs of n words that have a word on both sides, long enough for its characters."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i < F.size(words) - n - 1))
+    if left > 1 or right > 1:
+        starts = F.filter(starts, lambda i: (F.length(F.get(words, i)) >= left) & (F.length(F.get(words, i + n + 1)) >= right))
+    return F.transform(starts, lambda i: _window_hash(words, i, n, left, right))
+
+
+def _words_that_hold(texts: DataFrame, passages: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
+    """The different words (_word) of texts that hold a passage of one word; found: the grams' widths and the characters of their passages."""
+    vocabulary = texts.select(F.explode(F.array_distinct("_words")).alias("_word")).distinct()
+
+    def grams(letters: Column, width: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(letters)), lambda i: i <= F.size(letters) - width + 1)
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(letters, i, F.lit(width))))
+
+    # a function of the letters, so that a word is split once and not for each place
+    keys = F.flatten(F.transform(F.array(F.split("_word", "")), lambda letters: F.flatten(F.array(*[grams(letters, g) for g, _ in found]))))
+    each = vocabulary.select("_word", F.explode(F.array_distinct(keys)).alias("_key"))
+    keyed = passages.select(F.xxhash64(F.slice(F.split("_passage", ""), F.lit(1), F.col("_gram"))).alias("_key"), "_passage")
+    met = each.join(_sized(keyed, sum(size for _, size in found)), "_key")
+    return stage(met.where(F.contains("_word", "_passage")).select("_word").distinct(), "words-held")
+
+
+def _texts_with(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Keys of the texts with one of some words; a word that many texts have is dealt to SALTS parts."""
+    chars = words.agg(F.sum(F.length("_word"))).first()[0] or 0
+    salt = F.pmod("_k1", F.lit(SALTS))
+    each = texts.select("_k1", "_k2", salt.alias("_salt"), F.explode(F.array_distinct("_words")).alias("_word"))
+    if chars <= BROADCAST_CHARS:
+        return each.join(F.broadcast(words), "_word", "left_semi").select("_k1", "_k2").distinct()
+    dealt = words.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return each.join(dealt.hint("merge"), ["_word", "_salt"], "left_semi").select("_k1", "_k2").distinct()
 
 
 def _sized(side: DataFrame, chars: int) -> DataFrame:
