@@ -280,3 +280,15 @@ def test_a_frequent_short_passage_meets_by_words(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 3_000
     assert compose.decontaminate(df, spark.createDataFrame([("the",)], "text string")).count() == 0
+
+
+def test_prefixes_of_a_long_chain_and_of_broken_trees(spark, monkeypatch):
+    chain = [(0, k, k - 1 if k else None, k, f"c{k}") for k in range(1_000)]
+    odd = [(1, 0, None, 0, "r"), (1, 1, 0, 1, "a"), (1, 2, 1, 2, None), (1, 9, 8, 1, "orphan"), (1, 10, 9, 2, "below it"), (1, 20, 21, 5, "ring"), (1, 21, 20, 6, "ring"), (1, 30, 0, 3, "too deep")]
+    edges = spark.createDataFrame(chain + odd, "task_id int, node_id int, parent_id int, depth int, content string")
+    rounds = []
+    monkeypatch.setattr(builders, "stage", lambda df, name: rounds.append(name) or stage(df, name))
+    got = {(r["task_id"], r["node_id"]): r["prefix"] for r in builders.node_prefixes(edges).collect()}
+    assert len(rounds) <= 11
+    assert got == {(0, k): [f"c{j}" for j in range(1, k + 1)] for k in range(1_000)} | {(1, 0): [], (1, 1): ["a"], (1, 2): ["a", None]}
+    assert builders.node_prefixes(edges, 1).count() == 4 and builders.node_prefixes(edges.limit(0)).count() == 0

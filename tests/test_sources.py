@@ -55,6 +55,30 @@ def test_stream(spark, tmp_path):
     assert got.select("correct_score").distinct().collect()[0][0] == 1.0
 
 
+def test_a_stream_that_fails_in_a_batch_goes_on(spark, tmp_path):
+    source, out, at = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/ck"
+    source.mkdir()
+
+    def run(broken=False):
+        def score(df):
+            return df.selectExpr("task_id", "trajectory_id", "if(task_id = 7 and trajectory_id = 1, raise_error('lost'), 1) as x" if broken else "1 as x")
+
+        score_stream(stream_tasks(spark, f"file://{source}"), out, at, score).awaitTermination()
+        return sorted((r["task_id"], r["trajectory_id"]) for r in spark.read.parquet(out).collect() if r["task_id"] is not None)
+
+    both = lambda *ids: [(i, k) for i in ids for k in (0, 1)]
+    (source / "a.jsonl").write_text("\n".join(line(k) for k in (0, 1)) + "\n")
+    assert run() == both(0, 1)
+    (source / "b.jsonl").write_text("\n".join(line(k) for k in (1, 6, 7)) + "\n")
+    with pytest.raises(Exception, match="lost"):
+        run(broken=True)
+    (source / "c.jsonl").write_text("\n".join(line(k) for k in (7, 0, 8)) + "\n")
+    assert run() == both(0, 1, 6, 7, 8)
+    nameless = [line(0).replace('{"task_id": 0, "results"', '{"results"'), line(0, 3).replace('{"task_id": 0, "results"', '{"results"')]
+    (source / "d.jsonl").write_text("\n".join([*nameless, nameless[0], line(8)]) + "\n")
+    assert len(run()) == 10 + 5
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).columns

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import chat
 from turnmill.functions import text as X
+from turnmill.staging import stage
 from turnmill.types import Settings
 
 from .compose import both_speakers
@@ -152,22 +153,36 @@ def chat_task(df: DataFrame, task: str, insert_system: bool = True, bos: str | N
     return df.withColumns({"text_prompt": chat.render(ready(prompt)), **{f"text_{c}": plain(answer(c)) for c in ("chosen", "rejected")}})
 
 
-def node_prefixes(edges: DataFrame, max_depth: int = DEFAULTS.max_round, keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
+def node_prefixes(edges: DataFrame, max_depth: int | None = None, keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
     """Nodes of trees (keys, node_id, parent_id, depth, content and others) with prefix: the contents from below the root to the node.
 
-    A join for each level, of that level's nodes with the one above.
+    Each node knows the contents up to one above it, at first its parent, and
+    takes over what that one knows, so that a round doubles the way: there are as
+    many joins as the greatest depth has binary digits.  Only ids and contents
+    take part in the rounds.  Nodes below ``max_depth`` are left out, as
+    are those whose way to the root is broken.
     """
-    on = [*keys, "parent_id"]
-    level = edges.where("parent_id is null").withColumn("prefix", F.array().cast("array<string>"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        above = level.select(*keys, F.col("node_id").alias("parent_id"), F.col("prefix").alias("_above"))
-        level = edges.where(F.col("depth") == depth).join(above, on).withColumn("prefix", F.concat("_above", F.array("content"))).select(*edges.columns, "prefix")
-        out = out.unionByName(level)
-    return out
-
-
-def tree_records(edges: DataFrame, prompts: DataFrame, max_depth: int = DEFAULTS.max_round) -> DataFrame:
+    at = [*keys, "node_id"]
+    kept = edges if max_depth is None else edges.where(F.col("depth") <= max_depth)
+    is_root = F.col("parent_id").isNull()
+    none = F.array().cast("array<string>")
+    way = stage(kept.where(is_root | (F.col("depth") > 0)).select(*at, F.col("parent_id").alias("_jump"), F.when(is_root, none).otherwise(F.array("content")).alias("prefix"), F.when(is_root, 0).otherwise(F.col("depth")).alias("_depth")), "ways")
+    while way.where(_is_open()).limit(1).count():
+        above = way.select(*keys, F.col("node_id").alias("_jump"), F.col("_jump").alias("_next"), F.col("prefix").alias("_above"))
+        longer = way.where(_is_open()).join(above, [*keys, "_jump"]).select(*at, F.col("_next").alias("_jump"), F.concat("_above", "prefix").alias("prefix"), "_depth")
+        way = stage(way.where(~_is_open()).unionByName(longer), "ways")
+    top, below = way.where("_depth = 0"), way.where("_depth > 0 and size(prefix) = _depth")
+    roots = top.select(*keys, F.col("node_id").alias("_jump"))
+    whole = top.unionByName(below.join(roots, [*keys, "_jump"], "left_semi"))
+    return kept.join(whole.select(*at, "prefix"), at).select(*edges.columns, "prefix")
+
+
+def _is_open() -> Column:
+    """Whether a way does not reach the root yet."""
+    return F.size("prefix") < F.col("_depth")
+
+
+def tree_records(edges: DataFrame, prompts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The older record of a tree: of each child of a node with children, the conversation from the root's prompt on, and its value.
 
     prompts has task_id, and a prompt for each speaker (prompt_first, prompt_second): the one whose turn it is at the child's depth.

@@ -724,17 +724,14 @@ def prompt_length(spark, sf):
 
 @query(_EDGES_SQL + " SELECT task_id, node_id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth = 0 THEN '' ELSE array_to_string(string_split(node_id, ''), '>') END AS prefix FROM edges", derived=True)
 def node_prefixes(spark, sf):
-    edges = stage(_edges(spark, sf), "edges")
-    deepest = edges.agg(F.max("depth")).first()[0] or 0
-    return builders.node_prefixes(edges, deepest).select("task_id", "node_id", F.col("depth").cast("long").alias("depth"), F.array_join("prefix", ">").alias("prefix"))
+    return builders.node_prefixes(stage(_edges(spark, sf), "edges")).select("task_id", "node_id", F.col("depth").cast("long").alias("depth"), F.array_join("prefix", ">").alias("prefix"))
 
 
 @query(_EDGES_SQL + " SELECT task_id, parent_id AS node_id, node_id AS child_id, CASE WHEN depth % 2 = 0 THEN 'A' ELSE 'B' END || '>' || array_to_string(string_split(node_id, ''), '>') AS conversation, round(value, 9) AS value FROM edges WHERE parent_id IS NOT NULL", derived=True)
 def tree_records(spark, sf):
     edges = stage(_edges(spark, sf), "edges")
-    deepest = edges.agg(F.max("depth")).first()[0] or 0
     prompts = edges.select("task_id", F.lit("A").alias("prompt_first"), F.lit("B").alias("prompt_second")).distinct()
-    out = builders.tree_records(edges, prompts, deepest)
+    out = builders.tree_records(edges, prompts)
     return out.select("task_id", "node_id", "child_id", F.array_join("conversation", ">").alias("conversation"), _r("value").alias("value"))
 
 

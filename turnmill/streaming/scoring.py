@@ -1,8 +1,9 @@
 """Incremental scoring: a stream of task lines is scored and appended once per task.
 
-A task is complete in its line, so scoring needs no state.  Each batch writes
-its own folder, named by its number, so that a batch that runs again replaces
-what it wrote; tasks that an earlier batch has are left out.
+The ids of the tasks seen are the stream's state, kept in RocksDB by hash of the
+id, so that a batch looks up its own ids only and reads nothing of what is
+stored.  Each batch writes its own folder, named by its number: a batch that
+runs again, after a failure, finds the state before it and replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -15,24 +16,34 @@ from pyspark.sql.streaming import StreamingQuery
 
 from turnmill.types import TASK_LINE
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_tasks(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(TASK_LINE).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
 def score_stream(tasks: DataFrame, out: str, checkpoint: str, score: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Apply score to the trajectories of new tasks and write them under ``out``/batch=n."""
+    """Apply score to the trajectories of new tasks and write them under ``out``/batch=n.
+
+    The first line of a task id counts; lines without an id are told apart by
+    their results.  The number of the state's parts is the shuffle partitions of
+    the first run with this checkpoint.
+    """
     spark = tasks.sparkSession
+    nameless = F.when(F.col("task_id").isNull(), F.sha2(F.to_json("results"), 256))
+    fresh = tasks.withColumn("_nameless", nameless).dropDuplicates(["task_id", "_nameless"])
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(["task_id"])
-        try:
-            done = spark.read.parquet(out).where(F.col("batch") < number).select("task_id").distinct()
-            rows = rows.join(done, "task_id", "left_anti")
-        except Exception as e:  # nothing is there before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        scored = score(rows.select(F.explode("results").alias("r")).select("r.*"))
+        scored = score(batch.select(F.explode("results").alias("r")).select("r.*"))
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return tasks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    held = spark.conf.get(STATE_STORE, None)
+    if held is None:
+        spark.conf.set(STATE_STORE, ROCKSDB)  # a query takes the settings over when it starts
+    try:
+        return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if held is None:
+            spark.conf.unset(STATE_STORE)
