@@ -292,3 +292,30 @@ def test_prefixes_of_a_long_chain_and_of_broken_trees(spark, monkeypatch):
     assert len(rounds) <= 11
     assert got == {(0, k): [f"c{j}" for j in range(1, k + 1)] for k in range(1_000)} | {(1, 0): [], (1, 1): ["a"], (1, 2): ["a", None]}
     assert builders.node_prefixes(edges, 1).count() == 4 and builders.node_prefixes(edges.limit(0)).count() == 0
+
+
+def plain_labels(ids, own, other, ignore=-100):
+    starts = lambda m: [k for k in range(len(ids) - len(m) + 1) if ids[k : k + len(m)] == m]
+    replies, others, labels = [k + len(own) for k in starts(own)], starts(other), list(ids)
+    if replies and others and others[0] > replies[0]:
+        others = [0, *others]
+    spans = [(a if k else 0, b) for k, (a, b) in enumerate(zip(others, replies))]
+    if len(replies) < len(others):
+        spans.append((others[-1], len(ids)))
+    for a, b in spans:
+        for k in range(a, b):
+            labels[k] = ignore
+    return labels
+
+
+def test_labels_of_many_rows_against_a_plain_loop(spark):
+    rnd = random.Random(3)
+    rows = [[rnd.randrange(1, 6) for _ in range(rnd.randrange(30))] for _ in range(400)] + [[], None, [1, 2], [2, 1], [1], [3, None, 1, 2, None, 4]]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "id int, ids array<int>").repartition(3)
+    got = {r["id"]: r["x"] for r in df.select("id", chat.label_replies(F.col("ids"), [1, 2], [3], [4], [5, 5]).alias("x")).collect()}
+    for k, ids in enumerate(rows):
+        is_bob = ids is not None and any(ids[j : j + 2] == [5, 5] for j in range(len(ids)))
+        assert got[k] == (None if ids is None else plain_labels(ids, *(([3], [1, 2]) if is_bob else ([1, 2], [3]))))
+    assert df.limit(0).select(chat.label_replies(F.col("ids"), [1, 2], [3], [4], [5]).alias("x")).collect() == []
+    with pytest.raises(ValueError):
+        chat.label_replies(F.col("ids"), [], [3], [4], [5])

@@ -2,6 +2,7 @@ import importlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnmill.operators import scoring
 from turnmill.sources import tasks
@@ -40,8 +41,6 @@ def test_stream(spark, tmp_path):
     def run():
         def score(df):
             answers, is_list = tasks.gold_answers(df["answer"])
-            from pyspark.sql import functions as F
-
             return scoring.score(df.drop("correct_score", "token_score", "ppl_score", "reward").withColumns({"answers": answers, "answer_is_list": is_list, "losses": F.array(F.lit(1.0))}), token_cap=100.0)
 
         score_stream(stream_tasks(spark, f"file://{source}"), out, at, score).awaitTermination()
@@ -79,6 +78,31 @@ def test_a_stream_that_fails_in_a_batch_goes_on(spark, tmp_path):
     assert len(run()) == 10 + 5
 
 
+def test_published_lines_survive_a_failed_run(spark, tmp_path):
+    path = f"file://{tmp_path}/set"
+    (tmp_path / "a.jsonl").write_text("\n".join(line(k) for k in (5, 3, 4)) + "\n")
+    rows = tasks.trajectories(tasks.read_tasks(spark, f"file://{tmp_path}/a.jsonl"))
+    held = lambda: [r["task_id"] for r in tasks.published_tasks(spark, path).collect()]
+    assert held() == []
+    tasks.publish_tasks(rows.where("task_id <> 4"), path, token="first")
+    assert sorted(held()) == [3, 5]
+    tasks.publish_tasks(rows.where("task_id = 4"), path, token="first")  # that run is done
+    assert sorted(held()) == [3, 5]
+    broken = rows.withColumn("answer", F.expr("if(task_id = 4, raise_error('lost'), answer)"))
+    for replace in (True, False):
+        with pytest.raises(Exception, match="lost"):
+            tasks.publish_tasks(broken, path, replace=replace)
+        assert sorted(held()) == [3, 5]
+    tasks.publish_tasks(rows, path)
+    assert sorted(held()) == [3, 4, 5] and tasks.trajectories(tasks.published_tasks(spark, path)).count() == 6
+    tasks.publish_tasks(tasks.trajectories(tasks.published_tasks(spark, path)), path, replace=True)
+    assert sorted(held()) == [3, 4, 5]
+    files = sorted(f for f in (tmp_path / "set" / "sets").iterdir())
+    newest = max(files, key=lambda f: f.stat().st_mtime)
+    ordered = [json.loads(x)["task_id"] for f in sorted(newest.glob("part-*")) for x in f.read_text().splitlines()]
+    assert ordered == [3, 4, 5]
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).columns

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,44 +97,95 @@ def loss_mask(roles: Column, lengths: Column) -> Column:
     return F.flatten(each)
 
 
-def _starts(ids: np.ndarray, marker: list[int]) -> np.ndarray:
-    """Where a run of ids begins in others."""
-    if len(ids) < len(marker):
+def _starts(ids: np.ndarray, row: np.ndarray, marker: list[int]) -> np.ndarray:
+    """Where a marker begins in the ids of many rows, laid end to end; it does not reach over a row's end."""
+    count = len(ids) - len(marker) + 1
+    if count <= 0:
         return np.zeros(0, np.int64)
-    return np.flatnonzero((np.lib.stride_tricks.sliding_window_view(ids, len(marker)) == marker).all(1))
+    hit = row[:count] == row[len(marker) - 1 :]
+    for k, one in enumerate(marker):
+        hit &= ids[k : k + count] == one
+    return np.flatnonzero(hit)
 
 
-def reply_labels(ids: list[int], own: list[int], other: list[int], ignore: int = -100) -> list[int]:
-    """Ids with everything outside a speaker's replies ignored.
+def _places(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows: how many of each there are, where each begins, and the place of every one in its row."""
+    count = np.bincount(row, minlength=rows)
+    first = np.cumsum(count) - count
+    return count, first, np.arange(len(row)) - first[row]
+
+
+def _outside_replies(ids: np.ndarray, lengths: np.ndarray, alice: list[int], bob: list[int], you_are_bob: list[int]) -> np.ndarray:
+    """For the ids of many rows, laid end to end: whether they lie outside the replies of the row's speaker.
 
     A reply begins behind the own marker and ends where the other's marker
-    begins.  What comes before the first reply is ignored, and so is what
+    begins.  What comes before the first reply is outside, and so is what
     follows a marker of the other that no reply answers.
     """
-    labels = np.array(ids, np.int64)
-    replies, others = _starts(labels, own) + len(own), _starts(labels, other)
-    if len(replies) and len(others) and others[0] > replies[0]:
-        others = np.concatenate([[0], others])
-    for k, (a, b) in enumerate(zip(others.tolist(), replies.tolist(), strict=False)):
-        labels[a if k else 0 : b] = ignore
-    if len(replies) < len(others):
-        labels[others[-1] :] = ignore
-    return labels.tolist()
+    rows = len(lengths)
+    row = np.repeat(np.arange(rows), lengths)
+    begin = np.cumsum(lengths) - lengths
+    is_bob = np.zeros(rows, bool)
+    is_bob[row[_starts(ids, row, you_are_bob)]] = True
+    of_alice, of_bob = _starts(ids, row, alice), _starts(ids, row, bob)
+    bob_says_a, bob_says_b = is_bob[row[of_alice]], is_bob[row[of_bob]]
+
+    reply_row = np.concatenate([row[of_alice[~bob_says_a]], row[of_bob[bob_says_b]]])
+    reply = np.concatenate([of_alice[~bob_says_a] + len(alice), of_bob[bob_says_b] + len(bob)])
+    order = np.lexsort((reply, reply_row))
+    reply, reply_row = reply[order], reply_row[order]
+    replies, first_reply, _ = _places(reply_row, rows)
+
+    other = np.sort(np.concatenate([of_bob[~bob_says_b], of_alice[bob_says_a]]))
+    others, first_other, _ = _places(row[other], rows)
+    both = np.flatnonzero((replies > 0) & (others > 0))
+    opens = both[other[first_other[both]] > reply[first_reply[both]]]  # rows that begin with the own reply
+    other_row = np.concatenate([opens, row[other]])
+    other = np.concatenate([begin[opens], other])
+    order = np.lexsort((other, other_row))
+    other, other_row = other[order], other_row[order]
+    others, first_other, place = _places(other_row, rows)
+
+    answered = place < replies[other_row]
+    from_ = np.where(place == 0, begin[other_row], other)[answered]
+    to = np.maximum(reply[(first_reply[other_row] + place)[answered]], from_)
+    left = np.flatnonzero(replies < others)  # the last marker of the other has no answer
+    change = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(change, np.concatenate([from_, other[(first_other + others - 1)[left]]]), 1)
+    np.add.at(change, np.concatenate([to, (begin + lengths)[left]]), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _label_lists(ids: pa.Array, alice: list[int], bob: list[int], you_are_bob: list[int], ignore: int) -> pa.Array:
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten()  # without the null rows
+    known = pc.fill_null(flat.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    outside = _outside_replies(known, lengths, alice, bob, you_are_bob)
+    labels = pc.if_else(pa.array(outside), pa.scalar(ignore, pa.int32()), flat.cast(pa.int32()))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, labels, mask=pc.is_null(ids))
+
+
+def reply_labels(ids: list[int], own: list[int], other: list[int], ignore: int = -100) -> list[int]:
+    """The labels of one list of ids, for the speaker of the own marker."""
+    outside = _outside_replies(np.array(ids, np.int64), np.array([len(ids)]), own, other, [np.iinfo(np.int64).min])
+    return np.where(outside, ignore, np.array(ids, np.int64)).tolist()
 
 
 def label_replies(ids: Column, alice: list[int], bob: list[int], you_are_alice: list[int], you_are_bob: list[int], ignore: int = -100) -> Column:
-    """Training labels of token ids: the replies of the speaker that the text addresses (Alice, unless it addresses Bob)."""
+    """Training labels of token ids: the replies of the speaker that the text addresses (Alice, unless it addresses Bob).
+
+    Markers are searched for in the flat buffer of an Arrow batch, for all its rows at once.
+    A null list stays null; a null id is part of no marker.
+    """
     from turnmill.shipping import ship
 
-    @F.pandas_udf("array<int>")
-    def labels(column: pd.Series) -> pd.Series:
-        def of(row):
-            if row is None:
-                return None
-            is_bob = len(_starts(np.asarray(row), you_are_bob)) > 0
-            return reply_labels(list(row), *((bob, alice) if is_bob else (alice, bob)), ignore)
+    if not (alice and bob and you_are_bob):
+        raise ValueError("a marker has no ids")
 
-        return column.map(of)
+    @F.arrow_udf("array<int>")
+    def labels(column: pa.Array) -> pa.Array:
+        return _label_lists(column, alice, bob, you_are_bob, ignore)
 
     ship()
     return labels(ids)

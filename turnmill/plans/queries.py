@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from turnmill.functions import chat, latex
 from turnmill.functions import text as X
 from turnmill.operators import analysis, builders, compose, pairs, quality, replay, scoring, selection
-from turnmill.sources import datasets
-from turnmill.staging import stage
+from turnmill.sources import datasets, tasks
+from turnmill.staging import shared_dir, stage
+from turnmill.streaming import scoring as incremental
 from turnmill.types import Settings
 
 from . import fixture
@@ -980,3 +982,72 @@ def load_two_wiki(spark, sf):
 def load_hotpot(spark, sf):
     source = _wiki(spark, sf).withColumns({"context": F.struct(F.transform("context", lambda c: c["title"]).alias("title"), F.transform("context", lambda c: c["sentences"]).alias("sentences")), "supporting_facts": F.struct(F.transform("supporting_facts", lambda c: c["title"]).alias("title"))})
     return datasets.hotpot_qa(source).select("id", F.array_join("context_first", "|").alias("first"), F.array_join("context_second", "|").alias("second"))
+
+
+# Task lines: written, added to, replaced, read back, and scored as they arrive
+
+
+def _recorded(spark, sf):
+    """The fixture's trajectories as task lines have them."""
+    return fixture.trajectories(spark, sf).select(F.col("task_id").cast("int").alias("task_id"), F.col("trajectory_id").cast("int").alias("trajectory_id"), F.col("answers").alias("answer"), "conversation", "final_answer", "termination_reason", "score_type", F.col("token_count").cast("int").alias("token_count"), F.transform("turns", lambda t: F.struct(t["speaker"].alias("speaker"), t["content"].alias("content"))).alias("turns"))
+
+
+def _own_folder(spark, name):
+    return f"{shared_dir(spark)}/turnmill/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """SELECT task_id, trajectory_id, answer AS gold, final_answer, termination_reason, token_count, n_turns, said
+FROM traj JOIN (SELECT conv_id, count(*) AS n_turns, md5(string_agg(speaker || '|' || content, '|' ORDER BY pos)) AS said FROM turns GROUP BY conv_id) USING (conv_id)""",
+    derived=True,
+)
+def task_lines_round_trip(spark, sf):
+    rows, path = stage(_recorded(spark, sf), "recorded"), _own_folder(spark, "task-lines")
+    tasks.publish_tasks(rows.where("task_id % 3 = 0").withColumn("final_answer", F.lit("replaced below")), path)
+    tasks.publish_tasks(rows, path, replace=True, token="all")
+    tasks.publish_tasks(rows.withColumn("final_answer", F.lit("there already")), path)
+    back = tasks.trajectories(tasks.published_tasks(spark, path))
+    said = F.md5(F.array_join(F.flatten(F.transform("turns", lambda t: F.array(t["speaker"], t["content"]))), "|"))
+    gold = F.get(tasks.gold_answers(F.col("answer"))[0], F.lit(0))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return back.select(long("task_id"), long("trajectory_id"), gold.alias("gold"), "final_answer", "termination_reason", long("token_count"), F.size("turns").cast("long").alias("n_turns"), said.alias("said"))
+
+
+@query("SELECT task_id, trajectory_id, correct_score, round(token_score, 9) AS token_score FROM scored", derived=True)
+def incremental_scores(spark, sf):
+    rows, path = stage(_recorded(spark, sf), "recorded"), _own_folder(spark, "arriving")
+    for part in ("task_id % 2 = 0", "task_id % 3 < 2", "true"):  # tasks come again with each part
+        tasks.write_tasks(rows.where(part), f"{path}/in/{uuid.uuid4().hex}")
+
+        def score(df):
+            answers, is_list = tasks.gold_answers(F.col("answer"))
+            ready = df.drop("correct_score", "token_score", "ppl_score", "reward").withColumns({"answers": answers, "answer_is_list": is_list, "losses": F.array(F.lit(1.0))})
+            return scoring.score(ready, maths=False)
+
+        incremental.score_stream(incremental.stream_tasks(spark, f"{path}/in/*"), f"{path}/out", f"{path}/progress", score).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.col("task_id").cast("long").alias("task_id"), F.col("trajectory_id").cast("long").alias("trajectory_id"), "correct_score", _r("token_score").alias("token_score"))
+
+
+@query(
+    r"""WITH s AS (SELECT conv_id, turn, role, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x: length(x) + 10) AS w FROM conversations WHERE role <> 'system'),
+p AS (SELECT *, CAST(1 + coalesce(sum(len(w) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins, (role = 'user') = (conv_id % 2 = 0) AS own FROM s),
+ids AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 5 + conv_id % 2 AS id FROM (SELECT DISTINCT conv_id FROM s) UNION ALL
+  SELECT conv_id, begins + j - 1 AS i, list_concat(CASE WHEN role = 'user' THEN [1, 2] ELSE [3, 4] END, w)[j] AS id FROM (SELECT *, unnest(generate_series(1, len(w) + 2)) AS j FROM p)),
+r AS (SELECT conv_id, begins + 2 AS reply, row_number() OVER (PARTITION BY conv_id ORDER BY begins) AS k FROM p WHERE own),
+o0 AS (SELECT conv_id, begins AS other FROM p WHERE NOT own),
+o AS (SELECT conv_id, other, row_number() OVER (PARTITION BY conv_id ORDER BY other) AS k FROM (SELECT * FROM o0 UNION ALL
+  SELECT conv_id, 0 FROM (SELECT conv_id, min(other) AS other FROM o0 GROUP BY conv_id) JOIN r USING (conv_id) WHERE k = 1 AND other > reply)),
+z AS (SELECT conv_id, CASE WHEN k = 1 THEN 0 ELSE other END AS a, reply AS b FROM o JOIN r USING (conv_id, k) UNION ALL
+  SELECT conv_id, other, 1000000000 FROM (SELECT conv_id, max(other) AS other, count(*) AS n FROM o GROUP BY conv_id) LEFT JOIN (SELECT conv_id, count(*) AS m FROM r GROUP BY conv_id) USING (conv_id) WHERE coalesce(m, 0) < n),
+l AS (SELECT i.conv_id, i.i, CASE WHEN EXISTS (SELECT 1 FROM z WHERE z.conv_id = i.conv_id AND i.i >= z.a AND i.i < z.b) THEN -100 ELSE i.id END AS label FROM ids i)
+SELECT conv_id, count(*) AS n_ids, count(*) FILTER (label <> -100) AS n_kept, md5(string_agg(label, ',' ORDER BY i)) AS labels FROM l GROUP BY conv_id"""
+)
+def reply_labels(spark, sf):
+    said = table(spark, sf, "conversations").where("role <> 'system'")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    marker = lambda role: F.when(role == "user", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(3), F.lit(4)))
+    turn = lambda t: F.concat(marker(t["role"]), F.transform(X.tokens(t["text"]), lambda w: F.length(w) + 10))
+    ids = said.groupBy("conv_id").agg(ordered.alias("t")).select("conv_id", F.concat(F.array((5 + F.col("conv_id") % 2).cast("int")), F.flatten(F.transform("t", turn))).alias("ids"))
+    out = ids.withColumn("labels", chat.label_replies(F.col("ids"), [1, 2], [3, 4], [5], [6]))
+    kept = F.size(F.filter("labels", lambda x: x != -100))
+    return out.select("conv_id", F.size("ids").cast("long").alias("n_ids"), kept.cast("long").alias("n_kept"), F.md5(F.array_join(F.transform("labels", lambda x: x.cast("string")), ",")).alias("labels"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.types import TASK_LINE
@@ -40,6 +43,49 @@ def write_tasks(df: DataFrame, path: str) -> None:
     nested.orderBy(first("task_id")).write.mode("overwrite").json(path)
 
 
+def publish_tasks(df: DataFrame, path: str, replace: bool = False, token: str | None = None) -> None:
+    """Add trajectories of new tasks to a set of task lines, or put others in place of all of them.
+
+    Lines are written to a folder of their own, in order of task ids; a row of
+    the manifest then makes them count, which is the last step.  A run that
+    fails before leaves readers what they had.  Tasks that the set has are not
+    added again (those without an id count as one task); a token names a run, and one that is done is not done twice.
+    One writer at a time.
+    """
+    spark = df.sparkSession
+    entries = _entries(spark, path)
+    if token is not None and any(e["token"] == token for e in entries):
+        return
+    if not replace and entries:
+        done = published_tasks(spark, path).select(F.col("task_id").alias("_done")).distinct()
+        df = df.join(done, F.col("task_id").eqNullSafe(F.col("_done")), "left_anti")
+    name = uuid.uuid4().hex
+    write_tasks(df, f"{path}/sets/{name}")
+    number = 1 + max((e["number"] for e in entries), default=-1)
+    row = spark.range(1).coalesce(1).select(F.lit(number).alias("number"), F.lit(name).alias("name"), F.lit(replace).alias("replaces"), F.lit(token).cast("string").alias("token"))
+    row.write.mode("append").json(f"{path}/manifest")
+
+
+def published_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """The task lines that the manifest names: the last set that replaced others, and those added since."""
+    entries = sorted(_entries(spark, path), key=lambda e: e["number"])
+    since = max((k for k, e in enumerate(entries) if e["replaces"]), default=0)
+    names = [f"{path}/sets/{e['name']}" for e in entries[since:]]
+    if not names:
+        return spark.createDataFrame([], TASK_LINE)
+    return spark.read.schema(TASK_LINE).option("mode", "DROPMALFORMED").json(names)
+
+
+def _entries(spark: SparkSession, path: str) -> list[Row]:
+    """The rows of a manifest, one for each run that wrote to it."""
+    try:
+        return spark.read.schema("number int, name string, replaces boolean, token string").json(f"{path}/manifest").collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
 def write_splits(df: DataFrame, path: str, by: tuple[str, ...] = ("split",)) -> None:
     """Parquet, a folder for each split; a typed empty table keeps its schema."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
