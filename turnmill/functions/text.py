@@ -95,6 +95,7 @@ def normalize_answer(text: Column) -> Column:
     out = F.element_at(F.split(text, "="), -1)
     for before, after in SUBSTITUTIONS + [(x, "") for x in REMOVED_EXPRESSIONS]:
         out = F.replace(out, F.lit(before), F.lit(after))
+    # Patterns and what stays of them, in this order.
     for pattern, kept in [
         (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
         (r"(\\text\{)(.*?)(\})", "$2"),

@@ -21,6 +21,11 @@ SPLITS = {
 
 _OUT = ["question", "answers", "answer_is_list", "context_first", "context_second", "data_type", "dataset_name", "score_type"]
 
+# What the questions of these sets end with, around the options.
+CHOOSE = "\nPlease choose your answer from "
+SELECT = "\nYou need to select an answer from the options "
+SELECT_END = " to fill in the _."
+
 
 def _tasks(df: DataFrame, name: str, data_type: str, score_type: str, *extra: str) -> DataFrame:
     return df.withColumns({"data_type": F.lit(data_type), "dataset_name": F.lit(name), "score_type": F.lit(score_type)}).select(*extra, *_OUT)
@@ -92,7 +97,7 @@ def cbt(df: DataFrame, key: str = "id") -> DataFrame:
     half = F.floor(F.size("sentences") / 2).cast("int")
     out = df.select(
         key,
-        F.concat(F.col("question"), F.lit("\nPlease choose your answer from "), listed(F.col("options")), F.lit(" ")).alias("question"),
+        F.concat(F.col("question"), F.lit(CHOOSE), listed(F.col("options")), F.lit(" ")).alias("question"),
         F.array("answer").alias("answers"),
         F.lit(False).alias("answer_is_list"),
         F.slice("sentences", F.lit(1), half).alias("context_first"),
@@ -131,12 +136,12 @@ def math(df: DataFrame, key: str = "id") -> DataFrame:
 def arc(df: DataFrame, key: str = "id") -> DataFrame:
     """The gold answer is the text of the key's choice."""
     gold = F.try_element_at(F.map_from_arrays("choices.label", "choices.text"), F.col("answerKey"))
-    out = _no_context(df.select(key, F.concat(F.col("question"), F.lit("\nPlease choose your answer from "), listed(F.col("choices.text"))).alias("question"), F.array(gold).alias("answers")))
+    out = _no_context(df.select(key, F.concat(F.col("question"), F.lit(CHOOSE), listed(F.col("choices.text"))).alias("question"), F.array(gold).alias("answers")))
     return _tasks(out, "arc", "debate", "exact-match", key)
 
 
 def mmlu(df: DataFrame, arc_questions: DataFrame, seed: str = "42", key: str = "id") -> DataFrame:
     """Questions that the other set lacks, in md5 order (order_key); the answer is a place among the choices."""
     fresh = df.join(arc_questions.select("question").distinct(), "question", "left_anti")
-    out = _no_context(fresh.select(key, shuffle_key(seed, F.col(key)).alias("order_key"), F.concat(F.col("question"), F.lit("\nYou need to select an answer from the options "), listed(F.col("choices")), F.lit(" to fill in the _.")).alias("question"), F.array(F.get("choices", F.col("answer").cast("int"))).alias("answers")))
+    out = _no_context(fresh.select(key, shuffle_key(seed, F.col(key)).alias("order_key"), F.concat(F.col("question"), F.lit(SELECT), listed(F.col("choices")), F.lit(SELECT_END)).alias("question"), F.array(F.get("choices", F.col("answer").cast("int"))).alias("answers")))
     return _tasks(out, "mmlu", "debate", "exact-match", key, "order_key")
