@@ -1,7 +1,7 @@
 import random
 
 from turnmill.operators import replay
-from turnmill.plans import fixture, queries
+from turnmill.plans import fixture, records
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def test_distance():
 
 def test_query_merges_whole_turns(spark):
     said = {(r["task_id"], t["content"]) for r in fixture.trajectories(spark, SF).collect() for t in r["turns"]}
-    got = {(r["task_id"], r["content"]) for r in queries.tree_replay(spark, SF).where("depth > 0").collect()}
+    got = {(r["task_id"], r["content"]) for r in records.replayed(spark, SF).where("depth > 0").collect()}
     assert got <= said and max(len(content) for _, content in got) > 400
 
 
@@ -72,7 +72,7 @@ def test_trees_as_by_the_rule(spark):
 def test_the_query_over_the_fixture(spark):
     rows = [(r["task_id"], r["conv_id"], r["reward"], [t["content"] for t in r["turns"]]) for r in fixture.scored(spark, SF).collect()]
     # Whole distances of long turns are slow here; texts that differ much in length or characters are no closer than that.
-    assert got_of(queries.tree_replay(spark, SF)) == replayed_quickly(rows)
+    assert got_of(records.replayed(spark, SF)) == replayed_quickly(rows)
 
 
 def replayed_quickly(rows):

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import latex
 from turnmill.functions import text as X
+from turnmill.staging import stage
+
+from .quantiles import exact_quantiles
+from .selection import numbered
 
 
 def has_repeats(conversation: Column) -> Column:
@@ -18,25 +22,39 @@ def has_repeats(conversation: Column) -> Column:
 def run_summary(df: DataFrame) -> DataFrame:
     """One row of counts, means and medians; missing scores count as 0."""
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    return df.agg(
+    named = {c: zero(c).alias(c) for c in ("correct_score", "reward", "token_count", "name_penalty")}
+    answered = F.coalesce("final_answer", F.lit("")) != ""
+    rows = stage(df.select(*named.values(), answered.alias("_answered"), has_repeats(F.col("conversation")).alias("_repeats")), "summary")
+    return rows.agg(
         F.count("*").alias("trajectories"),
-        F.avg(zero("correct_score")).alias("mean_correct_score"),
-        F.count_if(zero("correct_score") == 1.0).alias("fully_correct"),
-        F.avg(zero("reward")).alias("mean_reward"),
-        F.avg(zero("token_count")).alias("mean_tokens"),
-        F.median(zero("token_count")).alias("median_tokens"),
-        F.count_if(F.coalesce("final_answer", F.lit("")) != "").alias("parsed_answer"),
-        F.count_if(zero("name_penalty") < 0).alias("name_penalized"),
-        F.count_if(has_repeats(F.col("conversation"))).alias("duplicate_trajectory"),
+        F.avg("correct_score").alias("mean_correct_score"),
+        F.count_if(F.col("correct_score") == 1.0).alias("fully_correct"),
+        F.avg("reward").alias("mean_reward"),
+        F.avg("token_count").alias("mean_tokens"),
+        F.lit(_median(rows, "token_count")).cast("double").alias("median_tokens"),
+        F.count_if("_answered").alias("parsed_answer"),
+        F.count_if(F.col("name_penalty") < 0).alias("name_penalized"),
+        F.count_if("_repeats").alias("duplicate_trajectory"),
     )
 
 
+def _median(df: DataFrame, column: str) -> float | None:
+    """The median of a staged table's column; None without values."""
+    found = exact_quantiles(df, column, {"median": 0.5}).first()
+    return None if found is None else found["median"]
+
+
 def histogram(df: DataFrame, column: str, ordered: bool = False) -> DataFrame:
     """How often each value occurs; ordered: the most frequent first, equals by value."""
     out = df.groupBy(column).agg(F.count("*").alias("n"))
     return out.orderBy(F.desc("n"), column) if ordered else out
 
 
+def most_common(df: DataFrame, column: str) -> DataFrame:
+    """The histogram with each value's place from 0, the most frequent first, equals by value; for many values too."""
+    return numbered(histogram(df, column), "n", [column], [], "place", "_values", True).drop("_values")
+
+
 def lift(df: DataFrame, values: list[str], selected: str = "selected") -> DataFrame:
     """Means of selected and other rows; nulls are skipped."""
     return df.groupBy(selected).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"mean_{v}") for v in values])
@@ -91,16 +109,25 @@ def consistency_curve(df: DataFrame, rounds: int) -> DataFrame:
 def token_budget(df: DataFrame, quantile: float = 0.85, by: list[str] | None = None) -> DataFrame:
     """floor of the exact, interpolated quantile of tokens (to six places) plus one; results that ended in error or too large are left out."""
     usable = df.where(~F.col("termination_reason").isin("error", "large"))
-    return usable.groupBy(*(by or [])).agg((F.floor(F.round(F.percentile("token_count", F.lit(quantile)), 6)) + 1).alias("budget"))
+    at = exact_quantiles(usable, "token_count", {"_at": quantile}, by)
+    return at.select(*(by or []), (F.floor(F.round("_at", 6)) + 1).alias("budget"))
 
 
 def compare_exact(df: DataFrame) -> DataFrame:
     """Exact matches by the report's normaliser, and those that the reward counts as fully correct, over trajectories."""
-    hit = X.exact_report(F.col("final_answer")) == X.exact_report(F.col("answer"))
-    full = F.coalesce(F.col("correct_score"), F.lit(0.0)) == 1.0
+    said = X.exact_report(F.col("final_answer")) == X.exact_report(F.col("answer"))
+    rows = stage(
+        df.select(
+            said.alias("_hit"),
+            (F.coalesce(F.col("correct_score"), F.lit(0.0)) == 1.0).alias("_full"),
+            F.coalesce(F.col("token_count"), F.lit(0)).alias("_tokens"),
+            (F.coalesce("final_answer", F.lit("")) != "").alias("_answered"),
+        ),
+        "compared",
+    )
+    hit, full, tokens = F.col("_hit"), F.col("_full"), F.col("_tokens")
     share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
-    tokens = F.coalesce(F.col("token_count"), F.lit(0))
-    return df.agg(
+    return rows.agg(
         F.count("*").alias("trajectories"),
         F.count_if(hit).alias("raw_exact_correct"),
         share(hit).alias("raw_exact_accuracy"),
@@ -108,8 +135,8 @@ def compare_exact(df: DataFrame) -> DataFrame:
         share(full).alias("reward_qualified_accuracy"),
         (F.count_if(hit) - F.count_if(full)).alias("correct_but_format_penalized"),
         F.coalesce(F.avg(tokens), F.lit(0.0)).alias("mean_tokens"),
-        F.coalesce(F.median(tokens), F.lit(0.0)).alias("median_tokens"),
-        F.count_if(F.coalesce("final_answer", F.lit("")) != "").alias("parsed_answer"),
+        F.lit(_median(rows, "_tokens") or 0.0).alias("median_tokens"),
+        F.count_if("_answered").alias("parsed_answer"),
     )
 
 

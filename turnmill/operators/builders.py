@@ -192,6 +192,18 @@ def tree_records(edges: DataFrame, prompts: DataFrame, max_depth: int | None = N
     return nodes.select("task_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child_id"), F.concat(F.array(prompt), "prefix").alias("conversation"), "value")
 
 
+def legacy_tree_pairs(edges: DataFrame, pairs: DataFrame, prompts: DataFrame) -> DataFrame:
+    """The older pairs of a tree, not told apart by speaker: whole conversations from the prompt to the better and the worse child.
+
+    pairs are those of ``tree_pairs`` over the edges; prompts as in ``tree_records``, by the depth of the state.
+    """
+    ways = node_prefixes(edges).select("task_id", F.col("node_id").alias("state_id"), F.col("depth").alias("_depth"), "prefix")
+    rows = pairs.join(ways, ["task_id", "state_id"]).join(prompts, "task_id")
+    prompt = F.when(F.col("_depth") % 2 == 0, F.col("prompt_first")).otherwise(F.col("prompt_second"))
+    told = lambda c: F.concat(F.array(prompt), F.col("prefix"), F.array(c)).alias(c)
+    return rows.select("task_id", "state_id", told("chosen"), told("rejected"), "chosen_value", "distance")
+
+
 def root_pair(edges: DataFrame, min_value: float = DEFAULTS.min_value, min_gap: float = DEFAULTS.min_gap) -> DataFrame:
     """The pair of a root's best and worst child, if it passes both strict thresholds (the older format pair)."""
     from .pairs import extremes

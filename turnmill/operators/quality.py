@@ -149,6 +149,14 @@ def fields_present(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(found, "check string, status string, value double")
 
 
+def field_checks(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """How many results of raw task lines (value) lack each field; one that is there may be null.  Lines that are no JSON are passed over."""
+    raw = F.from_json("value", "results array<string>")["results"]
+    keys = lines.select(F.explode(raw).alias("r")).select(F.json_object_keys("r").alias("keys")).where("keys is not null")
+    one = keys.agg(*[F.count_if(~F.array_contains("keys", f)).alias(f"_{k}") for k, f in enumerate(fields)])
+    return _rows(one, {f"field_{f}": (F.col(f"_{k}"), F.when(F.col(f"_{k}") == 0, "PASS").otherwise("FAIL")) for k, f in enumerate(fields)})
+
+
 def pair_checks(pairs: DataFrame, min_value: float, min_gap: float) -> DataFrame:
     """How many pairs and states there are, and whether every pair passes both strict thresholds."""
     bad = (F.col("chosen_value") <= min_value) | (F.col("distance") <= min_gap)

@@ -70,11 +70,13 @@ def score(df: DataFrame, lambda1: float = DEFAULTS.lambda1, lambda2: float = DEF
 
     df has task_id, conversation, token_count, losses, answers, answer_is_list,
     final_answer and score_type.  token_cap replaces the most tokens of the task.
-    mode "legacy" takes the older format rule; the oldest local scorer's cutoff is long_tokens=500.
+    mode "legacy" takes the older format rule, and a task all of whose conversations are too large is an
+    error; the oldest local scorer's cutoff is long_tokens=500.
     maths=False keeps the plan free of Python where no row is scored as maths.
     """
     is_large = F.array_contains("conversation", "large")
-    most = F.lit(float(token_cap)) if token_cap is not None else F.coalesce(F.max(F.when(~is_large, F.col("token_count"))).over(Window.partitionBy("task_id")), F.lit(1)).cast("double")
+    none = F.raise_error(F.concat(F.lit("all conversations are too large in task "), F.coalesce(F.col("task_id").cast("string"), F.lit("null")))).cast("int") if mode == "legacy" else F.lit(1)
+    most = F.lit(float(token_cap)) if token_cap is not None else F.coalesce(F.max(F.when(~is_large, F.col("token_count"))).over(Window.partitionBy("task_id")), none).cast("double")
     said = F.filter("conversation", lambda s: s != "large")
     offence = format_offence(said, check_names, mode)
     judged = F.lit(cal_ppl) & (F.col("token_count") <= long_tokens) & (F.size(said) > 0)
@@ -121,8 +123,27 @@ def effective_reward(reward: Column, penalty: Column) -> Column:
 
 
 def perplexity_reward(logprobs: Column) -> Column:
-    """exp of the mean negative log probability."""
-    return F.exp(-F.aggregate(logprobs, F.lit(0.0), lambda s, x: s + x) / F.size(logprobs))
+    """exp of the mean negative log probability; null without any."""
+    return F.exp(-F.aggregate(logprobs, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(logprobs), F.lit(0)))
+
+
+def perplexity_score(sentences: Column, lambda2: float = DEFAULTS.lambda2) -> Column:
+    """The oldest fluency term: lambda2 over the highest perplexity of some sentences, each the log probabilities of its tokens.
+
+    A sentence's first token has none and is left out; sentences of one token do not count, and without others the term is null.
+    """
+    each = F.transform(sentences, lambda s: perplexity_reward(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0)))))
+    return F.lit(float(lambda2)) / F.array_max(each)
+
+
+def mean_loss(losses: Column, mode: str = "current") -> Column:
+    """The mean of the losses of a text's tokens, the first token aside, over those that are not 0 (padding); null if all are.
+
+    mode "legacy": the first four of them do not count.
+    """
+    kept = F.slice(losses, F.lit(5), F.greatest(F.size(losses) - 4, F.lit(0))) if mode == "legacy" else losses
+    told = F.filter(kept, lambda x: x != 0)
+    return F.aggregate(told, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(told), F.lit(0))
 
 
 def legacy_clean(conversation: Column, penalty: float = DEFAULTS.name_penalty) -> Column:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.functions import chat, latex
@@ -18,26 +16,9 @@ from turnmill.types import Settings
 
 from . import fixture
 from .fixture import table
+from .register import ORACLES, QUERIES, query
 
 S = Settings()
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, derived: bool = False) -> Callable[[Query], Query]:
-    """Register a query by its function's name; derived: its SQL stands on the fixture's tables."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            body = sql.strip()
-            if derived:
-                body = f"WITH {fixture.SQL.strip()}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}"
-            ORACLES[f.__name__] = body
-        return f
-
-    return add
 
 
 def _r(c, digits: int = 9):
@@ -494,14 +475,14 @@ def quality_checks(spark, sf):
 
 
 @query(
-    r"""WITH tt AS (SELECT avg(CASE WHEN regexp_matches(content, '^\s*\**\s*' || speaker || '\s*:') THEN 1.0 ELSE 0.0 END)::DOUBLE AS pre, (count(*) FILTER (conv_id % 5 = 0 AND pos = 3))::DOUBLE AS blank, (count(*) FILTER ((conv_id + pos) % 29 = 0))::DOUBLE AS cut FROM
+    r"""WITH tt AS (SELECT avg(CASE WHEN regexp_matches(content, '^\s*\**\s*' || speaker || '\s*:') THEN 1.0 ELSE 0.0 END)::DOUBLE AS pre, (count(*) FILTER (conv_id % 5 = 0 AND pos = 3))::DOUBLE AS blank, (count(*) FILTER ((conv_id + pos) % 29 = 0))::DOUBLE AS cut, (count(*) FILTER (conv_id % 9 = 4 AND pos IN (1, 2) AND NOT (conv_id % 5 = 0 AND pos = 3)))::DOUBLE AS odd FROM
   (SELECT conv_id, pos, speaker, CASE WHEN conv_id % 5 = 0 AND pos = 3 THEN ' ' ELSE content END AS content FROM turns)),
 pl AS (SELECT conv_id, pos, lower(regexp_replace(regexp_replace(content, '^\s*\**\s*(Alice|Bob)\s*:\s*', ''), '^\s+|\s+$', '', 'g')) AS plain FROM turns),
 rp AS (SELECT conv_id, count(*) > count(DISTINCT plain) AS twice FROM pl WHERE plain <> '' GROUP BY conv_id),
 cc AS (SELECT (count(*) FILTER (name_pos IS NOT NULL))::DOUBLE AS mix, avg(coalesce(twice, false)::INTEGER)::DOUBLE AS rep FROM traj LEFT JOIN rp USING (conv_id))
 SELECT 'name_prefix_rate' AS "check", CASE WHEN pre >= 0.99 THEN 'PASS' WHEN pre >= 0.9 THEN 'WARN' ELSE 'FAIL' END AS status, round(pre, 9) AS value FROM tt
 UNION ALL SELECT 'blank_turns', CASE WHEN blank = 0 THEN 'PASS' ELSE 'FAIL' END, blank FROM tt
-UNION ALL SELECT 'mojibake_turns', 'PASS', 0.0::DOUBLE
+UNION ALL SELECT 'mojibake_turns', CASE WHEN odd = 0 THEN 'PASS' ELSE 'WARN' END, odd FROM tt
 UNION ALL SELECT 'truncated_turns', CASE WHEN cut = 0 THEN 'PASS' ELSE 'WARN' END, cut FROM tt
 UNION ALL SELECT 'name_mixing', CASE WHEN mix = 0 THEN 'PASS' ELSE 'WARN' END, mix FROM cc
 UNION ALL SELECT 'duplicate_rate', """
@@ -510,7 +491,9 @@ UNION ALL SELECT 'duplicate_rate', """
     derived=True,
 )
 def quality_checks_turns(spark, sf):
-    blank = F.when((F.col("conv_id") % 5 == 0) & (F.col("pos") == 3), F.lit(" ")).otherwise(F.col("content"))
+    odd = (F.col("conv_id") % 9 == 4) & F.col("pos").isin(1, 2)  # a replacement character, or one below a tab
+    said = F.when(odd, F.concat("content", F.when(F.col("pos") == 1, F.lit("\ufffd")).otherwise(F.lit("\x03")))).otherwise(F.col("content"))
+    blank = F.when((F.col("conv_id") % 5 == 0) & (F.col("pos") == 3), F.lit(" ")).otherwise(said)
     turns = fixture.turns(spark, sf).withColumns({"content": blank, "finish_reason": F.when((F.col("conv_id") + F.col("pos")) % 29 == 0, "length").otherwise("stop")})
     both = quality.turn_checks(turns).unionByName(quality.conversation_checks(fixture.trajectories(spark, sf)))
     return both.withColumn("value", _r("value"))
@@ -707,14 +690,16 @@ def chat_pairs(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT conv_id, turn, role, max(turn) OVER (PARTITION BY conv_id) AS last, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opens, '<|' || role || '|>' || chr(10) || text || '</s>' || chr(10) AS r FROM conversations)
-SELECT conv_id, md5(CASE WHEN any_value(opens) = 'system' AND max(last) > 0 THEN '' ELSE '<|system|>' || chr(10) || '</s>' || chr(10) END || coalesce(string_agg(CASE WHEN turn < last THEN r END, '' ORDER BY turn), '')) AS prompt, md5(max(CASE WHEN turn = last THEN r END)) AS chosen, md5(max(CASE WHEN turn = last THEN r END)) AS rejected,
+    """WITH m AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opens, '<|' || role || '|>' || chr(10) || text || '</s>' || chr(10) AS r FROM conversations)
+SELECT conv_id, md5(CASE WHEN any_value(opens) = 'system' AND max(last) > 0 THEN '' ELSE '<|system|>' || chr(10) || '</s>' || chr(10) END || coalesce(string_agg(CASE WHEN turn < last THEN r END, '' ORDER BY turn), '')) AS prompt, md5(max(CASE WHEN turn = last THEN r END)) AS chosen, md5(max(CASE WHEN turn = last THEN replace(r, text, 'no ' || conv_id) END)) AS rejected,
 md5(CASE WHEN any_value(opens) = 'system' THEN '' ELSE '<|system|>' || chr(10) || '</s>' || chr(10) END || string_agg(r, '' ORDER BY turn) || '<|assistant|>' || chr(10)) AS generation FROM m GROUP BY conv_id"""
 )
 def chat_task_formats(spark, sf):
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     nested = table(spark, sf, "conversations").groupBy("conv_id").agg(ordered.alias("t")).withColumn("messages", F.transform("t", lambda x: chat.message(x["role"], x["text"])))
-    dpo = builders.chat_task(nested.withColumns({"chosen": F.col("messages"), "rejected": F.col("messages")}), "dpo")
+    last = F.element_at("messages", -1)
+    worse = F.concat(chat.prompt_part(F.col("messages")), F.array(chat.message(last["role"], F.concat(F.lit("no "), F.col("conv_id").cast("string")))))
+    dpo = builders.chat_task(nested.withColumns({"chosen": F.col("messages"), "rejected": worse}), "dpo")
     out = builders.chat_task(dpo, "generation")
     return out.select("conv_id", F.md5("text_prompt").alias("prompt"), F.md5("text_chosen").alias("chosen"), F.md5("text_rejected").alias("rejected"), F.md5("text").alias("generation"))
 
@@ -894,13 +879,6 @@ def f1_cluster(spark, sf):
     return replay.cluster_by_f1(fixture.trajectories(spark, sf).select("task_id", F.col("trajectory_id").alias("pos"), F.coalesce("final_answer", F.lit("")).alias("final_answer")))
 
 
-@query()
-def tree_replay(spark, sf):
-    df = fixture.scored(spark, sf)
-    said = F.transform("turns", lambda t: t["content"])
-    return replay.replay_tree(df.select("task_id", F.col("conv_id").alias("rollout"), "reward", said.alias("contents")))
-
-
 # Loaders, over sources made from the test tables
 
 

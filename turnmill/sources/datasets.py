@@ -27,6 +27,13 @@ SELECT = "\nYou need to select an answer from the options "
 SELECT_END = " to fill in the _."
 
 
+def split_name(dataset: Column, phase: Column) -> Column:
+    """The split of a dataset that a phase reads; null where there is none."""
+    named = [(p, d, s) for p, of in SPLITS.items() for d, s in of.items()]
+    table = F.create_map(*[F.lit(x) for p, d, s in named for x in (f"{p}|{d}", s)])
+    return F.try_element_at(table, F.concat(phase, F.lit("|"), dataset))
+
+
 def _tasks(df: DataFrame, name: str, data_type: str, score_type: str, *extra: str) -> DataFrame:
     return df.withColumns({"data_type": F.lit(data_type), "dataset_name": F.lit(name), "score_type": F.lit(score_type)}).select(*extra, *_OUT)
 

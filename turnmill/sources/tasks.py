@@ -5,12 +5,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnmill.types import TASK_LINE
 
 
+#: Reports are read by people and pass through the driver.
+REPORT_ROWS = 10_000
+
+
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Task lines; lines that are no JSON are passed over."""
     return spark.read.schema(TASK_LINE).option("mode", "DROPMALFORMED").json(path)
@@ -97,21 +101,71 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 
 def transcripts(df: DataFrame) -> DataFrame:
-    """A readable text of each trajectory."""
-    turn = F.transform("turns", lambda t, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] "), t["speaker"], F.lit(": "), t["content"]))
-    head = F.concat_ws("\n", F.format_string("Task %s, trajectory %s", F.col("task_id").cast("string"), F.col("trajectory_id").cast("string")), F.concat(F.lit("Question: "), F.coalesce("question", F.lit(""))), F.concat(F.lit("Answer: "), F.coalesce("final_answer", F.lit(""))), F.concat(F.lit("Ended: "), F.coalesce("termination_reason", F.lit(""))))
-    return df.select("task_id", "trajectory_id", F.concat(head, F.lit("\n\n"), F.array_join(turn, "\n")).alias("text"))
-
+    """A readable text of each trajectory, under a name of its own: what it was about, how it ended and scored, prompts, turns.
 
-def sample_listing(df: DataFrame, count: int = 5, width: int = 200) -> DataFrame:
-    """The first few rows, texts cut to a width."""
+    Columns that df lacks and values that are null leave their lines out.  Write
+    the texts with ``partitionBy("task_id")`` or as they are; a merged file is the table itself.
+    """
+    shown = lambda x: F.coalesce(x.cast("string"), F.lit("none"))
+
+    def line(label: str, *columns: str) -> Column:
+        there = [F.col(c).cast("string") for c in columns if c in df.columns]
+        return F.concat(F.lit(f"{label}: "), *[x for pair in zip(there, [F.lit(", ")] * len(there), strict=True) for x in pair][:-1]) if there else F.lit(None).cast("string")
+
+    def turn(t: Column, k: Column) -> Column:
+        about = F.concat(F.lit(" ("), shown(t["token_count"]), F.lit(" tokens, answer "), shown(t["parsed_answer"]), F.lit(", finish "), shown(t["finish_reason"]), F.lit(")"))
+        return F.concat(F.lit("\n["), (k + 1).cast("string"), F.lit("] "), F.coalesce(t["speaker"], F.lit("")), about, F.lit("\n"), F.coalesce(t["content"], F.lit("")))
+
+    head = F.format_string("Task %s, trajectory %s", F.col("task_id").cast("string"), F.col("trajectory_id").cast("string"))
+    large = F.when(F.array_contains("conversation", "large"), F.lit("\n(a turn went over the limit)")) if "conversation" in df.columns else F.lit(None).cast("string")
+    text = F.concat_ws(
+        "\n",
+        head,
+        line("Data", "dataset_name", "data_type", "score_type"),
+        line("Question", "question"),
+        line("Gold answer", "answer"),
+        line("Answer", "final_answer"),
+        line("Ended", "termination_reason"),
+        line("Tokens", "token_count"),
+        line("Reward", "reward", "correct_score", "token_score", "ppl_score"),
+        line("Penalty", "name_penalty"),
+        line("Rank", "rank"),
+        line("First prompt", "system_first"),
+        line("Second prompt", "system_second"),
+        F.array_join(F.transform("turns", turn), "\n"),
+        large,
+    )
+    name = F.concat(F.lit("task_"), _padded(F.col("task_id"), 5), F.lit("_traj_"), _padded(F.coalesce("trajectory_id", F.lit(0)), 2), F.lit(".txt"))
+    return df.select("task_id", "trajectory_id", name.alias("name"), text.alias("text"))
+
+
+def _padded(number: Column, width: int) -> Column:
+    """A number with zeros in front; longer ones stay whole."""
+    text = F.coalesce(number.cast("string"), F.lit("none"))
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def sample_listing(df: DataFrame, order: list[str], count: int = 5, width: int = 160, by: str | None = None) -> DataFrame:
+    """The first few rows in an order, of all or of each group (such as selected or not); texts are on one line, cut to a width."""
     strings = {c for c, kind in df.dtypes if kind == "string"}
-    return df.limit(count).select(*[F.substring(c, 1, width).alias(c) if c in strings else F.col(c) for c in df.columns])
+    if by is None:
+        first = df.orderBy(*order).limit(count)
+    else:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+        first = df.withColumn("_place", place).where(F.col("_place") <= count).drop("_place")
+
+    def cut(c: str) -> Column:
+        line = F.replace(F.col(c), F.lit("\n"), F.lit(" "))
+        return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width), F.lit(" …"))).otherwise(line).alias(c)
+
+    return first.select(*[cut(c) if c in strings and c != by else F.col(c) for c in df.columns])
 
 
 def render_report(summary: DataFrame, title: str) -> str:
-    """A small aggregated table as Markdown."""
-    rows = summary.collect()
+    """A small aggregated table as Markdown; one of more rows than a report holds is an error."""
+    rows = summary.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report holds at most {REPORT_ROWS} rows")
     head = "| " + " | ".join(summary.columns) + " |"
     line = "|" + "---|" * len(summary.columns)
     body = ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
