@@ -5,12 +5,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnmill.operators import analysis, quality, scoring
+from turnmill.operators import analysis, quality, quantiles, scoring
 from turnmill.operators.quantiles import exact_quantiles
 from turnmill.sources import datasets, tasks
 
 
-def test_quantiles_are_exact(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_quantiles_are_exact(spark, monkeypatch, small):
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
     rnd = random.Random(4)
     groups = {
         "spread": [rnd.uniform(-1e6, 1e6) for _ in range(4000)],
@@ -35,8 +37,7 @@ def test_quantiles_are_exact(spark):
 
 
 def test_quantiles_where_the_sketch_is_wrong(spark, monkeypatch):
-    from turnmill.operators import quantiles
-
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 0)
     monkeypatch.setattr(quantiles, "ACCURACY", 5)
     monkeypatch.setattr(quantiles, "MARGIN", 0.0)  # the bounds meet, so the rows next to a quantile lie in other parts
     monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 0)
@@ -91,7 +92,7 @@ def test_listings_and_transcripts(spark):
     one = spark.createDataFrame([(123456, 7, None, ["a", "large"], [("Bob", "hi", 2, None, "stop")], 1.5)], f"task_id int, trajectory_id int, question string, conversation array<string>, turns {turn}, reward double")
     told = tasks.transcripts(one).first()
     assert told["name"] == "task_123456_traj_07.txt"
-    assert told["text"] == "Task 123456, trajectory 7\nReward: 1.5\n\n[1] Bob (2 tokens, answer none, finish stop)\nhi\n\n(a turn went over the limit)"
+    assert told["text"] == "Task 123456, trajectory 7\nReward: 1.5\n\n[1] Bob: hi\n(2 tokens, answer none, finish stop)\n\n(a turn went over the limit)"
 
 
 def test_reports_hold_few_rows(spark, monkeypatch):

@@ -91,3 +91,10 @@ def test_within_agrees_with_whole_distances():
     for _ in range(2000):
         a, b, most = make(), make(), rnd.randrange(-1, 6)
         assert replay.within(a, b, most) == (plain(a, b) <= max(most, 0) if a == b or most >= 0 else False)
+
+
+def test_trees_with_nulls(spark):
+    rows = [(None, 2, None, ["a", None]), (None, None, 4.0, None), (None, 1, 1.0, ["a", ""])]
+    df = spark.createDataFrame(rows, "task_id int, rollout int, reward double, contents array<string>")
+    got = {r["node_id"]: (r["parent_id"], r["content"], r["value"], r["visits"]) for r in replay.replay_tree(df, 0.1).collect()}
+    assert got == {"node_0": (None, "", 2.5, 3), "node_1": ("node_0", "a", 1.0, 2), "node_2": ("node_1", "", 1.0, 2)}

@@ -13,6 +13,8 @@ from turnmill.staging import stage
 ACCURACY = 10_000
 MARGIN = 4 / ACCURACY
 BROADCAST_GROUPS = 100_000
+#: Where no group has more values, Spark's own exact quantile holds that many at most.
+SMALL_GROUP = 100_000
 
 
 def exact_quantiles(df: DataFrame, column: str, quantiles: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -21,16 +23,21 @@ def exact_quantiles(df: DataFrame, column: str, quantiles: dict[str, float], by:
     Nulls do not count.  A sketch of each group gives two bounds around each quantile, which part its values in
     three.  The parts are counted, so that it is known in which of them the two
     rows next to the quantile lie and at what place; the values of that part alone, as a rule a
-    few in ten thousand, are then counted one by one and summed up in order.
+    few in ten thousand, are then counted one by one and summed up in order.  Groups
+    that are all small, which is counted, need none of this.
     """
     keys = [f"_q_by{k}" for k in range(len(by or []))] or ["_q_by0"]
     named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)] if by else [F.lit(0).alias("_q_by0")]
     values = stage(df.select(*named, F.col(column).cast("double").alias("_q_v")).where("_q_v is not null"), "values")
     names = list(quantiles)
+    whole = values.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("groups")).first()
+    if (whole["most"] or 0) <= SMALL_GROUP:
+        exact = values.groupBy(*keys).agg(*[F.percentile("_q_v", F.lit(float(q))).alias(n) for n, q in quantiles.items()])
+        return exact.select(*[F.col(k).alias(c) for c, k in zip(by or [], keys, strict=False)], *names)
+    few = whole["groups"] <= BROADCAST_GROUPS
     shares = [s for q in quantiles.values() for s in (max(q - MARGIN, 0.0), min(q + MARGIN, 1.0))]
     sketch = F.percentile_approx("_q_v", shares, ACCURACY)
     groups = stage(values.groupBy(*keys).agg(F.count("*").alias("_q_n"), sketch.alias("_q_cuts")), "sketches")
-    few = groups.count() <= BROADCAST_GROUPS
 
     def part(k: int) -> Column:
         low, high = (F.get(F.col("_q_cuts"), F.lit(2 * k + side)) for side in (0, 1))

@@ -1,4 +1,4 @@
-"""Order-dependent steps over the rollouts of a task, as grouped pandas functions.
+"""Order-dependent steps over the rollouts of a task, as grouped Arrow and pandas functions.
 
 Groups are the rollouts of one task, bounded by the search budget.
 """
@@ -9,6 +9,7 @@ import math
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from turnmill.shipping import ship
@@ -62,15 +63,20 @@ def replay_tree(rollouts: DataFrame, share: float = DEFAULTS.merge_share) -> Dat
 
     In order of rollout, each turn joins the first child of the node it is at
     whose content is within an edit share (over the new length plus one), or
-    becomes a new child.  Values are means over the rollouts that cross a node.
+    becomes a new child.  Values are means over the rollouts that cross a node,
+    of those with a reward; null contents are none, and a null turn is an empty one.
     """
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rollout", kind="stable")
+    def mean(rewards: list[float | None]) -> float | None:
+        known = [r for r in rewards if r is not None]
+        return sum(known) / len(known) if known else None
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: (r["rollout"] is None, r["rollout"]))
         nodes = [{"parent": None, "depth": 0, "content": "", "children": [], "rewards": []}]
-        for contents, reward in zip(rows["contents"], rows["reward"], strict=True):
+        for row in rows:
             at, path = 0, [0]
-            for content in contents:
+            for content in (c or "" for c in row["contents"] or []):
                 most = math.ceil(share * (len(content) + 1)) - 1
                 child = next((c for c in nodes[at]["children"] if within(nodes[c]["content"], content, most)), None)
                 if child is None:
@@ -80,23 +86,23 @@ def replay_tree(rollouts: DataFrame, share: float = DEFAULTS.merge_share) -> Dat
                 at = child
                 path.append(at)
             for k in path:
-                nodes[k]["rewards"].append(reward)
-        return pd.DataFrame(
+                nodes[k]["rewards"].append(row["reward"])
+        return pa.table(
             {
-                "task_id": rows["task_id"].iloc[0],
+                "task_id": pa.array([rows[0]["task_id"]] * len(nodes), group.schema.field("task_id").type),
                 "node_id": [f"node_{k}" for k in range(len(nodes))],
-                "parent_id": [None if n["parent"] is None else f"node_{n['parent']}" for n in nodes],
-                "depth": [n["depth"] for n in nodes],
-                "seq": range(len(nodes)),
+                "parent_id": pa.array([None if n["parent"] is None else f"node_{n['parent']}" for n in nodes], pa.string()),
+                "depth": pa.array([n["depth"] for n in nodes], pa.int32()),
+                "seq": pa.array(range(len(nodes)), pa.int32()),
                 "content": [n["content"] for n in nodes],
-                "value": [sum(n["rewards"]) / len(n["rewards"]) for n in nodes],
+                "value": pa.array([mean(n["rewards"]) for n in nodes], pa.float64()),
                 "visits": [len(n["rewards"]) for n in nodes],
             }
         )
 
     ship(rollouts.sparkSession)
     kind = rollouts.schema["task_id"].dataType.simpleString()
-    return rollouts.groupBy("task_id").applyInPandas(build, f"task_id {kind}, node_id string, parent_id string, depth int, seq int, content string, value double, visits long")
+    return rollouts.groupBy("task_id").applyInArrow(build, f"task_id {kind}, node_id string, parent_id string, depth int, seq int, content string, value double, visits long")
 
 
 def f1(a: list[str], b: list[str]) -> float:

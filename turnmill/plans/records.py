@@ -96,7 +96,7 @@ def report_files(spark, sf):
 
 
 @query(
-    """WITH told AS (SELECT conv_id, string_agg(chr(10) || '[' || (pos + 1) || '] ' || speaker || ' (' || token_count || ' tokens, answer ' || coalesce(parsed_answer, 'none') || ', finish none)' || chr(10) || content, chr(10) ORDER BY pos) AS said FROM turns GROUP BY conv_id)
+    """WITH told AS (SELECT conv_id, string_agg(chr(10) || '[' || (pos + 1) || '] ' || speaker || ': ' || content || chr(10) || '(' || token_count || ' tokens, answer ' || coalesce(parsed_answer, 'none') || ', finish none)', chr(10) ORDER BY pos) AS said FROM turns GROUP BY conv_id)
 SELECT task_id, trajectory_id, printf('task_%05d_traj_%02d.txt', task_id, trajectory_id) AS name, md5(concat_ws(chr(10), 'Task ' || task_id || ', trajectory ' || trajectory_id, 'Data: exact-match', 'Gold answer: ' || answer, 'Answer: ' || final_answer, 'Ended: ' || termination_reason, 'Tokens: ' || token_count, said, CASE WHEN is_large THEN chr(10) || '(a turn went over the limit)' END)) AS text
 FROM traj JOIN told USING (conv_id)""",
     derived=True,

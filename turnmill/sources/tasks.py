@@ -113,8 +113,8 @@ def transcripts(df: DataFrame) -> DataFrame:
         return F.concat(F.lit(f"{label}: "), *[x for pair in zip(there, [F.lit(", ")] * len(there), strict=True) for x in pair][:-1]) if there else F.lit(None).cast("string")
 
     def turn(t: Column, k: Column) -> Column:
-        about = F.concat(F.lit(" ("), shown(t["token_count"]), F.lit(" tokens, answer "), shown(t["parsed_answer"]), F.lit(", finish "), shown(t["finish_reason"]), F.lit(")"))
-        return F.concat(F.lit("\n["), (k + 1).cast("string"), F.lit("] "), F.coalesce(t["speaker"], F.lit("")), about, F.lit("\n"), F.coalesce(t["content"], F.lit("")))
+        about = F.concat(F.lit("\n("), shown(t["token_count"]), F.lit(" tokens, answer "), shown(t["parsed_answer"]), F.lit(", finish "), shown(t["finish_reason"]), F.lit(")"))
+        return F.concat(F.lit("\n["), (k + 1).cast("string"), F.lit("] "), F.coalesce(t["speaker"], F.lit("")), F.lit(": "), F.coalesce(t["content"], F.lit("")), about)
 
     head = F.format_string("Task %s, trajectory %s", F.col("task_id").cast("string"), F.col("trajectory_id").cast("string"))
     large = F.when(F.array_contains("conversation", "large"), F.lit("\n(a turn went over the limit)")) if "conversation" in df.columns else F.lit(None).cast("string")

@@ -16,8 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from turnmill.types import TASK_LINE
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A part of the state takes some 4 MB of an executor's disk, however little is in it, until maintenance finds that its
+#: run has ended; runs that follow one another soon would pile them up.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+}
 
 
 def stream_tasks(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -39,11 +43,11 @@ def score_stream(tasks: DataFrame, out: str, checkpoint: str, score: Callable[[D
         scored = score(batch.select(F.explode("results").alias("r")).select("r.*"))
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    held = spark.conf.get(STATE_STORE, None)
-    if held is None:
-        spark.conf.set(STATE_STORE, ROCKSDB)  # a query takes the settings over when it starts
+    ours = {k: v for k, v in STATE_SETTINGS.items() if spark.conf.get(k, None) is None}
+    for k, v in ours.items():
+        spark.conf.set(k, v)  # a query takes the settings over when it starts
     try:
         return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        if held is None:
-            spark.conf.unset(STATE_STORE)
+        for k in ours:
+            spark.conf.unset(k)
