@@ -95,3 +95,14 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: v for k, v in label.items() if k != 300}
+
+
+def test_ids_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, nd.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
+    assert got == brute(rows, 4, 80)
+    kept = {i for i, _, _, stays in got if stays}
+    left = nd.drop_near_duplicates(df, words=4).collect()
+    assert {r["doc_id"] for r in left} == kept

@@ -10,8 +10,11 @@ holds its separator.  Any number of tasks can work on one file.
 
 Defined results: an empty document has 0 tokens; ids after the last separator
 of a file form a last document with ``ended`` false; a file without ids has no
-documents.  For ``count_tokens``, null text counts as empty and repeated rows
-each have a document.
+documents.  For ``count_tokens``, null text counts as empty, and repeated rows
+and rows with a null or repeated id each have a document of their own.  Very long texts
+count whole: a document may span any number of blocks.  There is no order
+among documents, so none tie.  Other columns play no part, whatever their
+names.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
