@@ -156,3 +156,18 @@ def test_any_pieces_of_a_line_are_among_the_probes_of_near_ones(spark, edits):
     probes = ld.piece_probes(df.select("node", F.col("long").alias("line"), F.length("long").alias("length")), edits)
     met = picks.join(probes, (picks["piece"] == probes["piece"]) & (picks["node"] == probes["node2"])).select("node").distinct()
     assert met.count() == df.count()
+
+
+def test_probes_meet_only_pieces_of_other_components_and_fitting_lengths(spark):
+    """Ten lines of one component, and two longer ones of the template, each its own component."""
+    base = "the same words stand at the head of every line of this log, "
+    lines = [(k, f"{base}{k % 10}", 0) for k in range(10)] + [(k, f"{base}{k:012d}", k) for k in (10, 11)]
+    df = spark.createDataFrame(lines, "node long, line string, component long").withColumn("length", F.length("line"))
+    picks = ld.rarest_pieces(df, 2).join(df.drop("line"), "node")
+    probes = ld.piece_probes(df, 2, ("length", "component"))
+    asked = ld.open_probes(probes, ld.piece_facts(picks), 2)
+    every = probes.join(picks.select("piece").distinct(), "piece")
+    fits = picks.join(probes, "piece").where("component <> component2 and length <= length2 and length2 - length <= 2")
+    assert fits.select("node2").distinct().orderBy("node2").collect() == [(10,), (11,)]
+    assert fits.select("piece", "node2").distinct().exceptAll(asked.select("piece", "node2")).isEmpty()
+    assert asked.where("component2 = 0").isEmpty() and not every.where("component2 = 0").isEmpty()

@@ -21,9 +21,10 @@ Large keys are mostly what lines of one template share.  Their lines, where the
 pivots left several components, meet again by short pieces: of any EDITS + 1
 pieces of a line one stands unchanged in each line within EDITS edits, at most so
 far away, so that each line is indexed by its EDITS + 1 rarest pieces and probes
-the index with all.  Pieces that many lines are indexed by come last, and only
-pairs of components that are still different meet in them, in blocks of bounded
-size.  So no link between two classes is lost, and no key is paired out in full.
+the index with all.  A probe meets a piece only if that indexes a line of another
+component and of a length that fits.  Pieces that many lines are indexed by come
+last, and only pairs of components that are still different meet in them, in
+blocks of bounded size.  So no link between two classes is lost, and no key is paired out in full.
 
 Links join lines into classes.  A class with at least ``MIN_COPIES`` lines, over
 all documents, is a repeat: its first line (by document id, then line) stays,
@@ -220,8 +221,8 @@ def rarest_pieces(lines: DataFrame, edits: int) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= edits + 1).select("piece", "node")
 
 
-def piece_probes(lines: DataFrame, edits: int) -> DataFrame:
-    """(piece, node2): the substrings of lines that may be pieces of lines up to some edits shorter, or as long.
+def piece_probes(lines: DataFrame, edits: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(piece, node2): the substrings of lines that may be pieces of lines up to some edits shorter, or as long; other columns of the lines end in 2, too.
 
     A piece is moved by s where |s| + |difference of lengths - s| edits or fewer add or remove characters.
     """
@@ -236,7 +237,21 @@ def piece_probes(lines: DataFrame, edits: int) -> DataFrame:
         return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(length / size).cast("int") - 1), lambda k: F.transform(shifts, lambda s: at(size, k, k * size + s))))
 
     found = F.flatten(F.transform(F.filter(sizes, lambda x: x > 0), places))
-    return lines.select(F.explode(F.array_distinct(F.array_compact(found))).alias("piece"), F.col("node").alias("node2"))
+    return lines.select(F.explode(F.array_distinct(F.array_compact(found))).alias("piece"), *[F.col(x).alias(f"{x}2") for x in ("node", *also)])
+
+
+def piece_facts(picks: DataFrame) -> DataFrame:
+    """Of each piece in picks (piece, length, component): the lines it indexes, and the bounds of their lengths and components."""
+    bounds = [f(x).alias(name) for x, f, name in (("length", F.min, "shortest"), ("length", F.max, "longest"), ("component", F.min, "least"), ("component", F.max, "most"))]
+    return picks.groupBy("piece").agg(F.count("*").alias("size"), *bounds)
+
+
+def open_probes(probes: DataFrame, facts: DataFrame, edits: int) -> DataFrame:
+    """The probes (piece, length2, component2) of pieces that index a line of another component, and one that is as long or up to some edits shorter."""
+    other = (F.col("least") != F.col("component2")) | (F.col("most") != F.col("component2"))
+    fits = (F.col("shortest") <= F.col("length2")) & (F.col("longest") >= F.col("length2") - edits)
+    same = facts.withColumnRenamed("piece", "facts_piece")
+    return probes.hint("merge").join(same, (F.col("piece") == F.col("facts_piece")) & other & fits).select(*probes.columns, "size")
 
 
 def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
@@ -282,20 +297,27 @@ def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         return texts, links
     open_lines = common.stage(texts.join(open_lines, "node", "left_semi").select("node", "line", "length", *SIGNATURES), "line-open-texts")
     picked = common.stage(rarest_pieces(open_lines, edits), "line-pieces")
-    sizes = picked.groupBy("piece").agg(F.count("*").alias("size"))
-    probes = piece_probes(open_lines, edits)
     for common_piece in (False, True):
-        picks = picked.hint("merge").join(sizes.where((F.col("size") > BLOCK_LINES) == common_piece), "piece")
-        if common_piece and picks.isEmpty():
-            break
         found = common.stage(components(links), "line-components")
-        named = open_lines.select("node", "length", *SIGNATURES).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        other = named.select(*[F.col(x).alias(f"{x}2") for x in named.columns])
-        # Each line meets all blocks of the lines that a piece indexes.
+        named = open_lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        known = named.select("node", "length", "component", *SIGNATURES)
+        picks = picked.hint("merge").join(known, "node")
+        facts = common.stage(piece_facts(picks).where((F.col("size") > BLOCK_LINES) == common_piece), "line-piece-facts")
+        if common_piece and facts.isEmpty():
+            break
+        # Each line meets all blocks of the lines that a piece indexes; the pieces of few lines have one.
         blocks = F.ceil(F.col("size") / BLOCK_LINES).cast("int")
-        sides = picks.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("size").hint("merge").join(named, "node")
-        asked = probes.hint("merge").join(picks.select("piece", "size").distinct(), "piece").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size").hint("merge").join(other, "node2")
-        met = sides.hint("merge").join(asked, ["piece", "block"]).where((F.col("component") != F.col("component2")) & may_link(edits))
+        sides = picks.withColumn("block", F.lit(0))
+        asked = open_probes(piece_probes(named, edits, ("length", "component")), facts, edits)
+        if common_piece:
+            sides = picks.hint("merge").join(facts.select("piece", "size"), "piece").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("size")
+            asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        else:
+            asked = asked.withColumn("block", F.lit(0))
+        other = known.select(F.col("node").alias("node2"), *[F.col(x).alias(f"{x}2") for x in SIGNATURES])
+        asked = asked.drop("size").hint("merge").join(other, "node2")
+        # The line that a piece indexes is the shorter one, if they differ.
+        met = sides.hint("merge").join(asked, ["piece", "block"]).where((F.col("component") != F.col("component2")) & (F.col("length") <= F.col("length2")) & may_link(edits))
         links = common.stage(links.union(verified(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())), "line-links")
     return texts, links
 
