@@ -10,9 +10,9 @@ index with those few substrings for each length it may meet; probes that fall
 together for several lengths are one key.  A key's rows are dealt once: an
 aggregate finds the keys that are indexed, and what meets them is joined to it.
 
-Keys that lines share are few.  Each of their members is paired with the key's
-``PIVOTS`` most central lines, which is every pair for small keys and a linear
-number for large ones.  Pairs pass if their lengths and the letter counts of the
+Keys that lines share are few.  Keys of up to ``WHOLE_KEY`` lines are paired out.
+In larger ones each member is paired with the key's ``PIVOTS`` most central lines,
+a linear number.  Pairs pass if their lengths and the letter counts of the
 whole lines and of their halves allow so few edits, and are then verified by a
 bit-parallel edit distance on a band of 2 * EDITS + 1 diagonals, after their
 common beginning and end.
@@ -22,9 +22,9 @@ pivots left several components, meet again by short pieces: of any EDITS + 1
 pieces of a line one stands unchanged in each line within EDITS edits, at most so
 far away, so that each line is indexed by its EDITS + 1 rarest pieces and probes
 the index with all.  A probe meets a piece only if that indexes a line of another
-component and of a length that fits.  Pieces that many lines are indexed by come
+component and of a length that fits, and is made once.  Pieces that many lines are indexed by come
 last, and only pairs of components that are still different meet in them, in
-blocks of bounded size.  So no link between two classes is lost, and no key is paired out in full.
+blocks of bounded size.  So no link between two classes is lost, and no large key is paired out.
 
 Links join lines into classes.  A class with at least ``MIN_COPIES`` lines, over
 all documents, is a repeat: its first line (by document id, then line) stays,
@@ -49,8 +49,10 @@ from .components import components
 EDITS = 2
 MIN_CHARS = 16
 MIN_COPIES = 2
-#: Central lines that each member of a key is paired with.
+#: Central lines that each member of a large key is paired with.
 PIVOTS = 4
+#: Lines of a key that is paired out: a line of a larger one makes about as many probes for pieces as it would meet lines.
+WHOLE_KEY = 64
 #: Characters of the pieces by which lines of large keys meet, at least, and how many pieces a long line has, at most.
 PIECE, PIECES = 4, 12
 #: Lines of a piece that meet the others at once; larger ones are dealt out in such blocks.
@@ -270,7 +272,9 @@ def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     entries = entries.hint("merge").join(sizes.where("size > 1"), "key")
     central = entries.groupBy("node").agg(F.sum("size").alias("central"))
     order = Window.partitionBy("key").orderBy(F.desc("central"), "node")
-    tops = entries.hint("merge").join(central, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).drop("place", "central", "size")
+    whole = F.col("size") <= WHOLE_KEY
+    tops = entries.where(~whole).hint("merge").join(central, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).drop("place", "central")
+    tops = tops.unionByName(entries.where(whole)).drop("size")
 
     def meeting(one: DataFrame, other: DataFrame, on: list[str], differ: Column) -> DataFrame:
         other = other.select(*on, *[F.col(x).alias(f"{x}2") for x in other.columns if x not in on])
@@ -285,8 +289,9 @@ def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         close = _bind(different_parts(F.col("line_a"), F.col("line_b")), lambda s: edits_within(s["a"], s["b"], edits))
         return common.stage(both.where(close).select("a", "b"), "line-links")
 
-    links = verified(meeting(entries.drop("size"), tops, ["key"], (F.col("node") != F.col("node2")) & (F.col("own") | F.col("own2"))))
-    large = entries.where(F.col("size") > pivots + 1)
+    differ = (F.col("node") < F.col("node2")) | (~whole & (F.col("node") > F.col("node2")))
+    links = verified(meeting(entries, tops, ["key"], differ & (F.col("own") | F.col("own2"))))
+    large = entries.where(~whole & (F.col("size") > pivots + 1))
     if large.isEmpty():
         return texts, links
     found = common.stage(components(links), "line-components")
@@ -297,27 +302,30 @@ def similar_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
         return texts, links
     open_lines = common.stage(texts.join(open_lines, "node", "left_semi").select("node", "line", "length", *SIGNATURES), "line-open-texts")
     picked = common.stage(rarest_pieces(open_lines, edits), "line-pieces")
+    asked = None
     for common_piece in (False, True):
         found = common.stage(components(links), "line-components")
         named = open_lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         known = named.select("node", "length", "component", *SIGNATURES)
         picks = picked.hint("merge").join(known, "node")
-        facts = common.stage(piece_facts(picks).where((F.col("size") > BLOCK_LINES) == common_piece), "line-piece-facts")
-        if common_piece and facts.isEmpty():
+        other = known.select(F.col("node").alias("node2"), *[F.col(x).alias(f"{x}2") for x in ("component", *SIGNATURES)])
+        if asked is None:  # those that meet no other component now never will: components only grow together
+            probes = piece_probes(named, edits, ("length", "component"))
+            asked = common.stage(open_probes(probes, piece_facts(picks), edits).drop("component2"), "line-asked")
+        these = asked.where((F.col("size") > BLOCK_LINES) == common_piece)
+        if common_piece and these.isEmpty():
             break
+        these = these.hint("merge").join(other, "node2")
         # Each line meets all blocks of the lines that a piece indexes; the pieces of few lines have one.
         blocks = F.ceil(F.col("size") / BLOCK_LINES).cast("int")
-        sides = picks.withColumn("block", F.lit(0))
-        asked = open_probes(piece_probes(named, edits, ("length", "component")), facts, edits)
         if common_piece:
+            facts = common.stage(piece_facts(picks).where(F.col("size") > BLOCK_LINES), "line-piece-facts")
             sides = picks.hint("merge").join(facts.select("piece", "size"), "piece").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("size")
-            asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            these = open_probes(these.drop("size"), facts, edits).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         else:
-            asked = asked.withColumn("block", F.lit(0))
-        other = known.select(F.col("node").alias("node2"), *[F.col(x).alias(f"{x}2") for x in SIGNATURES])
-        asked = asked.drop("size").hint("merge").join(other, "node2")
+            sides, these = picks.withColumn("block", F.lit(0)), these.withColumn("block", F.lit(0))
         # The line that a piece indexes is the shorter one, if they differ.
-        met = sides.hint("merge").join(asked, ["piece", "block"]).where((F.col("component") != F.col("component2")) & (F.col("length") <= F.col("length2")) & may_link(edits))
+        met = sides.hint("merge").join(these.drop("size"), ["piece", "block"]).where((F.col("component") != F.col("component2")) & (F.col("length") <= F.col("length2")) & may_link(edits))
         links = common.stage(links.union(verified(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())), "line-links")
     return texts, links
 
